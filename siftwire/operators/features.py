@@ -62,9 +62,12 @@ def term_counts(
     id_col: str = "doc_id",
     options: TfidfOptions = TfidfOptions(),
     keep: tuple[str, ...] = (),
+    outer: bool = False,
 ) -> DataFrame:
     """One row per document and term: ``id, *keep, term, tf``.
 
+    With ``outer`` a document without terms keeps one row whose term is null.
+
     The raw text is shuffled once by id. Everything grouped by document afterwards (term
     counts here, norms and scores later) stays in place; moving exploded terms instead
     would ship each text many times over.
@@ -72,7 +75,7 @@ def term_counts(
     rows = df.select(id_col, *keep, F.col(text_col).alias("source_text")).repartition(F.col(id_col))
     terms = ngram_terms(rows, "source_text", "terms", options)
     return (
-        terms.select(id_col, *keep, F.explode("terms").alias("term"))
+        terms.select(id_col, *keep, (F.explode_outer if outer else F.explode)("terms").alias("term"))
         .groupBy(id_col, *keep, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -141,14 +144,22 @@ def small(table: DataFrame, options: TfidfOptions = TfidfOptions()) -> DataFrame
 
 
 def weigh(
-    counts: DataFrame, vocabulary: DataFrame, options: TfidfOptions = TfidfOptions()
+    counts: DataFrame,
+    vocabulary: DataFrame,
+    options: TfidfOptions = TfidfOptions(),
+    outer: bool = False,
 ) -> DataFrame:
-    """Join counts with the vocabulary and add the raw weight; unknown terms drop out."""
+    """Join counts with the vocabulary and add the raw weight.
+
+    Unknown terms drop out; with ``outer`` they stay with a null weight, so that documents
+    without any known term stay, too.
+    """
     if vocabulary is None:
         raise RuntimeError("fit the vocabulary before using it")
     tf = F.col("tf").cast("double")
     level = F.lit(1.0) + F.log(tf) if options.sublinear_tf else tf
-    return counts.join(small(vocabulary, options), "term").withColumn("weight", level * F.col("idf"))
+    joined = counts.join(small(vocabulary, options), "term", "left" if outer else "inner")
+    return joined.withColumn("weight", level * F.col("idf"))
 
 
 def tfidf(
@@ -170,13 +181,18 @@ def tfidf_vectors(
     keep: tuple[str, ...] = (),
     options: TfidfOptions = TfidfOptions(),
 ) -> DataFrame:
-    """One unit-length sparse vector per document with a known term: ``id, *keep, features``."""
+    """One unit-length sparse vector per document: ``id, *keep, features``.
+
+    Count with ``outer=True`` to get an empty vector for documents without a known term.
+    """
     size = vocabulary.agg(F.count(F.lit(1)).alias("n")).scalar()
     packed = (
-        weigh(counts, vocabulary, options)
+        weigh(counts, vocabulary, options, outer=True)
         .groupBy(id_col, *keep)
         .agg(
-            F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"),
+            F.array_sort(
+                F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "weight")))
+            ).alias("cells"),
             F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"),
         )
     )
