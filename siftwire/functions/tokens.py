@@ -138,15 +138,17 @@ def word_ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def char_ngrams(text: Column, low: int = 1, high: int = 2) -> Column:
-    """Character runs of a text whose longer white-space runs count as one space."""
+def char_ngrams(chars: Column, low: int = 1, high: int = 2) -> Column:
+    """All runs of ``low`` to ``high`` neighbouring characters of an array of characters."""
 
     def runs(n):
-        count = F.length(text) - F.lit(n - 1)
+        if n == 1:
+            return chars
+        count = F.size(chars) - F.lit(n - 1)
         starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(
             F.array().cast("array<int>")
         )
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
 
     parts = [runs(n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -32,7 +32,7 @@ def synonym_replace(
     turn = F.col(draw_col) if draw_col else F.lit(0)
     key = [id_col] + ([draw_col] if draw_col else [])
     rows = df.repartition(F.col(id_col)).withColumn("words_", _words(F.col(text_col)))
-    cells = rows.select(*key, F.posexplode("words_").alias("pos", "token")).filter(F.length("token") > 3)
+    cells = rows.select(*key, F.posexplode_outer("words_").alias("pos", "token")).filter(F.length("token") > 3)
     options = cells.join(F.broadcast(synonym_lists(synonyms)), F.lower("token") == F.col("word"))
     pick = draw(seed, "synonym", F.col(id_col), turn, F.col("pos"))
     choice = F.col("choices")[F.pmod(pick, F.size("choices")).cast("int")]

@@ -56,7 +56,7 @@ class NaiveBayes:
 
     terms: DataFrame
     priors: DataFrame
-    options: X.TfidfOptions = X.TfidfOptions()
+    options: X.TfidfOptions = X.CLEANED
     name: str = "naive_bayes"
 
 
@@ -66,7 +66,7 @@ def train_naive_bayes(
     vocabulary: DataFrame,
     alpha: float = 1.0,
     fit_prior: bool = True,
-    options: X.TfidfOptions = X.TfidfOptions(),
+    options: X.TfidfOptions = X.CLEANED,
     label_col: str = "label_encoded",
 ) -> NaiveBayes:
     """Fit from long-form ``tfidf`` rows that carry the label, and the labelled documents.
@@ -109,7 +109,7 @@ def fit_naive_bayes(
     text_col: str = "final_text",
     id_col: str = "doc_id",
     label_col: str = "label_encoded",
-    options: X.TfidfOptions = X.TfidfOptions(),
+    options: X.TfidfOptions = X.CLEANED,
     alpha: float = 1.0,
 ) -> NaiveBayes:
     """Vocabulary, TF-IDF and naive Bayes from labelled texts in one lazy plan."""
@@ -147,13 +147,35 @@ def score_naive_bayes(
     )
 
 
+def save_naive_bayes(model: NaiveBayes, root: str) -> str:
+    """Write the term table and the priors; scoring then reads two small tables."""
+    path = f"{root.rstrip('/')}/{model.name}"
+    model.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    model.priors.write.mode("overwrite").parquet(f"{path}/priors")
+    card = ModelCard(model_name=model.name, hyperparameters=settings("naive_bayes"))
+    write_card(card, path, model.terms.sparkSession)
+    return path
+
+
+def load_naive_bayes(
+    spark: SparkSession, root: str, options: X.TfidfOptions = X.CLEANED, name: str = "naive_bayes"
+) -> NaiveBayes:
+    path = f"{root.rstrip('/')}/{name}"
+    try:
+        return NaiveBayes(
+            spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/priors"), options, name
+        )
+    except Exception as error:
+        raise FileNotFoundError(f"no model under {path}, train it first") from error
+
+
 # ---- Spark ML estimators ------------------------------------------------------------------
 
 # Default settings of the named models.
 DEFAULTS: dict[str, dict] = {
     "naive_bayes": {"alpha": 1.0, "fit_prior": True},
-    "logistic_regression": {"C": 1.0, "max_iter": 1000, "class_weight": "balanced"},
-    "svm": {"C": 1.0, "max_iter": 5000, "class_weight": "balanced", "folds": 3},
+    "logistic_regression": {"C": 1.0, "max_iter": 1000, "tol": 1e-4, "class_weight": "balanced"},
+    "svm": {"C": 1.0, "max_iter": 5000, "tol": 1e-4, "class_weight": "balanced", "folds": 3},
     "random_forest": {"trees": 200, "max_depth": 30, "min_split": 5, "class_weight": "balanced", "seed": 42},
     "xgboost": {"rounds": 200, "max_depth": 6, "eta": 0.1, "rows": 0.8, "columns": 0.8, "seed": 42},
     "lightgbm": {"rounds": 200, "max_depth": 5, "eta": 0.1, "rows": 0.8, "columns": 0.8,
@@ -240,7 +262,7 @@ def fit_classifier(
         # Balanced weights add up to the row count, which makes the penalties equal.
         model = C.LogisticRegression(
             regParam=1.0 / (p["C"] * n), elasticNetParam=0.0, standardization=False,
-            maxIter=p["max_iter"], **common,
+            maxIter=p["max_iter"], tol=p["tol"], **common,
         ).fit(rows)
     elif name == "svm":
         folds = p["folds"]
@@ -249,7 +271,8 @@ def fit_classifier(
         for k in range(folds):
             inside = rows.filter(F.col("fold") != k)
             machine = C.LinearSVC(
-                regParam=1.0 / (p["C"] * n), standardization=False, maxIter=p["max_iter"], **common
+                regParam=1.0 / (p["C"] * n), standardization=False, maxIter=p["max_iter"], tol=p["tol"],
+                **common,
             ).fit(inside)
             margins = _margins(machine, rows.filter(F.col("fold") == k))
             curve = C.LogisticRegression(maxIter=100, standardization=False).fit(margins)

@@ -24,7 +24,10 @@ PIECE = rf"[{P.WORD}]++|[^{P.WORD}]++"
 TOP_WORDS = 5
 KERNEL_WIDTH = 25.0
 
-FIT_SCHEMA = "key string, fitted array<struct<word:string,score:double,is_spam_indicator:boolean>>"
+FIT_SCHEMA = (
+    "key string, spam_probability double, ham_probability double, "
+    "fitted array<struct<word:string,score:double,is_spam_indicator:boolean>>"
+)
 
 
 def predictor(
@@ -41,7 +44,8 @@ def predictor(
 def _pieces(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """Words and separators of every text in order, and its distinct words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = df.select(
+    # Spread the texts first: each of them turns into hundreds of rows where it stands.
+    cut = df.select(id_col, text_col).repartition(F.col(id_col)).select(
         F.col(id_col).cast("string").alias("key"),
         F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)).alias("pieces"),
     )
@@ -87,7 +91,7 @@ def explain_lime(
         .withColumn("words", F.array_distinct("all_words"))
         .filter(F.size("words") > 0)
     )
-    samples = docs.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
+    samples = docs.withColumn("sample", F.explode_outer(F.sequence(F.lit(0), F.lit(num_samples - 1))))
     size = F.size("words")
     drop = F.when(F.col("sample") == 0, 0).otherwise(
         F.pmod(draw(seed, "size", F.col("key"), F.col("sample")), size) + 1
@@ -116,24 +120,25 @@ def explain_lime(
     cells = scored.select("row_key", "key", "sample", "spam_probability", "ham_probability").join(
         samples.select("row_key", "gone_at"), "row_key"
     )
-    fits = (
-        cells.select("key", "sample", "gone_at", "spam_probability")
-        .join(docs.select("key", "words"), "key")
+    whole = F.col("sample") == 0
+    done = (
+        cells.join(docs.select("key", "words"), "key")
         .groupBy("key")
         .agg(
+            F.max(F.when(whole, F.col("spam_probability"))).alias("spam_probability"),
+            F.max(F.when(whole, F.col("ham_probability"))).alias("ham_probability"),
             F.first("words").alias("words"),
             F.collect_list(F.struct("sample", "gone_at", F.col("spam_probability").alias("p"))).alias("rows"),
         )
         .mapInPandas(_linear_fit(num_features), FIT_SCHEMA)
-    )
-    whole = cells.filter(F.col("sample") == 0).select("key", "spam_probability", "ham_probability")
-    done = whole.join(fits, "key").select(
-        "key",
-        "spam_probability",
-        "ham_probability",
-        F.col("fitted").alias("word_importances"),
-        _top(F.col("fitted"), True).alias("top_spam_words"),
-        _top(F.col("fitted"), False).alias("top_ham_words"),
+        .select(
+            "key",
+            "spam_probability",
+            "ham_probability",
+            F.col("fitted").alias("word_importances"),
+            _top(F.col("fitted"), True).alias("top_spam_words"),
+            _top(F.col("fitted"), False).alias("top_ham_words"),
+        )
     )
     return _result(done, df, id_col, "lime")
 
@@ -152,7 +157,9 @@ def _linear_fit(num_features: int, width: float = KERNEL_WIDTH):
 
         for batch in batches:
             out = []
-            for key, words, rows in zip(batch["key"], batch["words"], batch["rows"]):
+            for key, spam, ham, words, rows in zip(
+                *(batch[c] for c in ("key", "spam_probability", "ham_probability", "words", "rows"))
+            ):
                 rows = sorted(rows, key=lambda r: r["sample"])
                 x = np.ones((len(rows), len(words)))
                 for i, r in enumerate(rows):
@@ -168,6 +175,8 @@ def _linear_fit(num_features: int, width: float = KERNEL_WIDTH):
                 out.append(
                     (
                         key,
+                        spam,
+                        ham,
                         [
                             {
                                 "word": words[used[k]],
@@ -178,7 +187,7 @@ def _linear_fit(num_features: int, width: float = KERNEL_WIDTH):
                         ],
                     )
                 )
-            yield pd.DataFrame(out, columns=["key", "fitted"])
+            yield pd.DataFrame(out, columns=["key", "spam_probability", "ham_probability", "fitted"])
 
     return fit
 
@@ -221,7 +230,7 @@ def explain_shap(
         ),
     )
     docs = docs.withColumn("owned", owned)
-    turns = docs.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("permutations"))))
+    turns = docs.withColumn("turn", F.explode_outer(F.sequence(F.lit(1), F.col("permutations"))))
     order = F.transform(
         F.array_sort(
             F.transform(
@@ -234,7 +243,7 @@ def explain_shap(
     turns = turns.withColumn("order", order)
     steps = turns.select(
         "key", "turn", "order", "owned",
-        F.posexplode(F.concat(F.array(F.lit(-1)), F.col("order"))).alias("step", "player"),
+        F.posexplode_outer(F.concat(F.array(F.lit(-1)), F.col("order"))).alias("step", "player"),
     )
     present = F.slice("order", F.lit(1), F.col("step"))
     steps = steps.withColumn("present", present).select(
@@ -257,24 +266,31 @@ def explain_shap(
     gain = F.col("spam_probability") - F.lag("spam_probability", 1).over(
         Window.partitionBy("key", "turn").orderBy("step")
     )
+    # The last step of a turn is the whole text.
+    last = F.max(F.struct("step", "spam_probability", "ham_probability"))
     shares = (
         scored.withColumn("gain", gain)
-        .filter(F.col("step") > 0)
         .groupBy("key", "player")
-        .agg(F.avg("gain").alias("share"))
+        .agg(F.avg("gain").alias("share"), last.alias("last"))
         .groupBy("key")
-        .agg(F.map_from_entries(F.collect_list(F.struct("player", "share"))).alias("shares"))
+        .agg(
+            F.map_from_entries(
+                F.collect_list(F.when(F.col("player") >= 0, F.struct("player", "share")))
+            ).alias("shares"),
+            F.max("last").alias("last"),
+        )
     )
     words = docs.select(
         "key",
         "block",
-        F.posexplode("all_words").alias("pos", "word"),
+        F.posexplode_outer("all_words").alias("pos", "word"),
         size.alias("n_words"),
     )
     valued = words.join(shares, "key").select(
         "key",
         "pos",
         "word",
+        "last",
         (
             F.col("shares")[F.floor(F.col("pos") / F.col("block")).cast("int")]
             / F.least(
@@ -285,7 +301,8 @@ def explain_shap(
     )
     cell = F.struct("word", "score", (F.col("score") > 0).alias("is_spam_indicator"))
     lists = valued.groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("pos", cell.alias("cell")))).alias("in_order")
+        F.array_sort(F.collect_list(F.struct("pos", cell.alias("cell")))).alias("in_order"),
+        F.max("last").alias("last"),
     ).withColumn("in_order", F.col("in_order.cell"))
     by_size = F.transform(
         F.array_sort(
@@ -295,13 +312,10 @@ def explain_shap(
         ),
         lambda c: c["cell"],
     )
-    whole = scored.join(docs.select("key", "players"), "key").filter(
-        (F.col("turn") == 1) & (F.col("step") == F.col("players"))
-    ).select("key", "spam_probability", "ham_probability")
-    done = whole.join(lists, "key").select(
+    done = lists.select(
         "key",
-        "spam_probability",
-        "ham_probability",
+        "last.spam_probability",
+        "last.ham_probability",
         F.slice(by_size, 1, num_features).alias("word_importances"),
         _top(F.col("in_order"), True).alias("top_spam_words"),
         _top(F.col("in_order"), False).alias("top_ham_words"),

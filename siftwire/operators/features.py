@@ -29,6 +29,10 @@ class TfidfOptions:
     strip_accents: bool = True
 
 
+# For texts out of the cleaner: they are ASCII already, so there is no accent to strip.
+CLEANED = TfidfOptions(strip_accents=False)
+
+
 def prepare_text(df: DataFrame, text_col: str, out_col: str, strip_accents: bool = True) -> DataFrame:
     """Lowercase, then drop accents; ASCII texts never leave the JVM."""
     df = df.withColumn(out_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
@@ -37,6 +41,20 @@ def prepare_text(df: DataFrame, text_col: str, out_col: str, strip_accents: bool
     return df
 
 
+def split_terms(df: DataFrame, prepared_col: str, options: TfidfOptions = TfidfOptions()) -> DataFrame:
+    """Turn the prepared text in ``prepared_col`` into the array of its terms, with repeats."""
+    low, high = options.ngrams
+    here = F.col(prepared_col)
+    if options.analyzer == "word":
+        words = F.regexp_extract_all(here, F.lit(P.FEATURE_TOKEN), F.lit(0))
+        return df.withColumn(prepared_col, words).withColumn(prepared_col, K.word_ngrams(here, low, high))
+    if options.analyzer == "char":
+        squeezed = F.regexp_replace(here, rf"[{P.SPACE}]{{2,}}+", " ")
+        chars = F.array_remove(F.split(squeezed, ""), "")
+        return df.withColumn(prepared_col, chars).withColumn(prepared_col, K.char_ngrams(here, low, high))
+    raise ValueError(f"unknown analyzer '{options.analyzer}', supported: word, char")
+
+
 def ngram_terms(
     df: DataFrame,
     text_col: str = "text",
@@ -44,16 +62,7 @@ def ngram_terms(
     options: TfidfOptions = TfidfOptions(),
 ) -> DataFrame:
     """Add the array of all terms of a text, with repeats."""
-    low, high = options.ngrams
-    df = prepare_text(df, text_col, out_col, options.strip_accents)
-    if options.analyzer == "word":
-        words = F.regexp_extract_all(F.col(out_col), F.lit(P.FEATURE_TOKEN), F.lit(0))
-        df = df.withColumn(out_col, words)
-        return df.withColumn(out_col, K.word_ngrams(F.col(out_col), low, high))
-    if options.analyzer == "char":
-        df = df.withColumn(out_col, F.regexp_replace(out_col, rf"[{P.SPACE}]{{2,}}+", " "))
-        return df.withColumn(out_col, K.char_ngrams(F.col(out_col), low, high))
-    raise ValueError(f"unknown analyzer '{options.analyzer}', supported: word, char")
+    return split_terms(prepare_text(df, text_col, out_col, options.strip_accents), out_col, options)
 
 
 def term_counts(
@@ -68,17 +77,20 @@ def term_counts(
 
     With ``outer`` a document without terms keeps one row whose term is null.
 
-    The raw text is shuffled once by id. Everything grouped by document afterwards (term
+    The prepared text is shuffled once by id. Everything grouped by document afterwards (term
     counts here, norms and scores later) stays in place; moving exploded terms instead
-    would ship each text many times over.
+    would ship each text many times over. The explode is an outer one in any case: an inner
+    one makes the optimizer test the array for emptiness next to the scan, which would run
+    the whole text pipeline twice.
     """
-    rows = df.select(id_col, *keep, F.col(text_col).alias("source_text")).repartition(F.col(id_col))
-    terms = ngram_terms(rows, "source_text", "terms", options)
-    return (
-        terms.select(id_col, *keep, (F.explode_outer if outer else F.explode)("terms").alias("term"))
-        .groupBy(id_col, *keep, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    rows = prepare_text(df, text_col, "prepared_text", options.strip_accents)
+    rows = rows.select(id_col, *keep, "prepared_text").repartition(F.col(id_col))
+    terms = split_terms(rows, "prepared_text", options).select(
+        id_col, *keep, F.explode_outer("prepared_text").alias("term")
     )
+    if not outer:
+        terms = terms.filter(F.col("term").isNotNull())
+    return terms.groupBy(id_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -219,7 +231,8 @@ PAD, UNKNOWN = 0, 1
 
 def build_vocab(df: DataFrame, text_col: str = "text", max_vocab: int = 30_000) -> DataFrame:
     """Word to number by falling frequency; 0 pads and 1 stands for unknown words."""
-    words = df.select(F.explode(K.tokenize_whitespace(F.col(text_col))).alias("word"))
+    words = df.select(F.explode_outer(K.tokenize_whitespace(F.col(text_col))).alias("word"))
+    words = words.filter(F.col("word").isNotNull())
     top = (
         words.groupBy("word")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -89,7 +89,8 @@ def apply_word_table(df: DataFrame, table: DataFrame, tokens_col: str, id_col: s
     is broadcast is left to Spark's own size check.
     """
     rows = df.repartition(F.col(id_col))
-    cells = rows.select(id_col, F.posexplode(tokens_col).alias("pos", "form"))
+    cells = rows.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "form"))
+    cells = cells.filter(F.col("form").isNotNull())
     rewritten = (
         cells.join(table, "form", "left")
         .groupBy(id_col)
@@ -170,7 +171,7 @@ def _longest_rule(word: Column, rules) -> Column:
 
 
 def stem_vocabulary(words: DataFrame) -> DataFrame:
-    """Stem of every distinct word: ``form, word``, rows where both differ.
+    """Stem of every distinct word: ``form, word``.
 
     Each step is one projection over the vocabulary, which is far smaller than the text.
     """
@@ -254,10 +255,11 @@ def stem_vocabulary(words: DataFrame) -> DataFrame:
         .when(F.length("form") <= 2, F.lower("form"))
         .otherwise(w)
     )
-    return steps.select("form", final.alias("word")).filter(F.col("form") != F.col("word"))
+    # No filter here: it would be pushed through the steps and repeat each of them.
+    return steps.select("form", final.alias("word"))
 
 
 def stem(df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id") -> DataFrame:
     """Stem token lists: distinct words are stemmed once and joined back."""
-    words = df.select(F.explode(tokens_col).alias("form"))
+    words = df.select(F.explode_outer(tokens_col).alias("form")).filter(F.col("form").isNotNull())
     return apply_word_table(df, stem_vocabulary(words), tokens_col, id_col)

@@ -26,7 +26,7 @@ def naive_bayes_scorer(model: C.NaiveBayes) -> Scorer:
 
 
 def classifier_scorer(
-    classifier: C.Classifier, vocabulary: DataFrame, options: X.TfidfOptions = X.TfidfOptions()
+    classifier: C.Classifier, vocabulary: DataFrame, options: X.TfidfOptions = X.CLEANED
 ) -> Scorer:
     def score(texts, id_col, keep):
         counts = X.term_counts(texts, "final_text", id_col, options, keep, outer=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,7 +224,7 @@ def spam_keyword_count(spark, d):
 
 def lemmatize(spark, d):
     rows = _normalized(spark, d).select("doc_id", "tokens")
-    forms = rows.select(F.explode("tokens").alias("form")).distinct()
+    forms = rows.select(F.explode_outer("tokens").alias("form")).filter("form is not null").distinct()
     lexicon = forms.select(F.col("form").alias("lemma"), F.explode(F.array(F.lit("n"), F.lit("v"))).alias("pos"))
     lemmas = L.lemma_table(forms, lexicon)
     return L.lemmatize(rows, lemmas).select("doc_id", joined("tokens"))
@@ -275,15 +277,15 @@ def char_ngram_terms(spark, d):
 
 
 def document_frequency(spark, d):
-    return X.document_frequency(X.term_counts(_final_corpus(spark, d), "final_text"))
+    return X.document_frequency(X.term_counts(_final_corpus(spark, d), "final_text", options=X.CLEANED))
 
 
-def _vocabulary(spark, d, options=X.TfidfOptions()):
+def _vocabulary(spark, d, options=X.CLEANED):
     return X.fit_tfidf(_final_corpus(spark, d), "final_text", options=options)
 
 
 def select_vocabulary(spark, d):
-    options = X.TfidfOptions(max_features=2000, min_df=3, max_df=0.5)
+    options = X.TfidfOptions(max_features=2000, min_df=3, max_df=0.5, strip_accents=False)
     return _vocabulary(spark, d, options).select("term", "idx", "df", "corpus_tf")
 
 
@@ -292,7 +294,7 @@ def idf(spark, d):
 
 
 def tfidf(spark, d):
-    counts = X.term_counts(_final_corpus(spark, d), "final_text")
+    counts = X.term_counts(_final_corpus(spark, d), "final_text", options=X.CLEANED)
     return rounded(X.tfidf(counts, _vocabulary(spark, d)).select("doc_id", "term", "tf", "tfidf"))
 
 
@@ -329,11 +331,14 @@ def texts_to_sequences(spark, d):
 
 
 def _bayes(spark, d):
-    return G.fit_naive_bayes(_final_corpus(spark, d))
+    """Fit, store and read back, as scoring jobs do."""
+    root = scratch_path(spark, "models")
+    G.save_naive_bayes(G.fit_naive_bayes(_final_corpus(spark, d)), root)
+    return G.load_naive_bayes(spark, root)
 
 
 def naive_bayes(spark, d):
-    return rounded(_bayes(spark, d).terms.select("term", "ham_logp", "spam_logp"))
+    return rounded(G.fit_naive_bayes(_final_corpus(spark, d)).terms.select("term", "ham_logp", "spam_logp"))
 
 
 def balanced_weights(spark, d):
@@ -372,8 +377,7 @@ def proba_argmax(spark, d):
 
 def score_stream(spark, d):
     path, checkpoint = scratch_path(spark, "scored"), scratch_path(spark, "checkpoint")
-    schema = V.table(spark, d, "conversations").schema
-    turns = ST.read_stream(spark, f"{d}/conversations.parquet", schema)
+    turns = _table_stream(spark, d, "conversations")
     arriving = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     scorer = S.naive_bayes_scorer(_bayes(spark, d))
     ST.score_stream(
@@ -416,9 +420,9 @@ def _vectors(spark, d, terms=None):
     """Train and test vectors on the split corpus, and the vocabulary behind them."""
     rows = I.stratified_split(V.corpus(spark, d))
     texts = preprocess_to_text(rows, keep=("label_encoded", "split"))
-    counts = X.term_counts(texts, "final_text", keep=("label_encoded", "split"), outer=True)
+    counts = X.term_counts(texts, "final_text", options=X.CLEANED, keep=("label_encoded", "split"), outer=True)
     train = texts.filter(F.col("split") == "train")
-    vocabulary = X.fit_tfidf(train, "final_text")
+    vocabulary = X.fit_tfidf(train, "final_text", options=X.CLEANED)
     if terms:
         seen = counts.filter((F.col("split") == "train") & F.col("term").isNotNull())
         vocabulary = G.chi_square_terms(seen, train, vocabulary, terms)
@@ -574,9 +578,16 @@ def rate_limit(spark, d):
     )
 
 
+def _table_stream(spark, d, name):
+    """A table as a stream, whether it is one file or a folder of parts."""
+    schema = V.table(spark, d, name).schema
+    if os.path.isfile(f"{d}/{name}.parquet"):
+        return ST.read_stream(spark, d, schema, glob=f"{name}.parquet")
+    return ST.read_stream(spark, f"{d}/{name}.parquet", schema)
+
+
 def _events_stream(spark, d):
-    schema = V.table(spark, d, "events").schema
-    events = ST.read_stream(spark, f"{d}/events.parquet", schema)
+    events = _table_stream(spark, d, "events")
     return events.select("event_id", F.col("user_id").alias("client"), "ts", F.col("event_type").alias("endpoint"),
                          (F.col("value") / 1000).alias("duration"))
 
@@ -714,9 +725,9 @@ QUERIES = {
     "balanced_weights": balanced_weights,
     "logistic_regression": _classifier("logistic_regression"),
     "linear_svm": _classifier("svm"),
-    "random_forest": _classifier("random_forest", 1000),
-    "boosted_trees": _classifier("xgboost", 1000),
-    "boosted_trees_leafwise": _classifier("lightgbm", 1000),
+    "random_forest": _classifier("random_forest", 1000, trees=50),
+    "boosted_trees": _classifier("xgboost", 1000, rounds=30),
+    "boosted_trees_leafwise": _classifier("lightgbm", 1000, rounds=30),
     "train_all": train_all,
     "feature_importance": feature_importance,
     "model_save_load": model_save_load,

@@ -11,8 +11,13 @@ from siftwire.operators import event_metrics as M
 from siftwire.operators.scoring import Scorer, score_messages, to_log
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+def read_stream(
+    spark: SparkSession, path: str, schema, max_files: int | None = None, glob: str | None = None
+) -> DataFrame:
+    """Files of a folder as a stream; ``glob`` narrows it to some file names."""
     reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
