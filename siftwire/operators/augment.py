@@ -199,6 +199,10 @@ def _varied(drawn: DataFrame, options: AugmentOptions, synonyms, text_col, id_co
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
+    # Read the finished text through a generator: a plain filter would be pushed below the
+    # steps that build the text and repeat each of them.
+    others = [c for c in result.columns if c != text_col]
+    result = result.select(*others, F.explode_outer(F.array(text_col)).alias(text_col))
     changed = (F.col(text_col) != "") & (F.col(text_col) != F.col("before_"))
     return result.filter(changed).drop("technique_no", "before_")
 

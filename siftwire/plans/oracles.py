@@ -532,7 +532,7 @@ ORACLES: dict[str, str] = {
     "SELECT doc_id, CASE WHEN len(w) = 0 THEN text WHEN word IS NULL THEN array_to_string(w, ' ') "
     "ELSE array_to_string(list_concat(list_concat(w[1:place], [word]), w[place + 1:]), ' ') END AS text FROM j",
     "char_noise": f"WITH c AS (SELECT doc_id, string_split(text, '') AS cs FROM documents) SELECT doc_id, array_to_string(list_transform(range(1, len(cs) + 1), lambda i: "
-    f"CASE WHEN {NOISE_U} >= 1 THEN cs[i] WHEN {NOISE_U} * 3 < 1 THEN CASE WHEN regexp_matches(cs[i], '\\p{{L}}') THEN CASE WHEN upper(cs[i]) = cs[i] THEN lower(cs[i]) ELSE upper(cs[i]) END ELSE cs[i] END "
+    f"CASE WHEN {NOISE_U} >= 1 THEN cs[i] WHEN {NOISE_U} * 3 < 1 THEN CASE WHEN regexp_matches(cs[i], '\\p{{L}}') THEN CASE WHEN cs[i] = 'ß' THEN 'SS' WHEN upper(cs[i]) = cs[i] THEN lower(cs[i]) ELSE upper(cs[i]) END ELSE cs[i] END "
     f"WHEN {NOISE_U} * 3 < 2 THEN cs[i] || cs[i] ELSE '' END), '') AS text FROM c",
     "augment_minority": f"WITH {CORPUS}, {DEDUPED}, {DRAWN}, {varied('drawn')} SELECT doc_id, label_encoded, false AS synthetic, text FROM deduped UNION ALL "
     "SELECT doc_id, 1, true, text FROM varied",
