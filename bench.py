@@ -54,7 +54,7 @@ def main():
     seconds = {}
     for name, job in jobs.items():
         runs = []
-        for _ in range(3):
+        while len(runs) < 3 and sum(runs) < 10:  # long jobs are timed once
             started = time.perf_counter()
             job().write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - started)

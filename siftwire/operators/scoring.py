@@ -49,7 +49,7 @@ def batch_scorer(load: Callable[[], Callable], batch_size: int = 32) -> Scorer:
         model = load()
         return lambda texts: model(list(texts))
 
-    udf = predict_batch_udf(make, T.ArrayType(T.DoubleType()), batch_size=batch_size)
+    udf = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
 
     def score(texts, id_col, keep):
         scored = texts.withColumn("proba", V.softmax(F.transform(udf("text"), lambda x: x.cast("double"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,11 @@ def session(app: str = "siftwire", master: str | None = None, **conf) -> SparkSe
     return builder.getOrCreate()
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="siftwire-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names for checkpoints.
 
@@ -37,9 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="siftwire-")
-    spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    return _local_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
