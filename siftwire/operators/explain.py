@@ -107,7 +107,9 @@ def explain_lime(
             )
         ),
     )
-    samples = samples.withColumn("gone", F.slice("order", F.lit(1), F.col("drop"))).select(
+    # The generator keeps the drawn list from being worked out again for every piece.
+    drawn = F.explode_outer(F.array(F.slice("order", F.lit(1), F.col("drop")))).alias("gone")
+    samples = samples.select("key", "sample", "pieces", drawn).select(
         "key",
         "sample",
         F.concat_ws("#", "key", "sample").alias("row_key"),

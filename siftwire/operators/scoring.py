@@ -52,12 +52,13 @@ def batch_scorer(load: Callable[[], Callable], batch_size: int = 32) -> Scorer:
     udf = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
 
     def score(texts, id_col, keep):
-        scored = texts.withColumn("proba", V.softmax(F.transform(udf("text"), lambda x: x.cast("double"))))
-        return scored.select(
+        logits = texts.withColumn("logits", udf("text"))
+        lead = F.col("logits")[1] - F.col("logits")[0]  # softmax of two logits
+        return logits.select(
             id_col,
             *keep,
-            F.col("proba")[0].alias("ham_probability"),
-            F.col("proba")[1].alias("spam_probability"),
+            (F.lit(1.0) / (F.lit(1.0) + F.exp(lead))).alias("ham_probability"),
+            (F.lit(1.0) / (F.lit(1.0) + F.exp(-lead))).alias("spam_probability"),
         )
 
     return score
