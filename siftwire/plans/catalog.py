@@ -459,7 +459,7 @@ def feature_importance(spark, d):
 def train_all(spark, d):
     rows, _ = _vectors(spark, d, 500)
     names = ("naive_bayes", "logistic_regression", "svm")
-    fitted, _ = G.train_all(_part(rows, "train"), names)
+    fitted, _ = G.train_all(_part(rows, "train"), names, overrides={"svm": {"max_iter": 100}})
     parts = [
         f.score(_part(rows, "test")).select(
             F.lit(f.name).alias("model"),
@@ -724,7 +724,7 @@ QUERIES = {
     "naive_bayes": naive_bayes,
     "balanced_weights": balanced_weights,
     "logistic_regression": _classifier("logistic_regression"),
-    "linear_svm": _classifier("svm"),
+    "linear_svm": _classifier("svm", 2000, max_iter=100),
     "random_forest": _classifier("random_forest", 1000, trees=50),
     "boosted_trees": _classifier("xgboost", 1000, rounds=30),
     "boosted_trees_leafwise": _classifier("lightgbm", 1000, rounds=30),
