@@ -32,16 +32,22 @@ def _count(col: Column, char_class: str) -> Column:
 
 
 @cache
-def _digit_class() -> str:
-    """Decimal digits plus the superscript and circled digits, found by rule."""
+def _other_digits() -> str:
+    """Superscript and circled digits, found by rule, as ranges."""
     import sys
 
-    extra = [
+    found = [
         c
         for c in range(0x80, sys.maxunicode + 1)
         if chr(c).isdigit() and not chr(c).isdecimal()
     ]
-    return P.DIGIT + "".join(rf"\x{{{c:X}}}" for c in extra)
+    ranges = []
+    for c in found:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
 
 
 def uppercase_ratio(col: Column) -> Column:
@@ -51,8 +57,11 @@ def uppercase_ratio(col: Column) -> Column:
 
 
 def digit_ratio(col: Column) -> Column:
+    """Digits by characters; the long class of rare digits is tried on few rows only."""
     text = F.coalesce(col, F.lit(""))
-    return _count(text, _digit_class()) / F.greatest(F.length(text), F.lit(1))
+    rare = F.when(text.rlike(r"\p{No}"), _count(text, _other_digits())).otherwise(0)
+    plain = _count(text, "0123456789" + P.DIGIT)
+    return (plain + rare) / F.greatest(F.length(text), F.lit(1))
 
 
 def special_char_ratio(col: Column) -> Column:
