@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwire.llm import sharding
+from siftwire.llm import bpe, decontaminate, sharding, simhash
 from siftwire.llm.common import table
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip_digest(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
+def op5_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.fingerprint_digest(table(spark, folder, "documents"))
+
 
 def op6_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_digest(table(spark, folder, "documents"))
 
 
+def op7_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.passage_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_simhash_components": op5_simhash_components,
     "op6_histogram_shards": op6_histogram_shards,
+    "op7_fm_decontamination": op7_fm_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
