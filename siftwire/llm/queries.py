@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwire.llm import bpe, decontaminate, sharding, simhash
+from siftwire.llm import bpe, decontaminate, pii, sharding, simhash, toxicity, warc
 from siftwire.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonym_digest(table(spark, folder, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -27,11 +31,22 @@ def op7_fm_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.passage_digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_digest(table(spark, folder, "pages"))
+
+
+def op9_boosted_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_simhash_components": op5_simhash_components,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_fm_decontamination": op7_fm_decontamination,
+    "op8_warc_index_merge": op8_warc_index_merge,
+    "op9_boosted_toxicity": op9_boosted_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
