@@ -221,10 +221,12 @@ def fit(
     if any((held, y) not in share for held in (False, True) for y in (0.0, 1.0)):
         return ToxicityModel(lexicon, prior)
     seen = seen.withColumn("__features", array_to_vector("__features"))
-    trees = GBTClassifier(
-        featuresCol="__features", labelCol="label", rawPredictionCol="__margins", probabilityCol="__probability",
-        predictionCol="__prediction", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=64,
-    ).fit(seen.filter(~F.col("held")))
+    boosting = GBTClassifier(
+        featuresCol="__features", labelCol="label", predictionCol="__prediction", maxIter=rounds, maxDepth=depth,
+        stepSize=0.3, seed=seed, maxBins=64,
+    )
+    boosting = boosting.setRawPredictionCol("__margins").setProbabilityCol("__probability")
+    trees = boosting.fit(seen.filter(~F.col("held")))
     calibration = IsotonicRegression(featuresCol="__raw", labelCol="label", predictionCol="__score").fit(
         rows_with_raw(trees, seen.filter("held"))
     )
