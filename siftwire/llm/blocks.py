@@ -1,99 +1,203 @@
 """Texts as blocks of documents with a dictionary each: words cross the cluster once a block, not once a use.
 
-Every block has word rows (block, code, word, n) and document rows (block, key, codes); ``codes``
-is the packed sequence of word codes, that is, the positions. A value per distinct word is found by
-one join on the word rows; a cogroup on the block puts values and positions together again.
+A block is a stretch of documents of one task. Its distinct words are dealt into buckets by a hash
+and packed, a row for each bucket; its texts are packed sequences of word numbers, that is, the
+positions. Buckets bring equal words of all blocks together, so each distinct word is worked on
+once; what was found goes back, packed likewise, and a cogroup on the block puts values and
+positions together.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwire.llm.common import stored
+from siftwire.llm.common import bytes_of, stored
 
-BLOCK_BYTES = 24 << 20
-SCHEMA = "block string, code int, word binary, n int, id long, counted boolean, codes binary"
+BLOCK_BYTES = 16 << 20
+#: Text for each bucket of words, about; a bucket's words are held by one task.
+BUCKET_BYTES = 16 << 20
+CHUNK_WORDS = 1 << 18
+SCHEMA = "block string, bucket int, words binary, ids array<long>, counted array<boolean>, codes binary"
 
 
-def pack(codes: list[int]) -> bytes:
-    """Codes as bytes: a width mark, then 16-bit or 32-bit numbers."""
-    array = np.array(codes, dtype=np.uint32)
-    if not len(array) or array.max() < 1 << 16:
-        return b"\x02" + array.astype("<u2").tobytes()
-    return b"\x04" + array.astype("<u4").tobytes()
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=9).compress(data)
 
 
-def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, dtype="<u2" if packed[0] == 2 else "<u4", offset=1).astype(np.int64)
+def _expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def write_blocks(
-    docs: DataFrame, split: Callable[[str], list[bytes]], name: str, block_bytes: int = BLOCK_BYTES
-) -> tuple[DataFrame, DataFrame]:
-    """Word rows and document rows of ``docs`` (id long, text, counted boolean), written once.
+def pack_numbers(values: np.ndarray) -> bytes:
+    """Non-negative numbers below 2^32: a byte each, and what exceeds it in byte planes of its own.
 
-    ``n`` of a word row counts its uses in documents that are ``counted``. A block ends once its
-    texts reach ``block_bytes``; a single longer text is a block of its own.
+    Small numbers, which are most, so keep a stream whose bytes are all alike in kind.
     """
+    small = np.minimum(values, 255).astype(np.uint8)
+    large = (values[small == 255] - 255).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return len(small).to_bytes(8, "little") + _squeeze(small.tobytes() + np.ascontiguousarray(large).tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    n, plain = int.from_bytes(data[:8], "little"), _expand(data[8:])
+    small = np.frombuffer(plain, dtype=np.uint8, count=n)
+    large = np.ascontiguousarray(np.frombuffer(plain, dtype=np.uint8, offset=n).reshape(4, -1).T).view("<u4").reshape(-1)
+    out = small.astype(np.uint32)
+    out[small == 255] += large
+    return out
+
+
+def pack_ragged(lengths: list[int], values: np.ndarray | list[int]) -> bytes:
+    """Lists of numbers: how many, their lengths, their values one after the other."""
+    return pack_numbers(np.concatenate(([len(lengths)], np.array(lengths, dtype=np.int64), np.array(values, dtype=np.int64))))
+
+
+def pack_lists(lists: list[np.ndarray]) -> bytes:
+    return pack_ragged([len(x) for x in lists], np.concatenate(lists) if lists else [])
+
+
+def unpack_lists(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values)"""
+    numbers = unpack_numbers(data)
+    return numbers[1 : numbers[0] + 1].astype(np.int64), numbers[numbers[0] + 1 :].astype(np.int64)
+
+
+def pack_words(words: list[bytes], uses: list[int]) -> bytes:
+    lengths = np.array([len(w) for w in words])
+    numbers = pack_lists([lengths, np.array(uses)])
+    return len(numbers).to_bytes(4, "little") + numbers + _squeeze(b"".join(words))
+
+
+def unpack_words(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    """(words, uses of each)"""
+    n = int.from_bytes(data[:4], "little")
+    _, numbers = unpack_lists(data[4 : 4 + n])
+    lengths, uses = np.split(numbers, 2)
+    ends, text = np.cumsum(lengths).tolist(), _expand(data[4 + n :])
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else [], uses
+
+
+class _Block:
+    """Documents that share a dictionary. Words are numbered as met, and in the end by bucket and spelling."""
+
+    def __init__(self, name: str, buckets: int):
+        self.name, self.buckets = name, buckets
+        self.numbers: dict[bytes, int] = {}
+        self.texts: list[tuple[int | None, bool, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, key: int | None, counted: bool, words: list[bytes]) -> None:
+        numbers = self.numbers
+        found = [numbers.setdefault(w, len(numbers)) for w in words]
+        self.texts.append((key, counted, np.array(found, dtype=np.uint32)))
+        self.size += sum(map(len, words)) + 1
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        n = len(self.numbers)
+        none = np.zeros(0, dtype=np.uint32)
+        every = np.bincount(np.concatenate([none, *(t[2] for t in self.texts)]), minlength=n)
+        uses = np.bincount(np.concatenate([none, *(t[2] for t in self.texts if t[1])]), minlength=n)
+        words = list(self.numbers)
+        bucket = np.array([zlib.crc32(w) % self.buckets for w in words], dtype=np.int64)
+        rank = np.empty(n, dtype=np.uint32)
+        rank[np.argsort(-every, kind="stable")] = np.arange(n)  # frequent words get small numbers
+        by_bucket = np.argsort(bucket, kind="stable")
+        edges = np.nonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1))[0] if n else []
+        spelled: list[int] = []
+        for first, last in zip(edges[:-1], edges[1:], strict=True) if n else ():
+            part = sorted(by_bucket[first:last].tolist(), key=words.__getitem__)
+            spelled += part
+            packed = pack_words([words[i] for i in part], uses[part].tolist())
+            yield _row(self.name, int(bucket[part[0]]), packed, None, None, None)
+        # Ranks in the order in which the buckets' values will come back.
+        yield _row(self.name, -1, None, None, None, pack_numbers(rank[spelled]))
+        at, held = 0, 0
+        for end, text in enumerate(self.texts, 1):
+            held += len(text[2])
+            if held >= CHUNK_WORDS or end == len(self.texts):
+                part = self.texts[at:end]
+                codes = pack_lists([rank[t[2]] for t in part])
+                yield _row(self.name, -2, None, [t[0] for t in part], [t[1] for t in part], codes)
+                at, held = end, 0
+
+
+def _row(block: str, bucket: int, words: bytes | None, ids: list | None, counted: list | None, codes: bytes | None):
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary())
+    values = (block, bucket, words, ids, counted, codes)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "bucket", "words", "ids", "counted", "codes"]
+    )
+
+
+@dataclass
+class Blocks:
+    words: DataFrame  # block, bucket, words
+    texts: DataFrame  # of, ids, counted, codes; also the ranks of the block's words
+    buckets: int
+
+
+def write_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], name: str, block_bytes: int = BLOCK_BYTES) -> Blocks:
+    """Blocks of ``docs`` (id long, text, counted boolean), written once.
+
+    ``uses`` of a word count documents that are ``counted`` only. A block ends once its words reach
+    ``block_bytes``; a single longer text is a block of its own.
+    """
+    buckets = max(16, min(4096, bytes_of(docs, "text") // BUCKET_BYTES))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        codes: dict[bytes, int] = {}
-        uses: list[int] = []
-        rows: list[tuple] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made, size
-            block = f"{part}-{made}"
-            n, m = len(codes), len(rows)
-            words = [
-                pa.array([block] * n), pa.array(range(n), pa.int32()), pa.array(list(codes), pa.binary()),
-                pa.array(uses, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()),
-            ]
-            texts = [
-                pa.array([block] * m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32()),
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()),
-                pa.array([r[2] for r in rows], pa.binary()),
-            ]
-            names = ["block", "code", "word", "n", "id", "counted", "codes"]
-            for columns in (words, texts):
-                if len(columns[0]):
-                    yield pa.RecordBatch.from_arrays(columns, names)
-            codes.clear()
-            uses.clear()
-            rows.clear()
-            made, size = made + 1, 0
-
+        block = _Block(f"{part}-{made}", buckets)
         for batch in batches:
             for key, text, counted in zip(*(batch.column(i) for i in range(3)), strict=True):
-                text, counted = text.as_py() or "", bool(counted.as_py())
-                found = [codes.setdefault(w, len(codes)) for w in split(text)]
-                uses.extend([0] * (len(codes) - len(uses)))
-                if counted and found:
-                    tally = np.bincount(found)
-                    for code in np.nonzero(tally)[0].tolist():
-                        uses[code] += int(tally[code])
-                rows.append((key.as_py(), counted, pack(found)))
-                size += len(text)
-                if size >= block_bytes:
-                    yield from flush()
-        if rows:
-            yield from flush()
+                block.add(key.as_py(), bool(counted.as_py()), split(text.as_py() or ""))
+                if block.size >= block_bytes:
+                    yield from block.rows()
+                    made += 1
+                    block = _Block(f"{part}-{made}", buckets)
+        if block.texts:
+            yield from block.rows()
 
     out = stored(docs.select("id", "text", "counted").mapInArrow(build, SCHEMA), name)
-    words = out.filter(F.col("word").isNotNull()).select("block", "code", "word", "n")
-    return words, out.filter(F.col("word").isNull()).select(F.col("block").alias("of"), "id", "counted", "codes")
+    words = out.filter("bucket >= 0").select("block", "bucket", "words")
+    texts = out.filter("bucket < 0").select(F.col("block").alias("of"), "ids", "counted", "codes")
+    return Blocks(words, texts, buckets)
+
+
+def by_bucket(words: DataFrame) -> DataFrame:
+    """Word rows with those of a bucket together in one task, one bucket after the other."""
+    return words.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def read_texts(texts: pa.Table) -> tuple[np.ndarray, Iterator[tuple[int | None, bool, np.ndarray]]]:
+    """Of the document rows of a block: ranks of its words in the order of their values, and its documents."""
+    rows = list(zip(texts["ids"].to_pylist(), texts["counted"].to_pylist(), texts["codes"].to_pylist(), strict=True))
+    ranks = next(unpack_numbers(c).astype(np.int64) for i, _, c in rows if i is None)
+
+    def documents() -> Iterator[tuple[int | None, bool, np.ndarray]]:
+        for ids, counted, codes in rows:
+            if ids is not None:
+                lengths, values = unpack_lists(codes)
+                parts = np.split(values, np.cumsum(lengths)[:-1]) if len(lengths) else []
+                yield from zip(ids, counted, parts, strict=True)
+
+    return ranks, documents()
 
 
 def reassemble(
     values: DataFrame, texts: DataFrame, build: Callable[[pa.Table, pa.Table], pa.Table], schema: str
 ) -> DataFrame:
-    """``build(values of a block, its document rows)`` for every block; a block bounds the memory of a call."""
-    return values.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(build, schema)
+    """``build(value rows of a block by bucket, its document rows)`` for every block, which bounds a call's memory."""
+
+    def ordered(found: pa.Table, own: pa.Table) -> pa.Table:
+        return build(found.sort_by("bucket"), own)
+
+    return values.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(ordered, schema)

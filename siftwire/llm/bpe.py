@@ -6,14 +6,16 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwire.llm.blocks import BLOCK_BYTES, reassemble, unpack, write_blocks
+from siftwire.llm.blocks import BLOCK_BYTES, by_bucket, pack_ragged, read_texts, reassemble, unpack_lists, unpack_words, write_blocks
 
 #: Bound of a rank file: what is sent to every executor and held by each task.
 MAX_RANKS = 1_000_000
@@ -89,9 +91,9 @@ def encode(
 ) -> DataFrame:
     """(row_id, ids array<int>) of every row: each match of ``pattern`` encoded on its own, no special tokens.
 
-    Pre-tokens are exploded into distinct words per block of documents, with their positions packed
-    beside them. The words of all blocks shuffle together, each distinct one is encoded once, ids
-    join back and every text is put together by position. A null or empty text has no ids; repeated
+    Pre-tokens are exploded into the distinct words of a block of documents and their positions. The
+    words of all blocks meet in buckets, where each distinct one is encoded once; the ids go back to
+    their blocks and every text is put together by position. A null or empty text has no ids; repeated
     rows and null ids stay rows of their own.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
@@ -99,36 +101,48 @@ def encode(
     def split(value: str) -> list[bytes]:
         return [w.encode("utf-8", "replace") for w in _pattern(pattern).findall(value)]
 
+    class Encoded(dict):
+        """Ids of the words of a bucket, found at the first use."""
+
+        def __missing__(self, word: bytes) -> list[int]:
+            self[word] = ids = encode_word(word, ranks.value)
+            return ids
+
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
+        bucket, known = None, Encoded()
         for batch in batches:
-            ids = [encode_word(w, table) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            out = []
+            for number, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if number != bucket:
+                    bucket, known = number, Encoded()
+                found = [known[w] for w in unpack_words(packed)[0]]
+                out.append(pack_ragged([len(x) for x in found], list(chain.from_iterable(found))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "ids"]
+            )
 
     def put_together(values: pa.Table, texts: pa.Table) -> pa.Table:
-        order = np.argsort(values["code"].to_numpy())
-        column = values["ids"].combine_chunks()
-        offsets = column.offsets.to_numpy().astype(np.int64)
-        start, length = offsets[:-1][order], np.diff(offsets)[order]
-        flat = column.values.to_numpy()
-        out, sizes = [], [0]
-        for packed in texts["codes"].to_pylist():
-            codes = unpack(packed)
-            lengths = length[codes]
-            ends = np.cumsum(lengths)
+        found = [unpack_lists(x) for x in values["ids"].to_pylist()]
+        none = np.zeros(0, dtype=np.int64)
+        lengths, flat = np.concatenate([none, *(x[0] for x in found)]), np.concatenate([none, *(x[1] for x in found)])
+        ranks_of, documents = read_texts(texts)
+        length, start = np.empty_like(lengths), np.empty_like(lengths)
+        length[ranks_of], start[ranks_of] = lengths, np.cumsum(lengths) - lengths
+        flat, keys, parts, offsets = flat.astype(np.int32), [], [], [0]
+        for key, _, codes in documents:
+            own = length[codes]
+            ends = np.cumsum(own)
             total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.repeat(start[codes] - (ends - lengths), lengths) + np.arange(total)])
-            sizes.append(total)
-        ids = pa.ListArray.from_arrays(
-            pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(out) if out else [], pa.int32())
-        )
-        return pa.table([texts["id"], ids], names=["id", "ids"])
+            keys.append(key)
+            parts.append(pa.array(flat[np.repeat(start[codes] - (ends - own), own) + np.arange(total)]))
+            offsets.append(offsets[-1] + total)
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *parts]))
+        return pa.table([pa.array(keys, pa.int64()), ids], names=["id", "ids"])
 
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(False).alias("counted"))
-    words, texts = write_blocks(rows, split, "bpe-blocks", block_bytes)
-    encoded = words.select("word").distinct().mapInArrow(encode_words, "word binary, ids array<int>")
-    values = words.join(encoded, "word").select("block", "code", "ids")
-    return reassemble(values, texts, put_together, "id long, ids array<int>").withColumnRenamed("id", row_id)
+    blocks = write_blocks(rows, split, "bpe-blocks", block_bytes)
+    values = by_bucket(blocks.words).mapInArrow(encode_words, "block string, bucket int, ids binary")
+    return reassemble(values, blocks.texts, put_together, "id long, ids array<int>").withColumnRenamed("id", row_id)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -140,9 +154,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", name: str = "d
     table = encoded.sparkSession.sparkContext.broadcast([tokens.get(i) for i in range(max(tokens) + 1)])
 
     @F.pandas_udf("binary")
-    def look_up(column):
+    def look_up(column: pd.Series) -> pd.Series:
         own = table.value
-        return column.map(lambda x: b"" if x is None else b"".join([own[i] for i in x]))
+        return column.map(lambda x: b"" if x is None else b"".join([own[i] for i in x.tolist()]))
 
     return encoded.withColumn(name, look_up(ids))
 
