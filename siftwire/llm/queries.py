@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwire.llm import bpe, decontaminate, pii, sharding, simhash, toxicity, warc
+from siftwire.llm import ann, bpe, brown, decontaminate, pii, sharding, simhash, toxicity, url_filter, warc
 from siftwire.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,6 +19,14 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_mined_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.url_digest(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
+def op4_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.ann_digest(table(spark, folder, "embeddings"))
+
+
 def op5_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.fingerprint_digest(table(spark, folder, "documents"))
 
@@ -39,14 +47,21 @@ def op9_boosted_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_brown_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return brown.brown_digest(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_mined_url_rules": op3_mined_url_rules,
+    "op4_hilbert_neighbours": op4_hilbert_neighbours,
     "op5_simhash_components": op5_simhash_components,
     "op6_histogram_shards": op6_histogram_shards,
     "op7_fm_decontamination": op7_fm_decontamination,
     "op8_warc_index_merge": op8_warc_index_merge,
     "op9_boosted_toxicity": op9_boosted_toxicity,
+    "op10_brown_perplexity": op10_brown_perplexity,
 }
 
 ORACLES: dict[str, str] = {}
