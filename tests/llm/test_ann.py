@@ -31,7 +31,8 @@ def test_hilbert_neighbours_are_adjacent():
 def test_recall_order_and_ties(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
-    rows = [(i, (centres[rng.integers(12)] + 0.3 * rng.normal(size=16)).tolist()) for i in range(3000)]
+    vectors = [centres[rng.integers(12)] + 0.3 * rng.normal(size=16) for _ in range(3000)]
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(vectors)]
     rows += [(5000 + i, rows[40][1]) for i in range(60)]
     bad = [(6000, None), (6020, [0.0] * 16), (6040, [float("nan")] * 16), (6060, [1.0, None] + [0.0] * 14), (6080, [1.0]), (None, rows[0][1])]
     frame = spark.createDataFrame([(*r, "x") for r in [*rows, rows[7], *bad]], SCHEMA)

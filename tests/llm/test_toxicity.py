@@ -24,7 +24,7 @@ def make(n, seed, start=0):
 def test_features():
     lexicon = T.Lexicon({b"vile": 3.0, b"nast*": 2.0})
     named = dict(zip(T.FEATURES, T.features("YOU are a NASTYish v1le thing!! soooo", lexicon), strict=True))
-    assert named["strongest"] == 2.0 and named["hit_density"] == pytest.approx(1 / 8)
+    assert named["strongest"] == 2.0 and named["hit_density"] == pytest.approx(1 / 7)
     assert named["second_person_near"] > 0 and named["marks"] > 0 and named["letter_runs"] > 0 and named["capital_runs"] > 0
     assert named["obfuscated"] > 0 and named["obfuscated_hits"] > 0
     assert T.features(None, lexicon) == T.features("", lexicon) == T.features(" .,", lexicon) == [0.0] * len(T.FEATURES)

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 
@@ -53,7 +54,7 @@ def test_round_trip(spark, tmp_path, min_bytes):
     fields = lambda rows: sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str)
     assert fields(got) == plain(ROWS, min_bytes) and len({r.run for r in got}) > 1
     for r in got:
-        with open(r.run.removeprefix("file:"), "rb") as file:
+        with gzip.open(r.run.removeprefix("file:"), "rb") as file:
             file.seek(r.offset)
             assert file.read(r.length).startswith(b"WARC/1.1\r\n") and file.read(4) == b"\r\n\r\n"
     merged = warc.merge_runs(entries, range_rows=4).collect()
