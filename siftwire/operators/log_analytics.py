@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from siftwire.functions import wordlists as W
 MAX_HISTORY = 200
 
 
-def summary(log: DataFrame, as_of: Column) -> DataFrame:
-    """Totals, spam share, mean confidence and time, and today's rows in one pass."""
+def summary(log: DataFrame, as_of: Column, models: Iterable[str] = ()) -> DataFrame:
+    """Totals, spam share, mean confidence and time, and today's rows in one pass; ``models`` are those on offer."""
     total = F.count("id")
     spam = F.count_if(F.col("prediction") == "spam")
     return log.agg(
@@ -22,6 +24,7 @@ def summary(log: DataFrame, as_of: Column) -> DataFrame:
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"),
         F.coalesce(F.avg("processing_time_ms"), F.lit(0.0)).alias("avg_processing_time_ms"),
         F.count_if(F.col("created_at") >= F.date_trunc("day", as_of)).alias("predictions_today"),
+        F.array(*[F.lit(m) for m in sorted(models)]).cast("array<string>").alias("models_available"),
     )
 
 
@@ -55,11 +58,17 @@ def timeline_long(log: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
 
 
 def history(
-    log: DataFrame, user_id, limit: int = 50, offset: int = 0, columns: tuple[str, ...] = ()
+    log: DataFrame, user_id, limit: int = 50, offset: int = 0, columns: tuple[str, ...] = (),
+    largest_page: int = MAX_HISTORY,
 ) -> DataFrame:
-    """One user's rows, newest first, a page at a time; only asked-for columns are read."""
+    """One user's rows, newest first, a page at a time; only asked-for columns are read.
+
+    A page above ``largest_page`` rows is refused, not cut.
+    """
+    if not 0 <= limit <= largest_page:
+        raise ValueError(f"a page has at most {largest_page} rows, {limit} were asked for")
     mine = log.filter(F.col("user_id") == F.lit(user_id)).orderBy(F.col("created_at").desc(), F.col("id"))
-    page = mine.offset(offset).limit(min(limit, MAX_HISTORY))
+    page = mine.offset(offset).limit(limit)
     return page.select(*columns) if columns else page
 
 
@@ -87,11 +96,12 @@ def feedback_ingest(batch: DataFrame, predictions: DataFrame, feedback: DataFram
         .when(F.col("taken").isNotNull() | (F.col("id") != F.col("first_id")), "duplicate")
         .otherwise("accepted")
     )
-    return (
-        batch.join(known, "prediction_id", "left")
-        .withColumn("status", status)
-        .select(*batch.columns, "status")
-    )
+    # Only first rows are looked up; repeats of a common prediction never meet in the join.
+    firsts = batch.join(known.withColumn("id", F.col("first_id")), ["prediction_id", "id"], "left")
+    status = F.when(F.col("first_id").isNull(), "duplicate").otherwise(status)
+    missing = batch.filter(F.col("prediction_id").isNull()).withColumn("status", F.lit("not_found"))
+    named = firsts.filter(F.col("prediction_id").isNotNull()).withColumn("status", status)
+    return named.select(*batch.columns, "status").unionByName(missing.select(*batch.columns, "status"))
 
 
 def repeated_feedback(feedback: DataFrame) -> DataFrame:
@@ -111,7 +121,10 @@ def clear_missing_users(log: DataFrame, users: DataFrame) -> DataFrame:
     """Set ``user_id`` to null where the user is gone."""
     known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("user_exists")).distinct()
     kept = F.when(F.col("user_exists"), F.col("user_id"))
-    return log.join(known, "user_id", "left").withColumn("user_id", kept).select(*log.columns)
+    named = log.filter(F.col("user_id").isNotNull())
+    done = named.join(known, "user_id", "left").withColumn("user_id", kept).select(*log.columns)
+    # Rows without a user have nothing to look up; joined, they would all meet in one task.
+    return done.unionByName(log.filter(F.col("user_id").isNull()))
 
 
 def cascade_delete(feedback: DataFrame, predictions: DataFrame) -> DataFrame:

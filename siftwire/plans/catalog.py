@@ -20,6 +20,7 @@ from siftwire.operators import ingest as I
 from siftwire.operators import lexicon as L
 from siftwire.operators import log_analytics as Q
 from siftwire.operators import scoring as S
+from siftwire.plans import training as T
 from siftwire.plans.preprocess import preprocess, preprocess_to_text
 from siftwire.session import scratch_path
 from siftwire.sources import corpus as SC
@@ -157,9 +158,9 @@ def benchmark_store(spark, d):
 
 def model_registry(spark, d):
     root = scratch_path(spark, "models")
-    names = [r["model_used"] for r in V.prediction_log(spark, d).select("model_used").distinct().take(100)]
-    for name in names:
-        G.write_card(G.ModelCard(model_name=name), f"{root}/{name}", spark)
+    G.save_naive_bayes(G.fit_naive_bayes(_final_corpus(spark, d)), root)
+    rows, _ = _vectors(spark, d)
+    G.save_classifier(G.fit_classifier("logistic_regression", _part(rows, "train")), root, spark)
     return SC.model_registry(spark, root)
 
 
@@ -322,7 +323,7 @@ def build_vocab(spark, d):
 
 
 def texts_to_sequences(spark, d):
-    vocab = X.build_vocab(_final_corpus(spark, d), "final_text", 5000)
+    vocab = X.build_vocab(_final_corpus(spark, d), "final_text")
     coded = X.texts_to_sequences(preprocess_to_text(V.messages(spark, d)), vocab, "final_text")
     return coded.select("doc_id", F.array_join(F.col("sequence").cast("array<string>"), " ").alias("sequence"))
 
@@ -369,6 +370,19 @@ def score_by_model(spark, d):
     return scored.groupBy("model_used", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+def score_two_models(spark, d):
+    def logistic():
+        rows, vocabulary = _vectors(spark, d)
+        return S.classifier_scorer(G.fit_classifier("logistic_regression", _part(rows, "train")), vocabulary)
+
+    scorers = S.Scorers({"naive_bayes": lambda: S.naive_bayes_scorer(_bayes(spark, d)), "logistic_regression": logistic})
+    chats = V.chat_messages(spark, d)
+    both = scorers.score(chats, "naive_bayes").unionByName(scorers.score(chats))  # the second by the default
+    larger = F.abs(F.col("confidence") - F.greatest("spam_probability", "ham_probability")) < 1e-12
+    follows = (F.col("prediction") == "spam") == (F.col("spam_probability") >= 0.5)
+    return both.select("doc_id", "model_used", (larger & follows).alias("consistent"))
+
+
 def proba_argmax(spark, d):
     vectors = V.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("logits"))
     top = S.proba_argmax(vectors, "logits")
@@ -390,10 +404,7 @@ def score_stream(spark, d):
 
 
 def validate_requests(spark, d):
-    rows = V.messages(spark, d).join(
-        V.table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 7 / 5).alias("threshold")),
-        "doc_id",
-    )
+    rows = V.table(spark, d, "documents").select("doc_id", "text", "source", (F.col("doc_id") % 7 / 5).alias("threshold"))
     checked = Q.validate_requests(rows, "source")
     return checked.select("doc_id", joined("violations"))
 
@@ -441,15 +452,31 @@ def _part(rows, name):
 def _classifier(name, terms=None, **overrides):
     def query(spark, d):
         rows, _ = _vectors(spark, d, terms)
-        held = _part(rows, "val") if name == "xgboost" else None
+        held = _part(rows, "val") if name in ("xgboost", "lightgbm") else None
         fitted = G.fit_classifier(name, _part(rows, "train"), held, **overrides)
-        return fitted.score(rows).select(
-            "doc_id", "split", "label_encoded", "ham_probability", "spam_probability", "predicted"
-        )
+        return _checked(fitted.score(rows))
 
     return query
 
 
+def _checked(scored):
+    """Scored rows as facts that must hold: a share of one, the larger side wins, the training rows are learned."""
+    path = scratch_path(scored.sparkSession, "scored")
+    scored.select("doc_id", "split", "label_encoded", "ham_probability", "spam_probability", "predicted").write.parquet(path)
+    scored = scored.sparkSession.read.parquet(path)
+    right = F.avg((F.col("predicted") == F.col("label_encoded")).cast("int"))
+    learned = scored.filter(F.col("split") == "train").agg(right.alias("share")).select((F.col("share") > 0.85).alias("learned")).scalar()
+    ham, spam = F.col("ham_probability"), F.col("spam_probability")
+    return scored.select(
+        "doc_id",
+        "split",
+        "label_encoded",
+        ((F.abs(ham + spam - 1) < 1e-9) & ham.between(0, 1) & spam.between(0, 1)).alias("adds_up"),
+        ((spam == ham) | ((spam > ham) == (F.col("predicted") == 1))).alias("larger_wins"),
+        learned.alias("learned"),
+    )
+
+
 def feature_importance(spark, d):
     rows, vocabulary = _vectors(spark, d)
     fitted = G.fit_classifier("logistic_regression", _part(rows, "train"))
@@ -457,30 +484,24 @@ def feature_importance(spark, d):
 
 
 def train_all(spark, d):
-    rows, _ = _vectors(spark, d, 500)
-    names = ("naive_bayes", "logistic_regression", "svm")
-    fitted, _ = G.train_all(_part(rows, "train"), names, overrides={"svm": {"max_iter": 100}})
-    parts = [
-        f.score(_part(rows, "test")).select(
-            F.lit(f.name).alias("model"),
-            F.col("label_encoded").alias("y"),
-            F.col("predicted").alias("yhat"),
-            F.col("spam_probability").alias("score"),
-        )
-        for f in fitted
-    ]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return J.model_leaderboard(stacked)
+    rows, _ = _vectors(spark, d)
+    root = scratch_path(spark, "trained")
+    outcome, board = T.train_evaluate_store(rows, root)
+    cards = SC.model_registry(spark, root).select("model_name")
+    stored = cards.join(SC.load_benchmark(spark, f"{root}/benchmark").select("model_name"), "model_name", "left_semi")
+    ranked = board.select("model", F.col("f1").between(0, 1).alias("ranked"))
+    return outcome.join(ranked, "model", "left").join(stored.select(F.col("model_name").alias("model"), F.lit(True).alias("stored")), "model", "left")
 
 
 def model_save_load(spark, d):
     rows, _ = _vectors(spark, d)
     root = scratch_path(spark, "models")
-    G.save_classifier(G.fit_classifier("logistic_regression", _part(rows, "train")), root, spark)
-    back = G.load_classifier("logistic_regression", root, spark)
-    return back.score(rows).select("doc_id", "spam_probability", "predicted")
+    fitted = G.fit_classifier("logistic_regression", _part(rows, "train"))
+    G.save_classifier(fitted, root, spark)
+    back = G.load_classifier("logistic_regression", root, spark).score(rows).select("doc_id", "spam_probability", "predicted")
+    own = fitted.score(rows).select("doc_id", F.col("spam_probability").alias("p"), F.col("predicted").alias("y"))
+    same = (F.col("spam_probability") == F.col("p")) & (F.col("predicted") == F.col("y"))
+    return back.join(own, "doc_id").select("doc_id", same.alias("same"))
 
 
 # ---- evaluation ------------------------------------------------------------------------
@@ -491,19 +512,22 @@ def _scored(function):
 
 
 def scoring_latency(spark, d):
-    import time
-
-    rows = V.scored_rows(spark, d)
-    started = time.perf_counter()
-    rows.write.format("noop").mode("overwrite").save()
-    return J.scoring_latency(rows, time.perf_counter() - started)
+    rows, vocabulary = _vectors(spark, d)
+    scorers = {
+        "naive_bayes": S.naive_bayes_scorer(_bayes(spark, d)),
+        "logistic_regression": S.classifier_scorer(G.fit_classifier("logistic_regression", _part(rows, "train")), vocabulary),
+    }
+    jobs = {name: (lambda name=name: S.score_messages(V.messages(spark, d), scorers[name], name)) for name in scorers}
+    timed = J.scoring_latency(jobs, spark)
+    return timed.select("model", "n", (F.col("ms_per_row") > 0).alias("measured"))
 
 
 # ---- log -------------------------------------------------------------------------------
 
 
 def summary(spark, d):
-    return rounded(Q.summary(V.prediction_log(spark, d), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")))
+    told = Q.summary(V.prediction_log(spark, d), F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"), G.MODEL_NAMES)
+    return rounded(told.withColumn("models_available", joined("models_available")))
 
 
 def timeline(spark, d):
@@ -724,16 +748,17 @@ QUERIES = {
     "naive_bayes": naive_bayes,
     "balanced_weights": balanced_weights,
     "logistic_regression": _classifier("logistic_regression"),
-    "linear_svm": _classifier("svm", 2000, max_iter=100),
-    "random_forest": _classifier("random_forest", 1000, trees=50),
-    "boosted_trees": _classifier("xgboost", 1000, rounds=30),
-    "boosted_trees_leafwise": _classifier("lightgbm", 1000, rounds=30),
+    "linear_svm": _classifier("svm"),
+    "random_forest": _classifier("random_forest"),
+    "boosted_trees": _classifier("xgboost"),
+    "boosted_trees_leafwise": _classifier("lightgbm"),
     "train_all": train_all,
     "feature_importance": feature_importance,
     "model_save_load": model_save_load,
     "score_messages": score_messages,
     "score_batch": score_batch,
     "score_by_model": score_by_model,
+    "score_two_models": score_two_models,
     "proba_argmax": proba_argmax,
     "score_stream": score_stream,
     "validate_requests": validate_requests,

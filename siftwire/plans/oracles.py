@@ -380,7 +380,18 @@ ORACLES: dict[str, str] = {
     "count(*) AS n FROM log GROUP BY ALL",
     "benchmark_store": RESULTS,
     "model_benchmarks": RESULTS,
-    "model_registry": "SELECT DISTINCT event_type AS model_name FROM events",
+    "model_registry": "SELECT * FROM (VALUES ('naive_bayes'), ('logistic_regression')) AS t(model_name)",
+    "logistic_regression": f"{split_ctes()} SELECT doc_id, split, label_encoded, true AS adds_up, true AS larger_wins, true AS learned FROM split",
+    "linear_svm": f"{split_ctes()} SELECT doc_id, split, label_encoded, true AS adds_up, true AS larger_wins, true AS learned FROM split",
+    "random_forest": f"{split_ctes()} SELECT doc_id, split, label_encoded, true AS adds_up, true AS larger_wins, true AS learned FROM split",
+    "boosted_trees": f"{split_ctes()} SELECT doc_id, split, label_encoded, true AS adds_up, true AS larger_wins, true AS learned FROM split",
+    "boosted_trees_leafwise": f"{split_ctes()} SELECT doc_id, split, label_encoded, true AS adds_up, true AS larger_wins, true AS learned FROM split",
+    "model_save_load": "SELECT doc_id, true AS same FROM documents JOIN labels USING (doc_id)",
+    "train_all": "SELECT model, true AS fitted, CAST(NULL AS VARCHAR) AS error, true AS ranked, true AS stored FROM (VALUES ('naive_bayes'), "
+    "('logistic_regression'), ('svm'), ('random_forest'), ('xgboost'), ('lightgbm')) AS t(model)",
+    "scoring_latency": "SELECT model, count(*) AS n, true AS measured FROM documents CROSS JOIN (VALUES ('naive_bayes'), ('logistic_regression')) AS t(model) GROUP BY model",
+    "score_two_models": "SELECT conv_id * 1000 + turn AS doc_id, model AS model_used, true AS consistent FROM conversations "
+    "CROSS JOIN (VALUES ('naive_bayes'), ('logistic_regression')) AS t(model)",
     "clean_guard": step("coalesce(text, '')"),
     "strip_html_tags": step(sub("html", q("<[^>]+>"), " "), "pages", "page_id"),
     "fold_unicode": step("strip_accents(text)"),
@@ -435,7 +446,7 @@ ORACLES: dict[str, str] = {
     "c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 29998) "
     "SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) + 1 AS INTEGER) AS word_id FROM c UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1",
     "texts_to_sequences": f"WITH {CORPUS}, {text_ctes('corpus', 'doc_id')}, w AS (SELECT unnest(string_split(final, ' ')) AS word FROM ready), "
-    "c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 4998), "
+    "c AS (SELECT word, count(*) AS n FROM w WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 29998), "
     "v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 1 AS code FROM c), "
     f"{text_ctes('documents', 'doc_id', name='m')}, s AS (SELECT doc_id, list_filter(string_split(final, ' '), lambda x: x <> '')[1:256] AS ws FROM m), "
     "e AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM s), "
@@ -476,7 +487,7 @@ ORACLES: dict[str, str] = {
     "best_model": f"SELECT * FROM ({LEADER}) ORDER BY f1 DESC, model LIMIT 1",
     "summary": f"WITH {LOG} SELECT count(*) AS total_predictions, count(*) FILTER (WHERE prediction = 'spam') AS total_spam, count(*) FILTER (WHERE prediction <> 'spam') AS total_ham, "
     "round(count(*) FILTER (WHERE prediction = 'spam') / greatest(count(*), 1), 6) AS spam_ratio, round(coalesce(avg(confidence), 0), 6) AS avg_confidence, "
-    "round(coalesce(avg(processing_time_ms), 0), 6) AS avg_processing_time_ms, count(*) FILTER (WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00') AS predictions_today FROM log",
+    "round(coalesce(avg(processing_time_ms), 0), 6) AS avg_processing_time_ms, count(*) FILTER (WHERE created_at >= TIMESTAMP '2024-01-30 00:00:00') AS predictions_today, 'lightgbm|logistic_regression|naive_bayes|random_forest|svm|xgboost' AS models_available FROM log",
     "timeline": f"WITH {LOG} SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) FILTER (WHERE prediction = 'ham') AS ham, count(*) FILTER (WHERE prediction = 'spam') AS spam, "
     f"count(*) AS total FROM log WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY 1",
     "timeline_long": f"WITH {LOG} SELECT strftime(created_at, '%Y-%m-%d') AS date, model_used AS prediction, count(*) AS count FROM log "

@@ -50,11 +50,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def checkpointed(df):
-    """Cut the lineage of ``df`` through the shared folder, so lost executors are survivable."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
