@@ -15,11 +15,11 @@ def has_url(col: Column) -> Column:
 
 
 def has_email(col: Column) -> Column:
-    return F.coalesce(col.rlike(P.EMAIL), F.lit(False))
+    return F.coalesce(col.contains("@") & col.rlike(P.EMAIL), F.lit(False))
 
 
 def has_phone(col: Column) -> Column:
-    return F.coalesce(col.rlike(P.PHONE), F.lit(False))
+    return F.coalesce(col.rlike(P.DIGIT) & col.rlike(P.PHONE), F.lit(False))
 
 
 def has_currency(col: Column) -> Column:

@@ -18,7 +18,7 @@ def _words(text: Column) -> Column:
 
 
 def synonym_lists(synonyms: DataFrame) -> DataFrame:
-    """``word`` (lowercase) with its sorted ``choices``; a dictionary, so small and broadcast."""
+    """``word`` (lowercase) with its sorted ``choices``; broadcast where Spark finds it small."""
     return synonyms.groupBy(F.lower("word").alias("word")).agg(
         F.array_sort(F.collect_set("synonym")).alias("choices")
     )
@@ -33,7 +33,7 @@ def synonym_replace(
     key = [id_col] + ([draw_col] if draw_col else [])
     rows = df.repartition(F.col(id_col)).withColumn("words_", _words(F.col(text_col)))
     cells = rows.select(*key, F.posexplode_outer("words_").alias("pos", "token")).filter(F.length("token") > 3)
-    options = cells.join(F.broadcast(synonym_lists(synonyms)), F.lower("token") == F.col("word"))
+    options = cells.join(synonym_lists(synonyms), F.lower("token") == F.col("word"))
     pick = draw(seed, "synonym", F.col(id_col), turn, F.col("pos"))
     choice = F.col("choices")[F.pmod(pick, F.size("choices")).cast("int")]
     order = draw(seed, "order", F.col(id_col), turn, F.col("pos"))
@@ -59,7 +59,7 @@ def random_insert(
 ) -> DataFrame:
     """Insert a synonym of a drawn word at a drawn place, ``n`` times."""
     turn = F.col(draw_col) if draw_col else F.lit(0)
-    lists = F.broadcast(synonym_lists(synonyms).withColumnRenamed("word", "known_word"))
+    lists = synonym_lists(synonyms).withColumnRenamed("word", "known_word")
     rows = df.withColumn("words_", _words(F.col(text_col))).withColumn("empty_", F.size("words_") == 0)
     for k in range(n):
         size = F.greatest(F.size("words_"), F.lit(1))

@@ -151,11 +151,13 @@ def _linear_fit(num_features: int, width: float = KERNEL_WIDTH):
         import pandas as pd
 
         def ridge(x, y, w, alpha):
-            total = w.sum()
-            xm, ym = (w[:, None] * x).sum(0) / total, (w * y).sum() / total
-            xc, yc = x - xm, y - ym
-            gram = (xc * w[:, None]).T @ xc + alpha * np.eye(x.shape[1])
-            return np.linalg.solve(gram, (xc * w[:, None]).T @ yc)
+            """In samples rather than words where they are fewer; both forms have the same solution."""
+            total, root = w.sum(), np.sqrt(w)
+            xm, ym = (w @ x) / total, (w * y).sum() / total
+            a, b = (x - xm) * root[:, None], (y - ym) * root
+            if a.shape[1] <= a.shape[0]:
+                return np.linalg.solve(a.T @ a + alpha * np.eye(a.shape[1]), a.T @ b)
+            return a.T @ np.linalg.solve(a @ a.T + alpha * np.eye(a.shape[0]), b)
 
         for batch in batches:
             out = []
@@ -202,17 +204,18 @@ def explain_shap(
     seed: int = 42,
     text_col: str = "text",
     id_col: str = "doc_id",
+    block_words: int = 1,
 ) -> DataFrame:
     """Shapley values of the words for the spam class by hash-drawn permutations.
 
     Words join one after the other in the drawn order; the change of the spam probability is
     the word's share, averaged over permutations, so shares add up to f(text) - f(no words).
-    A text too long for one permutation within ``max_evals`` is cut into blocks of neighbouring
-    words whose share is divided evenly; every word is counted.
+    Every text has one whole permutation at least, and more while ``max_evals`` allows. With
+    ``block_words`` above 1 that many neighbouring words join together and divide their share evenly.
     """
     docs = _pieces(df, text_col, id_col).filter(F.size("all_words") > 0)
     size = F.size("all_words")
-    docs = docs.withColumn("block", F.ceil(size / F.lit(max(max_evals - 1, 1))).cast("int"))
+    docs = docs.withColumn("block", F.lit(block_words))
     docs = docs.withColumn("players", F.ceil(size / F.col("block")).cast("int"))
     docs = docs.withColumn(
         "permutations", F.greatest(F.lit(1), F.floor(F.lit(max_evals) / (F.col("players") + 1))).cast("int")
@@ -243,12 +246,14 @@ def explain_shap(
         lambda c: c["at"],
     )
     turns = turns.withColumn("order", order)
+    # The place of each player in the order, by player: one look-up tells whether a piece is present.
+    placed = F.array_sort(F.transform("order", lambda at, i: F.struct(at.alias("at"), (i + 1).alias("place"))))
+    turns = turns.withColumn("place_of", F.transform(placed, lambda c: c["place"]))
     steps = turns.select(
-        "key", "turn", "order", "owned",
+        "key", "turn", "place_of", "owned",
         F.posexplode_outer(F.concat(F.array(F.lit(-1)), F.col("order"))).alias("step", "player"),
     )
-    present = F.slice("order", F.lit(1), F.col("step"))
-    steps = steps.withColumn("present", present).select(
+    steps = steps.select(
         "key",
         "turn",
         "step",
@@ -257,7 +262,9 @@ def explain_shap(
         F.array_join(
             F.transform(
                 "owned",
-                lambda o: F.when((o["player"] < 0) | F.array_contains("present", o["player"]), o["piece"]).otherwise(""),
+                lambda o: F.when(
+                    (o["player"] < 0) | (F.get("place_of", o["player"]) <= F.col("step")), o["piece"]
+                ).otherwise(""),
             ),
             "",
         ).alias("text"),

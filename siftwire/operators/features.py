@@ -261,7 +261,7 @@ def texts_to_sequences(
         id_col, F.slice(K.tokenize_whitespace(F.col("source_text")), 1, length).alias("words")
     )
     cells = words.select(id_col, F.posexplode_outer("words").alias("pos", "word"))
-    coded = cells.join(F.broadcast(vocab), "word", "left").groupBy(id_col).agg(
+    coded = cells.join(vocab, "word", "left").groupBy(id_col).agg(
         F.array_sort(
             F.collect_list(
                 F.when(

@@ -15,6 +15,8 @@ from siftwire.plans.preprocess import PreprocessOptions, preprocess
 # (texts with `final_text`, id column, small columns to keep) -> id, keep, both probabilities
 Scorer = Callable[[DataFrame, str, tuple[str, ...]], DataFrame]
 
+# Tells rows apart that share an id but not the text; rows that repeat both are one message.
+TEXT_KEY = "__text_key"
 FACTS = ("original_length", "token_count", "spam_keyword_count", "has_url", "uppercase_ratio")
 
 
@@ -83,11 +85,13 @@ def score_messages(
     """Preprocess, score and decide: one log row per message, without the text itself.
 
     ``confidence`` is the larger probability; away from a threshold of one half it may belong
-    to the other label. Only the few facts kept in ``metadata`` travel with the terms.
+    to the other label. Only the few facts kept in ``metadata`` travel with the terms. Messages
+    that share an id are scored each; a message delivered twice, id and text, is one row.
     """
     ready = preprocess(df, text_col, id_col, options, lemmas)
-    texts = ready.select(id_col, *FACTS, *(["text"] if raw_text else []), "final_text")
-    scored = scorer(texts, id_col, FACTS)
+    key = F.xxhash64(text_col).alias(TEXT_KEY)
+    texts = ready.select(id_col, *FACTS, key, *(["text"] if raw_text else []), "final_text")
+    scored = scorer(texts, id_col, (*FACTS, TEXT_KEY))
     return scored.select(
         id_col,
         decide(F.col("spam_probability"), threshold).alias("prediction"),
@@ -111,8 +115,9 @@ def score_batch(
     ms_per_row: float | None = None,
 ) -> DataFrame:
     """Scores for the batch path: no metadata, tagged ``batch``, mean time if measured."""
-    ready = preprocess(df, text_col, id_col, options, lemmas).select(id_col, "text", "final_text")
-    scored = scorer(ready, id_col, ())
+    ready = preprocess(df, text_col, id_col, options, lemmas)
+    ready = ready.select(id_col, F.xxhash64("text").alias(TEXT_KEY), "text", "final_text")
+    scored = scorer(ready, id_col, (TEXT_KEY,))
     return scored.select(
         id_col,
         decide(F.col("spam_probability"), threshold).alias("prediction"),

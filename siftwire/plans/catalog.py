@@ -72,7 +72,7 @@ def read_labelled_csv(spark, d):
     path = scratch_path(spark, "csv")
     rows = V.corpus(spark, d).select(F.col("text").alias("body"), F.col("label_encoded").alias("class"))
     rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
-    df = SC.read_labelled_csv(spark, path, "body", "class", numeric_labels=True)
+    df = SC.read_labelled_csv(spark, path, "body", "class", numeric_labels=True, multi_line=True)
     return df.select("text", "label_encoded")
 
 

@@ -10,12 +10,12 @@ from siftwire.operators import ingest as I
 
 def read_labelled_tsv(
     spark: SparkSession, path: str, quote: str | None = '"', na_values: tuple[str, ...] = (),
-    encoding: str = "ISO-8859-1",
+    encoding: str = "ISO-8859-1", multi_line: bool = False,
 ) -> DataFrame:
     """Headerless ``label TAB text``: text, label and code.
 
     ``quote`` and ``na_values`` say outright what a leading quotation mark and a text like
-    ``NA`` mean; with a quote character a quoted text may span lines.
+    ``NA`` mean. With ``multi_line`` a quoted text may span lines, and a file is read by one task.
     """
     reader = (
         spark.read.schema("label string, text string")
@@ -23,7 +23,7 @@ def read_labelled_tsv(
         .option("encoding", encoding)
         .option("quote", quote or "")
         .option("escape", quote or "")
-        .option("multiLine", quote is not None)
+        .option("multiLine", multi_line)
     )
     df = reader.csv(path)
     if na_values:
@@ -33,10 +33,13 @@ def read_labelled_tsv(
 
 def read_labelled_csv(
     spark: SparkSession, path: str, text_column: str = "text", label_column: str = "label",
-    numeric_labels: bool = False,
+    numeric_labels: bool = False, multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header and caller-named columns; a missing column fails at once."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """CSV with a header and caller-named columns; a missing column fails at once.
+
+    With ``multi_line`` a quoted text may span lines, and a file is read by one task.
+    """
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     for name in (text_column, label_column):
         if name not in df.columns:
             raise ValueError(f"column '{name}' not found in {path}")
