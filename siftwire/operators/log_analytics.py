@@ -96,12 +96,11 @@ def feedback_ingest(batch: DataFrame, predictions: DataFrame, feedback: DataFram
         .when(F.col("taken").isNotNull() | (F.col("id") != F.col("first_id")), "duplicate")
         .otherwise("accepted")
     )
-    # Only first rows are looked up; repeats of a common prediction never meet in the join.
-    firsts = batch.join(known.withColumn("id", F.col("first_id")), ["prediction_id", "id"], "left")
-    status = F.when(F.col("first_id").isNull(), "duplicate").otherwise(status)
+    # Two plain exchanges meet here, so adaptive execution can split a prediction with very many rows.
+    named = batch.filter(F.col("prediction_id").isNotNull()).join(known, "prediction_id", "left")
     missing = batch.filter(F.col("prediction_id").isNull()).withColumn("status", F.lit("not_found"))
-    named = firsts.filter(F.col("prediction_id").isNotNull()).withColumn("status", status)
-    return named.select(*batch.columns, "status").unionByName(missing.select(*batch.columns, "status"))
+    named = named.withColumn("status", status).select(*batch.columns, "status")
+    return named.unionByName(missing.select(*batch.columns, "status"))
 
 
 def repeated_feedback(feedback: DataFrame) -> DataFrame:
