@@ -380,6 +380,8 @@ ORACLES: dict[str, str] = {
     "count(*) AS n FROM log GROUP BY ALL",
     "benchmark_store": RESULTS,
     "model_benchmarks": RESULTS,
+    # The entities that occur in the table; the ampersand comes last, as its result is not read again.
+    "html_unescape": "SELECT page_id, regexp_replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g') AS result FROM pages",
     "model_registry": "SELECT * FROM (VALUES ('naive_bayes'), ('logistic_regression')) AS t(model_name)",
     "logistic_regression": f"{split_ctes()} SELECT doc_id, split, label_encoded, true AS adds_up, true AS larger_wins, true AS learned FROM split",
     "linear_svm": f"{split_ctes()} SELECT doc_id, split, label_encoded, true AS adds_up, true AS larger_wins, true AS learned FROM split",
