@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -69,7 +70,8 @@ def write_archives(
     others are revisits that refer to it and carry its length and digest but no payload. A null
     payload is empty, a null url an empty one, and a null id no id: such a row is a revisit only of
     an id that is known. Records end with the two line ends that Spark's text writer puts after each
-    row, so the files are written, committed and retried as any output of Spark.
+    row, so the files are written, committed and retried as any output of Spark. A file is one gzip
+    stream; offsets in the index are those of its content.
     """
     captured = captured if captured is not None else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col(row_id), F.lit(0)))
     rows = with_revisits(
@@ -109,7 +111,7 @@ def write_archives(
     size = pages.agg(F.sum(F.octet_length(payload).cast("bigint"))).first()[0] or 0
     files = max(1, -(-size // archive_bytes))
     # Dealt by place, not by key: a common address or payload is spread like any other row.
-    rows.select(record.alias("value")).repartition(files).write.option("lineSep", "\r\n\r\n").text(path)
+    rows.select(record.alias("value")).repartition(files).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def _base32_of_hex(column: str) -> Column:
@@ -157,7 +159,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for offset, length, fields, block in parse_archive(content.as_buffer().to_pybytes()):
+                for offset, length, fields, block in parse_archive(gzip.decompress(content.as_buffer())):
                     payload = block.partition(b"\r\n\r\n")[2]
                     kind = fields["warc-type"]
                     own, url = kind == "response", fields.get("warc-target-uri", "")
@@ -174,7 +176,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(c, f.type) for c, f in zip(columns, ARROW_ENTRY, strict=True)], schema=ARROW_ENTRY
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select("path", "content").mapInArrow(read, ENTRY)
 
 
