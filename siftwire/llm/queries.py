@@ -64,4 +64,43 @@ QUERIES = {
     "op10_brown_perplexity": op10_brown_perplexity,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLES: dict[str, str] = {
+    "op7_fm_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        items AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+        starts AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM items),
+        windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS p FROM starts),
+        sizes AS (SELECT DISTINCT n FROM windows),
+        places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= n),
+        cut AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS p FROM places),
+        hits AS (SELECT doc_id, item_id, n, i FROM cut JOIN windows USING (n, p)),
+        covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM hits) GROUP BY doc_id),
+        held AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+                 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN held USING (doc_id)
+    """,
+    "op8_warc_index_merge": r"""
+        WITH p AS (SELECT page_id, lower(trim(coalesce(url, ''))) AS url, coalesce(html, '') AS html FROM pages),
+        s AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS top,
+                     regexp_replace(url, '^[a-z][a-z0-9+.-]*://', '') AS rest FROM p),
+        k AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host FROM s),
+        u AS (SELECT *, regexp_replace(substr(rest, length(host) + 1), '#.*$', '') AS path,
+                     list_reverse(string_split(regexp_replace(host, '^www[0-9]*[.]', ''), '.')) AS labels FROM k)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((CAST('0x' || substr(hex, i // 4 * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+               CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN top <> page_id THEN top END AS refers_to,
+               array_to_string(labels, ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key,
+               strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
+        FROM u
+    """,
+}

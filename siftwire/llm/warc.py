@@ -267,5 +267,5 @@ def capture_index(pages: DataFrame, min_bytes: int = 0, **names) -> DataFrame:
 
 def archive_digest(pages: DataFrame) -> DataFrame:
     return capture_index(pages).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "range", "place", "capture"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured"
     )
