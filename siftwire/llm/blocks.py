@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from siftwire.llm.common import bytes_of, stored
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Text for each bucket of words, about; a bucket's words are held by one task.
 BUCKET_BYTES = 16 << 20
 CHUNK_WORDS = 1 << 18
+#: Words of a block that are numbered by frequency; the others follow by bucket and spelling, which needs no table.
+FREQUENT = 1 << 13
 SCHEMA = "block string, bucket int, words binary, ids array<long>, counted array<boolean>, codes binary"
 
 
@@ -71,6 +73,25 @@ def unpack_lists(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return numbers[1 : numbers[0] + 1].astype(np.int64), numbers[numbers[0] + 1 :].astype(np.int64)
 
 
+def pack_runs(lengths: list[int], values: list[int]) -> bytes:
+    """Lists of numbers whose neighbours are alike: values stay whole, so that repeats of several compress away."""
+    wide = max(values, default=0) >= 1 << 16
+    head = pack_numbers(np.array([int(wide), *lengths], dtype=np.int64))
+    return len(head).to_bytes(4, "little") + head + _squeeze(np.array(values, dtype="<u4" if wide else "<u2").tobytes())
+
+
+def unpack_runs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, values)"""
+    n = int.from_bytes(data[:4], "little")
+    wide, *_ = head = unpack_numbers(data[4 : 4 + n])
+    return head[1:].astype(np.int64), np.frombuffer(_expand(data[4 + n :]), dtype="<u4" if wide else "<u2").astype(np.int32)
+
+
+def release() -> None:
+    """Give the memory that Arrow keeps for reuse back: workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+
+
 def pack_words(words: list[bytes], uses: list[int]) -> bytes:
     lengths = np.array([len(w) for w in words])
     numbers = pack_lists([lengths, np.array(uses)])
@@ -108,8 +129,6 @@ class _Block:
         uses = np.bincount(np.concatenate([none, *(t[2] for t in self.texts if t[1])]), minlength=n)
         words = list(self.numbers)
         bucket = np.array([zlib.crc32(w) % self.buckets for w in words], dtype=np.int64)
-        rank = np.empty(n, dtype=np.uint32)
-        rank[np.argsort(-every, kind="stable")] = np.arange(n)  # frequent words get small numbers
         by_bucket = np.argsort(bucket, kind="stable")
         edges = np.nonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1))[0] if n else []
         spelled: list[int] = []
@@ -118,8 +137,12 @@ class _Block:
             spelled += part
             packed = pack_words([words[i] for i in part], uses[part].tolist())
             yield _row(self.name, int(bucket[part[0]]), packed, None, None, None)
-        # Ranks in the order in which the buckets' values will come back.
-        yield _row(self.name, -1, None, None, None, pack_numbers(rank[spelled]))
+        order = np.array(spelled, dtype=np.int64)
+        frequent = np.argsort(-every[order], kind="stable")[:FREQUENT]
+        rank = np.empty(n, dtype=np.uint32)
+        rank[order] = numbers_of(frequent, n)
+        # Where the frequent words stand in the order in which the buckets' values will come back.
+        yield _row(self.name, -1, None, None, None, pack_numbers(frequent))
         at, held = 0, 0
         for end, text in enumerate(self.texts, 1):
             held += len(text[2])
@@ -138,6 +161,16 @@ def _row(block: str, bucket: int, words: bytes | None, ids: list | None, counted
     )
 
 
+def numbers_of(frequent: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of ``n`` words in their order by bucket and spelling: the frequent ones first, in their own order."""
+    numbers = np.empty(n, dtype=np.int64)
+    rare = np.ones(n, dtype=bool)
+    rare[frequent] = False
+    numbers[frequent] = np.arange(len(frequent))
+    numbers[rare] = np.arange(len(frequent), n)
+    return numbers
+
+
 @dataclass
 class Blocks:
     words: DataFrame  # block, bucket, words
@@ -163,8 +196,11 @@ def write_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], name: str
                     yield from block.rows()
                     made += 1
                     block = _Block(f"{part}-{made}", buckets)
+                    release()
         if block.texts:
             yield from block.rows()
+        del block
+        release()
 
     out = stored(docs.select("id", "text", "counted").mapInArrow(build, SCHEMA), name)
     words = out.filter("bucket >= 0").select("block", "bucket", "words")
@@ -177,10 +213,10 @@ def by_bucket(words: DataFrame) -> DataFrame:
     return words.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def read_texts(texts: pa.Table) -> tuple[np.ndarray, Iterator[tuple[int | None, bool, np.ndarray]]]:
-    """Of the document rows of a block: ranks of its words in the order of their values, and its documents."""
+def read_texts(texts: pa.Table, n: int) -> tuple[np.ndarray, Iterator[tuple[int | None, bool, np.ndarray]]]:
+    """Of the document rows of a block: numbers of its ``n`` words in the order of their values, and its documents."""
     rows = list(zip(texts["ids"].to_pylist(), texts["counted"].to_pylist(), texts["codes"].to_pylist(), strict=True))
-    ranks = next(unpack_numbers(c).astype(np.int64) for i, _, c in rows if i is None)
+    ranks = numbers_of(next(unpack_numbers(c).astype(np.int64) for i, _, c in rows if i is None), n)
 
     def documents() -> Iterator[tuple[int | None, bool, np.ndarray]]:
         for ids, counted, codes in rows:
@@ -198,6 +234,7 @@ def reassemble(
     """``build(value rows of a block by bucket, its document rows)`` for every block, which bounds a call's memory."""
 
     def ordered(found: pa.Table, own: pa.Table) -> pa.Table:
+        release()
         return build(found.sort_by("bucket"), own)
 
     return values.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(ordered, schema)

@@ -9,13 +9,12 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwire.llm.blocks import BLOCK_BYTES, by_bucket, pack_ragged, read_texts, reassemble, unpack_lists, unpack_words, write_blocks
+from siftwire.llm.blocks import BLOCK_BYTES, by_bucket, pack_runs, read_texts, reassemble, release, unpack_runs, unpack_words, write_blocks
 
 #: Bound of a rank file: what is sent to every executor and held by each task.
 MAX_RANKS = 1_000_000
@@ -116,27 +115,34 @@ def encode(
                 if number != bucket:
                     bucket, known = number, Encoded()
                 found = [known[w] for w in unpack_words(packed)[0]]
-                out.append(pack_ragged([len(x) for x in found], list(chain.from_iterable(found))))
+                out.append(pack_runs([len(x) for x in found], list(chain.from_iterable(found))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "ids"]
             )
+        known.clear()
+        release()
 
     def put_together(values: pa.Table, texts: pa.Table) -> pa.Table:
-        found = [unpack_lists(x) for x in values["ids"].to_pylist()]
-        none = np.zeros(0, dtype=np.int64)
-        lengths, flat = np.concatenate([none, *(x[0] for x in found)]), np.concatenate([none, *(x[1] for x in found)])
-        ranks_of, documents = read_texts(texts)
+        found = [unpack_runs(x) for x in values["ids"].to_pylist()]
+        lengths = np.concatenate([np.zeros(0, dtype=np.int64), *(x[0] for x in found)])
+        flat = np.concatenate([np.zeros(0, dtype=np.int32), *(x[1] for x in found)])
+        del found
+        ranks_of, documents = read_texts(texts, len(lengths))
         length, start = np.empty_like(lengths), np.empty_like(lengths)
         length[ranks_of], start[ranks_of] = lengths, np.cumsum(lengths) - lengths
-        flat, keys, parts, offsets = flat.astype(np.int32), [], [], [0]
+        keys, parts, offsets = [], [], [0]
         for key, _, codes in documents:
             own = length[codes]
             ends = np.cumsum(own)
             total = int(ends[-1]) if len(ends) else 0
             keys.append(key)
-            parts.append(pa.array(flat[np.repeat(start[codes] - (ends - own), own) + np.arange(total)]))
+            parts.append(flat[np.repeat(start[codes] - (ends - own), own) + np.arange(total)])
             offsets.append(offsets[-1] + total)
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([pa.array([], pa.int32()), *parts]))
+        whole = np.empty(offsets[-1], dtype=np.int32)
+        for first, last, part in zip(offsets, offsets[1:], parts, strict=False):
+            whole[first:last] = part
+        del parts
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(whole))
         return pa.table([pa.array(keys, pa.int64()), ids], names=["id", "ids"])
 
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"), F.lit(False).alias("counted"))
@@ -153,10 +159,13 @@ def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids", name: str = "d
     tokens = {rank: token for token, rank in load_ranks(ranks_path).items()}
     table = encoded.sparkSession.sparkContext.broadcast([tokens.get(i) for i in range(max(tokens) + 1)])
 
-    @F.pandas_udf("binary")
-    def look_up(column: pd.Series) -> pd.Series:
-        own = table.value
-        return column.map(lambda x: b"" if x is None else b"".join([own[i] for i in x.tolist()]))
+    @F.arrow_udf("binary")
+    def look_up(column: pa.Array) -> pa.Array:
+        own, out = table.value, []
+        for row in column:
+            found = row.values  # None for a null list
+            out.append(b"" if found is None else b"".join([own[i] for i in found.to_pylist()]))
+        return pa.array(out, pa.binary())
 
     return encoded.withColumn(name, look_up(ids))
 

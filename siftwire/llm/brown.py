@@ -287,7 +287,7 @@ def score_texts(
 
     def code(values: pa.Table, texts: pa.Table) -> pa.Table:
         parts = [np.split(unpack_lists(x)[1], 2) for x in values["facts"].to_pylist()]
-        ranks, documents = read_texts(texts)
+        ranks, documents = read_texts(texts, sum(len(p[0]) for p in parts))
         uses, unit = np.empty_like(ranks), np.empty_like(ranks)
         uses[ranks], unit[ranks] = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         base = np.log10((uses + 0.1) / (n_all + 0.1 * (n_words + 1)))
