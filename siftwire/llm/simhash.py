@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from siftwire.llm.common import stored
 from siftwire.llm.components import components
+from siftwire.llm.near_copies import drop_near_copies
 
 SEED = 42
 #: First bit and width of each block.
@@ -212,19 +213,6 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(
-    docs: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = 5, threshold: int = 8
-) -> DataFrame:
-    """Rows of ``docs``, one of each group of linked texts: the one with the smallest id.
-
-    Rows without an id cannot be told apart and stay, as do rows without words, which nothing
-    shows to be copies. Rows that repeat the kept id are kept once.
-    """
-    worded = docs.filter(F.col(row_id).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    groups = stored(near_duplicates(worded, text, row_id, width, threshold).select(row_id, "component_id"), "groups")
-    per_id = stored(groups.groupBy(row_id).agg(F.min("component_id").alias("group"), F.count("*").alias("n")), "ids")
-    gone = per_id.filter(F.col(row_id) != F.col("group")).select(row_id)
-    twice = per_id.filter((F.col(row_id) == F.col("group")) & (F.col("n") > 1)).select(row_id)
-    kept = docs.join(gone, row_id, "left_anti")
-    once = kept.join(twice, row_id, "left_semi").dropDuplicates([row_id])
-    return kept.join(twice, row_id, "left_anti").unionByName(once).select(docs.columns)
+def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = 5) -> DataFrame:
+    """Rows of ``docs`` without near copies. Fingerprints alone never delete: see ``near_copies``."""
+    return drop_near_copies(docs, text, row_id, width)
