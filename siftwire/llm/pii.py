@@ -227,7 +227,42 @@ KINDS: list[tuple[str, re.Pattern, Callable]] = [
     )
 ]
 #: What a text must hold for any of the kinds; tested before a text goes to Python.
-GUARD = r"[0-9@]|(?i:passw|pwd|secret|token|api[_-]?key)"
+GUARD = r"[0-9@]|AKIA|ASIA|(?i:passw|pwd|secret|token|api[_-]?key)"
+#: Registered length of the IBANs of a country.
+IBAN_LENGTHS = {
+    country: length
+    for length, countries in (
+        (15, "NO"), (16, "BE"), (18, "DK FI FK FO GL NL SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU MN XK"),
+        (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ OM SO TL"),
+        (24, "AD CZ DZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"), (26, "IS TR"), (27, "BI DJ FR GR IT MC MR SM"),
+        (28, "AL AZ BY CY DO GT HU LB NI PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU YE"), (31, "MT SC"), (32, "LC"), (33, "RU"),
+    )
+    for country in countries.split()
+}
+
+
+def _matches(kind: str, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches of ``pattern`` in order; of an IBAN, which may have swallowed words that follow, the part that validates.
+
+    The registered length of its country is tried first, then the whole match, and where no length
+    is known every shorter end of a group. After one that fails, the search goes on inside it.
+    """
+    if kind != "iban":
+        yield from pattern.finditer(text)
+        return
+    at = 0
+    while m := pattern.search(text, at):
+        at = m.start() + 1
+        ends = [m.end(), *(i for i in range(m.end() - 1, at, -1) if text[i] == " ")]
+        if length := IBAN_LENGTHS.get(m[0][:2]):
+            ends = [e for e in ends if len(text[m.start() : e].replace(" ", "")) == length] + ends[:1]
+        for end in ends:
+            part = pattern.fullmatch(text, m.start(), end)
+            compact = part[0].replace(" ", "") if part else ""
+            if 15 <= len(compact) <= 34 and iban_check(compact[:2], compact[4:]) == compact[2:4]:
+                yield part
+                at = end
+                break
 
 
 def replace_values(text: str | None, cipher: Cipher, back: bool = False) -> tuple[str | None, list[tuple[str, str]]]:
@@ -235,7 +270,7 @@ def replace_values(text: str | None, cipher: Cipher, back: bool = False) -> tupl
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text or ""))
     for kind, pattern, replace in KINDS:
-        for m in pattern.finditer(text or ""):
+        for m in _matches(kind, pattern, text or ""):
             first, end = m.span("v") if "v" in pattern.groupindex else m.span()
             if any(taken[first:end]) or (new := replace(cipher, m, back)) is None:
                 continue
