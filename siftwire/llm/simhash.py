@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from siftwire.llm.common import stored
 from siftwire.llm.components import components
-from siftwire.llm.near_copies import drop_near_copies
 
 SEED = 42
 #: First bit and width of each block.
@@ -186,6 +185,13 @@ def links(prints: DataFrame, threshold: int = 4, code: str | None = None, cell:
     )
 
 
+def _print_groups(prints: DataFrame, threshold: int) -> DataFrame:
+    """(fp, root) for every distinct fingerprint of ``prints``: equal roots exactly where links join them."""
+    distinct = stored(prints.select("fp").distinct(), "distinct-prints")
+    roots = components(links(distinct, threshold)).withColumnRenamed("node", "fp")
+    return stored(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "print-roots")
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = 4, threshold: int = 4
 ) -> DataFrame:
@@ -195,16 +201,13 @@ def near_duplicates(
     null id is never the smallest, and a component of null ids has a null id. Exact copies meet in
     one aggregate and are never compared with each other.
     """
-    prints = stored(with_fingerprint(docs.select(row_id, text), text, width).select(row_id, "fp"), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min(row_id).alias("low")), "distinct-prints")
-    roots = components(links(distinct, threshold))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
-    joined = stored(joined, "print-roots")
-    ids = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_print = stored(joined.join(stored(ids, "root-ids"), "root").select("fp", "component_id"), "print-ids")
-    return prints.join(of_print, "fp").select(row_id, "fp", "component_id")
+    named = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"))
+    prints = stored(with_fingerprint(named, "text", width).select("row_id", "fp"), "prints")
+    lows = prints.groupBy("fp").agg(F.min("row_id").alias("low")).join(_print_groups(prints, threshold), "fp")
+    lows = stored(lows, "print-lows")
+    ids = lows.groupBy("root").agg(F.min("low").alias("component_id"))
+    of_print = stored(lows.join(stored(ids, "root-ids"), "root").select("fp", "component_id"), "print-ids")
+    return prints.join(of_print, "fp").select(F.col("row_id").alias(row_id), "fp", "component_id")
 
 
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
@@ -213,6 +216,27 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = 5) -> DataFrame:
-    """Rows of ``docs`` without near copies. Fingerprints alone never delete: see ``near_copies``."""
-    return drop_near_copies(docs, text, row_id, width)
+def drop_near_duplicates(
+    docs: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = 4, threshold: int = 4
+) -> DataFrame:
+    """Rows of ``docs``, one of each group of ``near_duplicates``: that with the smallest id.
+
+    Ids sort before a missing one, so a group of rows without ids keeps one of them; texts without
+    words are one group. Rows that repeat the kept id and fingerprint are kept once. Columns stay
+    as they are, whatever their names.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    named = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), whole)
+    held = stored(with_fingerprint(named, "text", width).select("row_id", "fp", "row"), "fingerprinted")
+    rows = held.groupBy("row_id", "fp").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("row_id").isNull().alias("missing"), "row_id", "fp", "n")).alias("best")
+    groups = _print_groups(held, threshold)
+    kept = stored(rows.join(groups, "fp").groupBy("root").agg(best).select("best.row_id", "best.fp", "best.n"), "kept")
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        some = some.select(F.col("row_id").alias("id"), F.col("fp").alias("print"))
+        return held.join(some, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("print")), "left_semi")
+
+    once = rows_of(kept.filter("n = 1"))
+    repeated = rows_of(kept.filter("n > 1")).dropDuplicates(["row_id", "fp"])
+    return once.union(repeated).select("row.*")

@@ -103,6 +103,8 @@ def test_near_duplicates(spark):
     assert got == {(9, 4), (4, 4), (7, 4), (1, 1), (2, 1), (3, 3), (None, 4)}
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or -1, r.fp or "") for r in kept.collect()) == [(-1, "n"), (1, ""), (2, "a"), (3, ""), (4, "y")]
+    assert sorted((r.doc_id, r.fp or "") for r in kept.collect()) == [(1, ""), (3, ""), (4, "y")]
+    nameless = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (None, "other words stand here now")], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.drop_near_duplicates(nameless).collect()) == ["a b c d e", "other words stand here now"]
     empty = spark.createDataFrame([], docs.schema)
     assert simhash.fingerprint_digest(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
