@@ -1,4 +1,4 @@
-"""Training corpus from the documents table: toxicity, near copies, benchmark passages, personal data, tokens.
+"""Training corpus from the documents table: toxicity, near duplicates, benchmark passages, personal data, tokens.
 
 Every stage reads what the stage before it wrote; all but the last return the columns of documents.
 """
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwire.llm import bpe, decontaminate, near_copies, pii, toxicity
+from siftwire.llm import bpe, decontaminate, pii, simhash, toxicity
 from siftwire.llm.common import stored, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,9 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group joined by 0.8 or more of common five-word shingles (Jaccard)."""
-    return near_copies.drop_near_copies(docs, width=5)
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group that fingerprints of four-word shingles link within four bits."""
+    return simhash.drop_near_duplicates(docs, width=4, threshold=4)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near_copies", drop_near_copies),
+    ("near_duplicates", drop_near_duplicates),
     ("decontamination", drop_benchmark_copies),
     ("personal_data", replace_personal_data),
     ("tokens", encode_tokens),
