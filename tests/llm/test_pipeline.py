@@ -25,7 +25,7 @@ def rows(frame):
 
 
 def test_columns(stages):
-    for name in ("toxicity", "near_copies", "decontamination", "personal_data"):
+    for name in ("toxicity", "near_duplicates", "decontamination", "personal_data"):
         assert stages[name].dtypes == stages["documents"].dtypes
 
 
@@ -35,15 +35,14 @@ def test_toxicity_stage(spark, small, stages):
     assert {i for i, _ in rows(stages["toxicity"])} == {r.doc_id for r in scores.filter("predicted = 0").collect()}
 
 
-def test_near_copy_stage(stages):
+def test_near_duplicate_stage(stages):
     before = rows(stages["toxicity"])
-    prints = [(i, plain_fingerprint(t, 5)) for i, t in before if (t or "").split()]
-    low = plain_components(prints, C.NEAR_BITS)
-    assert {i for i, _ in rows(stages["near_copies"])} == {i for i, t in before if low.get(i, i) == i}
+    low = plain_components([(i, plain_fingerprint(t)) for i, t in before], 4)
+    assert {i for i, _ in rows(stages["near_duplicates"])} == set(low.values()) and len(set(low.values())) < len(before)
 
 
 def test_passage_stage(spark, small, stages):
-    before = rows(stages["near_copies"])
+    before = rows(stages["near_duplicates"])
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     clean = {i for i, words, hit, _ in plain_passages(before, items) if not (hit and 20 * hit >= words)}
     assert {i for i, _ in rows(stages["decontamination"])} == clean and len(clean) < len(before)
