@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwire.llm import ann, bpe, brown, decontaminate, pii, sharding, simhash, toxicity, url_filter, warc
+from siftwire.llm import ann, bpe, brown, decontaminate, pii, sharding, simhash, toxicity, trie, url_filter, warc
 from siftwire.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,6 +51,10 @@ def op10_brown_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return brown.brown_digest(table(spark, folder, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.trie_digest(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
     "op2_byte_bpe": op2_byte_bpe,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_warc_index_merge": op8_warc_index_merge,
     "op9_boosted_toxicity": op9_boosted_toxicity,
     "op10_brown_perplexity": op10_brown_perplexity,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _WORDS = (
@@ -103,4 +108,33 @@ ORACLES: dict[str, str] = {
                strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
         FROM u
     """,
+    "op13_conversation_trie": """
+        WITH own AS (SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+                     FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT c, c - c % 5 AS base, count(*) AS n, CAST(c AS VARCHAR) AS name FROM own GROUP BY c),
+        heads AS (SELECT c, base, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                             list_transform(range(length(name)), lambda i: CAST(ascii(substr(name, CAST(i AS INTEGER) + 1, 1)) AS BIGINT))),
+                         lambda crc, b: list_reduce(list_prepend(xor(crc, b), CAST(range(8) AS BIGINT[])),
+                             lambda v, i: xor(v >> 1, (v & 1) * CAST(3988292384 AS BIGINT)))), CAST(4294967295 AS BIGINT)) % 9 AS h FROM convs),
+        taken AS (SELECT s.c, s.n, s.h, s.base, least(s.h, coalesce(b.n, 0)) AS k FROM heads s LEFT JOIN convs b ON b.c = s.base),
+        seq AS (SELECT t.c, o.pos AS d, o.role, o.text FROM taken t JOIN own o ON o.c = t.base AND o.pos <= t.h
+                UNION ALL SELECT t.c, o.pos - t.h + t.k, o.role, o.text FROM taken t JOIN own o ON o.c = t.c AND o.pos > t.h),
+        chain AS (SELECT c, d, sha256(length(role) || ':' || role || text) AS item, strlen(text) AS size FROM seq),
+        lists AS (SELECT c, list(item ORDER BY d) AS items FROM chain GROUP BY c),
+        every AS (SELECT t.c, coalesce(items, []) AS items FROM taken t LEFT JOIN lists USING (c)),
+        prefixes AS (SELECT c, len(items) AS n, unnest(range(len(items) + 1)) AS d, items FROM every),
+        keyed AS (SELECT c, n, d, sha256(array_to_string(items[1:d], ',')) AS key FROM prefixes),
+        members AS (SELECT *, min(c) OVER (PARTITION BY d, key) AS name FROM keyed),
+        nodes AS (SELECT name, d, count(*) AS n_convs, string_agg(CASE WHEN n = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM members GROUP BY name, d),
+        placed AS (SELECT a.name, a.d, a.n_convs, a.ends, p.name AS parent, (a.n_convs - 1) * coalesce(s.size, 0) AS saved
+                   FROM nodes a LEFT JOIN members p ON p.c = a.name AND p.d = a.d - 1 LEFT JOIN chain s ON s.c = a.name AND s.d = a.d),
+        children AS (SELECT parent AS name, d - 1 AS d, count(*) AS n FROM placed WHERE d > 0 GROUP BY ALL),
+        own_totals AS (SELECT p.*, coalesce(k.n, 0) AS n_children FROM placed p LEFT JOIN children k USING (name, d)),
+        totals AS (SELECT m.name, m.d, count(*) FILTER (n_children = 0) AS n_leaves, sum(u.saved) AS saved
+                   FROM own_totals u JOIN members m ON m.c = u.name AND m.d <= u.d GROUP BY m.name, m.d)
+        SELECT name AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves,
+               CAST(t.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM own_totals JOIN totals t USING (name, d)
+    """,
 }
