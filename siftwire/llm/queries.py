@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwire.llm import ann, bpe, brown, decontaminate, pii, sharding, simhash, toxicity, trie, url_filter, warc
+from siftwire.llm import align, ann, bpe, brown, decontaminate, pii, sharding, simhash, toxicity, trie, url_filter, warc
 from siftwire.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_BPE, PIECE_BPE = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op10_brown_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return brown.brown_digest(table(spark, folder, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align.align(table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.trie_digest(table(spark, folder, "conversations"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op8_warc_index_merge": op8_warc_index_merge,
     "op9_boosted_toxicity": op9_boosted_toxicity,
     "op10_brown_perplexity": op10_brown_perplexity,
+    "op12_token_alignment": op12_token_alignment,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
