@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwire.llm import align, ann, bpe, brown, decontaminate, pii, sharding, simhash, toxicity, trie, url_filter, warc
+from siftwire.llm import align, ann, bpe, brown, decontaminate, pii, sharding, simhash, style_tree, toxicity, trie, url_filter, warc
 from siftwire.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -52,6 +52,10 @@ def op10_brown_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return brown.brown_digest(table(spark, folder, "documents"))
 
 
+def op11_style_tree_text(spark: SparkSession, folder: str) -> DataFrame:
+    return style_tree.main_text_digest(table(spark, folder, "pages"))
+
+
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return align.align(table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE)
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_warc_index_merge": op8_warc_index_merge,
     "op9_boosted_toxicity": op9_boosted_toxicity,
     "op10_brown_perplexity": op10_brown_perplexity,
+    "op11_style_tree_text": op11_style_tree_text,
     "op12_token_alignment": op12_token_alignment,
     "op13_conversation_trie": op13_conversation_trie,
 }
