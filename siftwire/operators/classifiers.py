@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from siftwire.functions.draws import draw
 from siftwire.operators import features as X
+from siftwire.operators.boosting import BoostedTrees, Growth
+from siftwire.operators.boosting import fit as fit_trees
+from siftwire.operators.machines import Machines, fit_machines
 
 
 @dataclass
@@ -175,11 +178,13 @@ def load_naive_bayes(
 DEFAULTS: dict[str, dict] = {
     "naive_bayes": {"alpha": 1.0, "fit_prior": True},
     "logistic_regression": {"C": 1.0, "max_iter": 1000, "tol": 1e-4, "class_weight": "balanced"},
-    "svm": {"C": 1.0, "max_iter": 5000, "tol": 1e-4, "class_weight": "balanced", "folds": 3},
+    "svm": {"C": 1.0, "max_iter": 5000, "tol": 1e-6, "class_weight": "balanced", "folds": 3},
     "random_forest": {"trees": 200, "max_depth": 30, "min_split": 5, "class_weight": "balanced", "seed": 42},
-    "xgboost": {"rounds": 200, "max_depth": 6, "eta": 0.1, "rows": 0.8, "columns": 0.8, "seed": 42},
-    "lightgbm": {"rounds": 200, "max_depth": 5, "eta": 0.1, "rows": 0.8, "columns": 0.8,
-                 "class_weight": "balanced", "seed": 42},
+    "xgboost": {"rounds": 200, "depth": 6, "eta": 0.1, "rows": 0.8, "columns": 0.8, "l2": 1.0, "min_hessian": 1.0,
+                "min_rows": 1, "patience": 10, "seed": 42},
+    # Rows are not sampled: the named setting has no effect without a bagging frequency, whose default is none.
+    "lightgbm": {"rounds": 200, "leaves": 31, "eta": 0.1, "columns": 0.8, "l2": 0.0, "min_hessian": 1e-3,
+                 "min_rows": 20, "patience": 10, "class_weight": "balanced", "seed": 42},
 }
 MODEL_NAMES = tuple(DEFAULTS)
 
@@ -190,23 +195,28 @@ def settings(name: str, **overrides) -> dict:
     return {**DEFAULTS[name], **overrides}
 
 
+#: Models that are tables of numbers of our own, not Spark ML stages, and how to read them back.
+OWN_MODELS = {"svm": Machines, "xgboost": BoostedTrees, "lightgbm": BoostedTrees}
+
+
 @dataclass
 class Classifier:
-    """A fitted Spark ML model with its card; ``parts`` holds calibrated pairs for the SVM."""
+    """A fitted model with its card: a Spark ML model, boosted trees or calibrated machines."""
 
     name: str
-    model: object | None
+    model: object
     card: ModelCard
-    parts: list = field(default_factory=list)
 
     def score(self, vectors: DataFrame) -> DataFrame:
         """Add ``ham_probability``, ``spam_probability`` and the label of the larger one."""
-        kept = vectors.columns
-        if self.parts:
-            return _score_calibrated(self.parts, vectors)
+        kept = [F.col(f"`{c}`") for c in vectors.columns]
+        spam = F.col("spam_probability")
+        if isinstance(self.model, (BoostedTrees, Machines)):
+            return self.model.score(vectors).select(
+                *kept, (F.lit(1.0) - spam).alias("ham_probability"), spam, (spam > 0.5).cast("int").alias("predicted")
+            )
         both = vector_to_array(F.col("probability"))
-        scored = self.model.transform(vectors)
-        return scored.select(
+        return self.model.transform(vectors).select(
             *kept,
             both[0].alias("ham_probability"),
             both[1].alias("spam_probability"),
@@ -214,27 +224,6 @@ class Classifier:
         )
 
 
-def _score_calibrated(parts, vectors):
-    kept = vectors.columns
-    df = vectors
-    names = []
-    for i, (machine, calibration) in enumerate(parts):
-        columns = {f"raw_{i}": "rawPrediction", f"hard_{i}": "prediction"}
-        df = machine.transform(df).withColumnsRenamed({v: k for k, v in columns.items()})
-        slope, offset = float(calibration.coefficients[0]), float(calibration.intercept)
-        margin = vector_to_array(F.col(f"raw_{i}"))[1]
-        df = df.withColumn(f"p_{i}", F.lit(1.0) / (F.lit(1.0) + F.exp(-(margin * slope + offset))))
-        names.append(f"p_{i}")
-    spam = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
-    df = df.withColumn("spam_probability", spam)
-    return df.select(
-        *kept,
-        (F.lit(1.0) - F.col("spam_probability")).alias("ham_probability"),
-        "spam_probability",
-        (F.col("spam_probability") > 0.5).cast("int").alias("predicted"),
-    )
-
-
 def fit_classifier(
     name: str,
     train: DataFrame,
@@ -246,8 +235,8 @@ def fit_classifier(
     """Fit one model by name on ``features`` and a 0 / 1 label.
 
     Boosting uses the validation rows to stop early if they are given. The support vector
-    machine is calibrated like a three-fold ensemble: fit on two folds, fit a logistic curve
-    on the third, average the three.
+    machine is an ensemble of ``folds`` machines, each calibrated on the fold it has not seen; folds
+    are drawn by id.
     """
     p = settings(name, **overrides)
     started = time.perf_counter()
@@ -255,7 +244,6 @@ def fit_classifier(
     rows = rows.withColumn("label", F.col(label_col).cast("double"))
     common = dict(featuresCol="features", labelCol="label", weightCol="weight")
     n = train.count()
-    parts, model = [], None
     if name == "naive_bayes":
         model = C.NaiveBayes(smoothing=p["alpha"], **common).fit(rows)
     elif name == "logistic_regression":
@@ -265,52 +253,31 @@ def fit_classifier(
             maxIter=p["max_iter"], tol=p["tol"], **common,
         ).fit(rows)
     elif name == "svm":
-        folds = p["folds"]
-        fold = F.pmod(draw(42, F.col(id_col)), F.lit(folds))
-        rows = rows.withColumn("fold", fold)
-        for k in range(folds):
-            inside = rows.filter(F.col("fold") != k)
-            machine = C.LinearSVC(
-                regParam=1.0 / (p["C"] * n), standardization=False, maxIter=p["max_iter"], tol=p["tol"],
-                **common,
-            ).fit(inside)
-            margins = _margins(machine, rows.filter(F.col("fold") == k))
-            curve = C.LogisticRegression(maxIter=100, standardization=False).fit(margins)
-            parts.append((machine, curve))
+        fold = F.pmod(draw(42, F.col(id_col)), F.lit(p["folds"])).cast("int").alias("fold")
+        size = rows.select("features").first()[0].size
+        signed = rows.select((F.col("label") * 2 - 1).alias("sign"), "weight", fold, "features")
+        model = fit_machines(signed, size, p["folds"], p["C"], p["tol"], p["max_iter"])
     elif name == "random_forest":
         model = C.RandomForestClassifier(
             numTrees=p["trees"], maxDepth=p["max_depth"], minInstancesPerNode=max(1, p["min_split"] // 2),
             seed=p["seed"], **common,
         ).fit(rows)
     else:
-        marker = {}
+        key = F.xxhash64(id_col).alias("key")
+        kept = [key, "label", "weight", "features"]
+        both = rows.select(*kept, F.lit(False).alias("held"))
         if validation is not None:
-            held = validation.withColumn("weight", F.lit(1.0)).withColumn(
-                "label", F.col(label_col).cast("double")
-            )
-            rows = rows.withColumn("held_out", F.lit(False)).unionByName(
-                held.withColumn("held_out", F.lit(True))
-            )
-            marker = {"validationIndicatorCol": "held_out"}
-        model = C.GBTClassifier(
-            maxIter=p["rounds"], maxDepth=p["max_depth"], stepSize=p["eta"], subsamplingRate=p["rows"],
-            featureSubsetStrategy=str(p["columns"]), seed=p["seed"], **common, **marker,
-        ).fit(rows)
+            held = validation.withColumns({"weight": F.lit(1.0), "label": F.col(label_col).cast("double")})
+            both = both.unionByName(held.select(*kept, F.lit(True).alias("held")))
+        growth = {k: v for k, v in p.items() if k in Growth.__dataclass_fields__}
+        model = fit_trees(both, Growth(**growth))
     card = ModelCard(
         model_name=name,
         training_time_seconds=time.perf_counter() - started,
         training_samples=n,
         hyperparameters={k: str(v) for k, v in p.items()},
     )
-    return Classifier(name, model, card, parts)
-
-
-def _margins(machine, held):
-    from pyspark.ml.functions import array_to_vector
-
-    return machine.transform(held).select(
-        "label", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features")
-    )
+    return Classifier(name, model, card)
 
 
 def train_all(
@@ -341,7 +308,10 @@ def train_all(
 def feature_importance(classifier: Classifier, vocabulary: DataFrame, n: int = 20) -> DataFrame:
     """Top ``n`` terms: signed weight by magnitude for linear models, importance for trees."""
     model = classifier.model
-    if hasattr(model, "coefficients"):
+    if isinstance(model, BoostedTrees):
+        size = vocabulary.agg(F.max("idx")).first()[0] + 1
+        values = model.importances(size, "splits" if classifier.name == "lightgbm" else "gain")
+    elif hasattr(model, "coefficients"):
         values = model.coefficients.toArray()
     elif hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
@@ -362,30 +332,6 @@ def feature_importance(classifier: Classifier, vocabulary: DataFrame, n: int = 2
     )
 
 
-def chi_square_terms(
-    counts: DataFrame, documents: DataFrame, vocabulary: DataFrame, keep: int, label_col: str = "label_encoded"
-) -> DataFrame:
-    """The ``keep`` terms that tell the classes apart best, renumbered; bounds tree training."""
-    label = F.col(label_col)
-    seen = counts.groupBy("term").agg(
-        F.count_if(label == 1).alias("a"), F.count_if(label == 0).alias("b")
-    )
-    totals = documents.agg(F.count_if(label == 1).alias("spam"), F.count_if(label == 0).alias("ham"))
-    spam, ham = totals.select("spam").scalar(), totals.select("ham").scalar()
-    t = seen.join(vocabulary, "term").withColumns({"n1": spam, "n0": ham})
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = F.col("n1") - a, F.col("n0") - b
-    score = (a + b + c + d) * F.pow(a * d - b * c, F.lit(2.0)) / ((a + b) * (c + d) * (a + c) * (b + d))
-    top = t.withColumn("chi2", F.coalesce(score, F.lit(0.0))).orderBy(F.col("chi2").desc(), "term").limit(keep)
-    return top.select(
-        "term",
-        (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"),
-        "df",
-        "corpus_tf",
-        "idf",
-    )
-
-
 # ---- storage ------------------------------------------------------------------------------
 
 
@@ -399,8 +345,10 @@ CARD_SCHEMA = (
 def save_classifier(classifier: Classifier, root: str, spark: SparkSession) -> str:
     """Write the model and its card under ``root/name``."""
     path = f"{root.rstrip('/')}/{classifier.name}"
-    stages = [m for pair in classifier.parts for m in pair] or [classifier.model]
-    PipelineModel(stages=stages).write().overwrite().save(f"{path}/model")
+    if classifier.name in OWN_MODELS:
+        classifier.model.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    else:
+        PipelineModel(stages=[classifier.model]).write().overwrite().save(f"{path}/model")
     write_card(classifier.card, path, spark)
     return path
 
@@ -420,10 +368,10 @@ def read_card(path: str, spark: SparkSession) -> ModelCard:
 def load_classifier(name: str, root: str, spark: SparkSession) -> Classifier:
     path = f"{root.rstrip('/')}/{name}"
     try:
-        stages = PipelineModel.load(f"{path}/model").stages
+        if name in OWN_MODELS:
+            model = OWN_MODELS[name].of_table(spark.read.parquet(f"{path}/model"))
+        else:
+            model = PipelineModel.load(f"{path}/model").stages[0]
     except Exception as error:
         raise FileNotFoundError(f"no model under {path}, train it first") from error
-    card = read_card(path, spark)
-    if name == "svm":
-        return Classifier(name, None, card, list(zip(stages[::2], stages[1::2])))
-    return Classifier(name, stages[0], card)
+    return Classifier(name, model, read_card(path, spark))

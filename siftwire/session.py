@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -50,3 +50,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once into the shared folder and read it back: cuts the lineage and outlives executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
