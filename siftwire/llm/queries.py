@@ -57,7 +57,7 @@ def op11_style_tree_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    return align.align(table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE)
+    return align.align(table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE, public_tokenizers.PATTERN)
 
 
 def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -77,7 +78,7 @@ def test_odd_texts(spark, loaded):
     rows = ODD + [(100 + i, f"the token {i} over the tokens{i * 7}, e.g. Überraschungen!") for i in range(30)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as id", "'x' as block", "1 as pair")
     for size in (align.BLOCK_BYTES, 200):
-        out = align.align(frame, queries.BYTE_BPE, queries.PIECE_BPE, block_bytes=size)
+        out = align.align(frame, queries.BYTE_BPE, queries.PIECE_BPE, public_tokenizers.PATTERN, block_bytes=size)
         assert out.columns == COLUMNS
         assert sorted((tuple(r) for r in out.collect()), key=key) == sorted(plain_alignment(rows, *loaded), key=key)
 
@@ -85,7 +86,7 @@ def test_odd_texts(spark, loaded):
 def test_given_table(spark, small, loaded):
     docs = spark.read.parquet(f"{small}/documents.parquet").filter("length(text) < 1500")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    out = align.align(docs, queries.BYTE_BPE, queries.PIECE_BPE, block_bytes=20_000)
+    out = align.align(docs, queries.BYTE_BPE, queries.PIECE_BPE, public_tokenizers.PATTERN, block_bytes=20_000)
     assert sorted(tuple(r) for r in out.collect()) == sorted(plain_alignment(rows, *loaded))
 
 
@@ -105,3 +106,17 @@ def test_intervals():
         i, j = align.overlaps(a, b)
         sa, sb = np.append(0, a[:-1]), np.append(0, b[:-1])
         assert set(zip(i.tolist(), j.tolist())) == {(x, y) for x in range(len(a)) for y in range(len(b)) if sa[x] < b[y] and sb[y] < a[x]}
+
+
+def test_ranks_give_the_ids_of_the_file(loaded):
+    """Also with every tame character, runs of spaces at all places, endless words, and characters that are not tame."""
+    rng = np.random.default_rng(5)
+    tame = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028), 0x20AC)]
+    wild = tame + list("\u3000漢字\u0600\x1c\x85\xa0▁\u200b🙂\u0301")
+    tokenizers = align.Tokenizers(queries.BYTE_BPE, queries.PIECE_BPE, public_tokenizers.PATTERN)
+    assert tokenizers.ranked is not None and align.Tokenizers(queries.BYTE_BPE, queries.PIECE_BPE).ranked is None
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 60))) for alphabet in (tame, wild) for _ in range(400)]
+    texts += ["".join(rng.choice(list("ab'st 1.\n  "), rng.integers(1, 40))) for _ in range(400)] + tame + [" " * n for n in range(9)]
+    texts += ["ab" * 100_000, " " * 50_000 + "x"]
+    spaced = [" " + t for t in texts]
+    assert [x.tolist() for x in tokenizers.encode_a(spaced)] == [loaded[0].encode(t, add_special_tokens=False).ids for t in spaced]
