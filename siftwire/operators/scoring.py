@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,12 +13,15 @@ from siftwire.functions import vectors as V
 from siftwire.operators import classifiers as C
 from siftwire.operators import features as X
 from siftwire.plans.preprocess import PreprocessOptions, preprocess
+from siftwire.session import stored
+
+logger = logging.getLogger(__name__)
 
 # (texts with `final_text`, id column, small columns to keep) -> id, keep, both probabilities
 Scorer = Callable[[DataFrame, str, tuple[str, ...]], DataFrame]
 
-# Tells rows apart that share an id but not the text; rows that repeat both are one message.
-TEXT_KEY = "__text_key"
+#: Tells rows apart that share an id but not the text; rows that repeat both are one message.
+TEXT_KEY = "text_key"
 FACTS = ("original_length", "token_count", "spam_keyword_count", "has_url", "uppercase_ratio")
 
 
@@ -81,19 +86,26 @@ def score_messages(
     options: PreprocessOptions = PreprocessOptions(),
     lemmas: DataFrame | None = None,
     raw_text: bool = False,
+    explain: Callable[[DataFrame, str, str], DataFrame] | None = None,
 ) -> DataFrame:
     """Preprocess, score and decide: one log row per message, without the text itself.
 
     ``confidence`` is the larger probability; away from a threshold of one half it may belong
     to the other label. Only the few facts kept in ``metadata`` travel with the terms. Messages
     that share an id are scored each; a message delivered twice, id and text, is one row.
+
+    ``explain(messages, text column, key column)`` gives (key, method, word_importances): they become the column
+    ``explanation``, null for messages that could not be explained. Where explaining fails altogether, the
+    scores stand and every explanation is null.
     """
     ready = preprocess(df, text_col, id_col, options, lemmas)
     key = F.xxhash64(text_col).alias(TEXT_KEY)
-    texts = ready.select(id_col, *FACTS, key, *(["text"] if raw_text else []), "final_text")
+    raw = [F.col(text_col).alias("text")] if raw_text else []
+    texts = ready.select(id_col, *FACTS, key, *raw, "final_text")
     scored = scorer(texts, id_col, (*FACTS, TEXT_KEY))
-    return scored.select(
+    decided = scored.select(
         id_col,
+        TEXT_KEY,
         decide(F.col("spam_probability"), threshold).alias("prediction"),
         F.greatest("spam_probability", "ham_probability").alias("confidence"),
         "spam_probability",
@@ -101,6 +113,32 @@ def score_messages(
         F.lit(model_name).alias("model_used"),
         F.struct(*FACTS).alias("metadata"),
     )
+    return decided if explain is None else _explained(decided, df, explain, text_col, id_col)
+
+
+EXPLANATION = "struct<method:string,word_importances:array<struct<word:string,score:double,is_spam_indicator:boolean>>>"
+
+
+def _explained(decided: DataFrame, df: DataFrame, explain, text_col: str, id_col: str) -> DataFrame:
+    """``decided`` with its explanations, computed and stored first so that their failure is known."""
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col)).alias("__message")
+    messages = df.select(key, F.col(text_col)).dropDuplicates(["__message"])
+    try:
+        told = explain(messages, text_col, "__message").filter(F.col("prediction") != "error")
+        told = stored(told.select("__message", F.struct("method", "word_importances").cast(EXPLANATION).alias("explanation")), "explanations")
+    except Exception as error:  # noqa: BLE001 - an explanation never costs a score
+        logger.warning("explanations left out: %s", str(error).split("\n")[0])
+        return decided.withColumn("explanation", F.lit(None).cast(EXPLANATION))
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(TEXT_KEY))
+    return decided.withColumn("__message", key).join(told, "__message", "left").drop("__message")
+
+
+def measured(scored: DataFrame) -> DataFrame:
+    """``scored``, computed now and stored, with ``processing_time_ms``: what the job took for each row on average."""
+    started = time.perf_counter()
+    done = stored(scored.drop("processing_time_ms"), "measured")
+    spent = (time.perf_counter() - started) * 1000
+    return done.withColumn("processing_time_ms", F.lit(spent / max(1, done.count())))
 
 
 def score_batch(
@@ -114,12 +152,13 @@ def score_batch(
     lemmas: DataFrame | None = None,
     ms_per_row: float | None = None,
 ) -> DataFrame:
-    """Scores for the batch path: no metadata, tagged ``batch``, mean time if measured."""
+    """Scores for the batch path: no metadata, tagged ``batch``, mean time if given; ``measured`` finds it."""
     ready = preprocess(df, text_col, id_col, options, lemmas)
-    ready = ready.select(id_col, F.xxhash64("text").alias(TEXT_KEY), "text", "final_text")
+    ready = ready.select(id_col, F.xxhash64(text_col).alias(TEXT_KEY), F.col(text_col).alias("text"), "final_text")
     scored = scorer(ready, id_col, (TEXT_KEY,))
     return scored.select(
         id_col,
+        TEXT_KEY,
         decide(F.col("spam_probability"), threshold).alias("prediction"),
         F.greatest("spam_probability", "ham_probability").alias("confidence"),
         "spam_probability",
@@ -153,8 +192,13 @@ class Scorers:
         return score_messages(df, self.get(name), name or self.default, **kwargs)
 
 
-def to_log(scored: DataFrame, messages: DataFrame, created_at: Column, source: str, id_col: str = "doc_id") -> DataFrame:
-    """Prediction-log rows. The batch path stores no text facts, only their defaults."""
+def to_log(
+    scored: DataFrame, messages: DataFrame, created_at: Column, source: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Prediction-log rows, one for each scored message. The batch path stores no text facts, only their defaults.
+
+    Scores meet their message by id and text; a message delivered twice is one row.
+    """
     single = "metadata" in scored.columns
     columns = {
         "has_url": F.col("metadata.has_url") if single else F.lit(False),
@@ -162,11 +206,12 @@ def to_log(scored: DataFrame, messages: DataFrame, created_at: Column, source: s
         "spam_keyword_count": F.col("metadata.spam_keyword_count") if single else F.lit(0),
     }
     user = F.col("user_id").cast("string") if "user_id" in messages.columns else F.lit(None).cast("string")
-    texts = messages.select(id_col, F.col("text").alias("input_text"), user.alias("user_id"))
-    time = (
-        F.col("processing_time_ms") if "processing_time_ms" in scored.columns else F.lit(0.0)
-    )
-    return scored.join(texts, id_col).select(
+    texts = messages.select(
+        F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("input_text"), user.alias("user_id")
+    ).dropDuplicates(["__id", "__key"])
+    time_spent = F.col("processing_time_ms") if "processing_time_ms" in scored.columns else F.lit(0.0)
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(TEXT_KEY) == F.col("__key"))
+    return scored.dropDuplicates([id_col, TEXT_KEY]).join(texts, same).select(
         F.col(id_col).cast("string").alias("id"),
         "user_id",
         "input_text",
@@ -175,7 +220,7 @@ def to_log(scored: DataFrame, messages: DataFrame, created_at: Column, source: s
         "spam_probability",
         "ham_probability",
         "model_used",
-        F.coalesce(time, F.lit(0.0)).alias("processing_time_ms"),
+        F.coalesce(time_spent, F.lit(0.0)).alias("processing_time_ms"),
         *[c.alias(k) for k, c in columns.items()],
         F.lit(source).alias("source"),
         created_at.alias("created_at"),

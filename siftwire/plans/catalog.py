@@ -133,9 +133,12 @@ def append_predictions(spark, d):
     log = V.prediction_log(spark, d)
     SC.append_predictions(log.filter(F.col("id") % 2 == 0).withColumn("source", F.lit("api")), path)
     SC.append_predictions(log.filter(F.col("id") % 2 == 1).withColumn("source", F.lit("batch")), path)
-    stored = SC.read_predictions(spark, path)
-    return stored.groupBy(F.col("created_date").cast("string").alias("day"), "source").agg(
-        F.count("id").alias("n")
+    SC.append_predictions(log.filter(F.col("id") % 3 == 0).withColumn("source", F.lit("again")), path)  # adds nothing
+    return rounded(
+        SC.read_predictions(spark, path).select(
+            F.col("id").cast("bigint").alias("id"), F.col("created_date").cast("string").alias("day"), "source", "user_id",
+            "prediction", "confidence", "spam_probability", "ham_probability", "model_used", "processing_time_ms",
+        )
     )
 
 
@@ -397,7 +400,7 @@ def score_stream(spark, d):
     ST.score_stream(
         arriving, scorer, "naive_bayes", path, checkpoint, F.lit(AS_OF).cast("timestamp")
     ).awaitTermination()
-    log = spark.read.parquet(path)
+    log = SC.read_predictions(spark, path, F.to_date(F.lit(AS_OF)))
     return rounded(
         log.select("id", "prediction", "spam_probability", "model_used", "text_length", "spam_keyword_count", "source")
     )
@@ -614,12 +617,8 @@ def _events_stream(spark, d):
 
 def rate_limit_stream(spark, d):
     path, checkpoint = scratch_path(spark, "rates"), scratch_path(spark, "checkpoint")
-    decided = ST.rate_limit_stream(_events_stream(spark, d), RATE_LIMIT, RATE_WINDOW)
-    (
-        decided.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    )
-    return spark.read.parquet(path).select(F.col("client").cast("bigint").alias("client"), "event_id", "admitted", "remaining")
+    ST.rate_limit_stream(_events_stream(spark, d), path, checkpoint, RATE_LIMIT, RATE_WINDOW).awaitTermination()
+    return ST.read_decisions(spark, path).select("client", "event_id", "admitted", "remaining")
 
 
 def metrics_stream(spark, d):
@@ -632,7 +631,7 @@ def metrics_stream(spark, d):
 
 def metrics_batch(spark, d):
     return _metric_rows(
-        ST.windowed_metrics(V.requests(spark, d), ("endpoint",), "duration", M.REQUEST_SECONDS, width="15 seconds", delay=None)
+        ST.windowed_metrics(V.requests(spark, d), ("endpoint",), "duration", M.REQUEST_SECONDS, width="15 seconds")
     )
 
 

@@ -376,8 +376,9 @@ ORACLES: dict[str, str] = {
     "split_summary": f"{split_ctes()} SELECT split, count(*) AS total, count(*) FILTER (WHERE label_encoded = 1) AS spam, "
     "count(*) FILTER (WHERE label_encoded = 0) AS ham, round(avg(label_encoded), 6) AS spam_ratio FROM split GROUP BY split",
     "processed_roundtrip": f"WITH {CORPUS} SELECT doc_id, label, label_encoded, md5(text) AS text_md5 FROM corpus",
-    "append_predictions": f"WITH {LOG} SELECT strftime(created_at, '%Y-%m-%d') AS day, CASE WHEN id % 2 = 0 THEN 'api' ELSE 'batch' END AS source, "
-    "count(*) AS n FROM log GROUP BY ALL",
+    "append_predictions": f"WITH {LOG} SELECT id, strftime(created_at, '%Y-%m-%d') AS day, CASE WHEN id % 2 = 0 THEN 'api' ELSE 'batch' END AS source, "
+    "CAST(user_id AS VARCHAR) AS user_id, prediction, round(confidence, 6) AS confidence, round(spam_probability, 6) AS spam_probability, "
+    "CAST(NULL AS DOUBLE) AS ham_probability, model_used, round(processing_time_ms, 6) AS processing_time_ms FROM log",
     "benchmark_store": RESULTS,
     "model_benchmarks": RESULTS,
     # The entities that occur in the table; the ampersand comes last, as its result is not read again.

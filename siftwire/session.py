@@ -52,6 +52,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) in whatever store the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def finished_parts(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names of the folders ``path/prefix*`` whose writing job has committed, which Spark marks by a file in them."""
+    store, target = _folder(spark, path)
+    if not store.exists(target):
+        return []
+    names = sorted(s.getPath().getName() for s in store.listStatus(target) if s.isDirectory())
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    return [n for n in names if n.startswith(prefix) and store.exists(mark(f"{path}/{n}/_SUCCESS"))]
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote and nothing reads any more."""
+    store, target = _folder(spark, path)
+    store.delete(target, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: cuts the lineage and outlives executors."""
     path = scratch_path(df.sparkSession, name)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwire.operators import ingest as I
+from siftwire.session import finished_parts
 
 
 def read_labelled_tsv(
@@ -74,19 +77,57 @@ def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return files.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def append_predictions(log: DataFrame, path: str) -> None:
-    """Append log rows, one folder per day."""
-    log.withColumn("created_date", F.to_date("created_at")).write.mode("append").partitionBy(
-        "created_date"
-    ).parquet(path)
+#: What tells the rows of the prediction log apart.
+LOG_KEY = ("id", "text_key", "model_used")
+
+
+def append_predictions(log: DataFrame, path: str, part: str | None = None) -> None:
+    """Add rows to the prediction log: a part of its own, one folder per day in it.
+
+    A part counts once its job has committed. Rows whose id, text and model the log has already are
+    left out, and a part that is there already stays as it is: writing again, whether after a
+    failure or by a new writer over the same messages, changes nothing. Rows repeated inside ``log`` are one.
+    """
+    spark = log.sparkSession
+    part = part or uuid.uuid4().hex
+    if f"part={part}" in finished_parts(spark, path, "part="):
+        return
+    rows = _log_rows(log).dropDuplicates(list(LOG_KEY))
+    if finished_parts(spark, path, "part="):
+        known = _whole_log(spark, path).select(*(F.col(c).alias(f"known_{c}") for c in LOG_KEY))
+        same = [F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in LOG_KEY]
+        rows = rows.join(known, same[0] & same[1] & same[2], "left_anti")
+    rows = rows.withColumn("created_date", F.to_date("created_at"))
+    rows.write.mode("overwrite").partitionBy("created_date").parquet(f"{path}/part={part}")
+
+
+def _log_rows(log: DataFrame) -> DataFrame:
+    """``log`` with the columns of LOG_SCHEMA in its types; those it lacks are null."""
+    fields = (f.rsplit(" ", 1) for f in LOG_SCHEMA.split(", "))
+    given = {c: F.col(f"`{c}`") for c in log.columns} | {"text_key": F.xxhash64("input_text") if "input_text" in log.columns else F.lit(0)}
+    return log.select(*(given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields if name not in ("part", "created_date")))
+
+
+def _whole_log(spark: SparkSession, path: str) -> DataFrame:
+    parts = finished_parts(spark, path, "part=")
+    if not parts:
+        raise FileNotFoundError(f"no prediction log under {path}")
+    return spark.read.schema(LOG_SCHEMA).option("basePath", path).parquet(*(f"{path}/{p}" for p in parts))
 
 
 def read_predictions(spark: SparkSession, path: str, since: Column | None = None) -> DataFrame:
-    """The log; ``since`` (a date) prunes day folders."""
-    df = spark.read.parquet(path)
+    """The log, whoever wrote it; ``since`` (a date) prunes day folders."""
+    df = _whole_log(spark, path).drop("part", "text_key")
     return df.filter(F.col("created_date") >= since) if since is not None else df
 
 
+LOG_SCHEMA = (
+    "id string, user_id string, input_text string, prediction string, confidence double, spam_probability double, "
+    "ham_probability double, model_used string, processing_time_ms double, has_url boolean, text_length int, "
+    "spam_keyword_count int, source string, created_at timestamp, text_key bigint, part string, created_date date"
+)
+
+
 RESULT_SCHEMA = (
     "model_name string, accuracy double, precision double, recall double, f1 double, roc_auc double, "
     "confusion_matrix array<array<bigint>>, "
