@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 DRAW_RANGE = 1 << 32
 
 
-def draw(seed: int, *keys) -> Column:
-    """Whole number in [0, 2^32) fixed by the seed and the keys."""
+def _digest(seed: int, keys: tuple) -> Column:
     parts = [F.lit(str(seed))] + [
         (k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys
     ]
-    digest = F.md5(F.concat_ws(":", *parts))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def draw(seed: int, *keys) -> Column:
+    """Whole number in [0, 2^32) fixed by the seed and the keys."""
+    return F.conv(F.substring(_digest(seed, keys), 1, 8), 16, 10).cast("bigint")
+
+
+def wide_draw(seed: int, *keys) -> Column:
+    """Whole number in [0, 2^60) fixed by the seed and the keys, for places in tables of any size."""
+    return F.conv(F.substring(_digest(seed, keys), 1, 15), 16, 10).cast("bigint")
 
 
 def uniform(seed: int, *keys) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwire.functions import tokens as K
-from siftwire.functions.draws import draw, uniform
-
-SAMPLE_BUCKETS = 1024
+from siftwire.functions.draws import draw, uniform, wide_draw
+from siftwire.operators.ranks import ranked
+from siftwire.session import stored
 
 
 def _words(text: Column) -> Column:
@@ -175,7 +175,7 @@ class AugmentOptions:
     augment_minority: bool = True
     minority_label: int = 1
     factor: int = 3
-    max_samples: int = 5000
+    max_samples: int | None = None  # bounds the synthetic rows
     seed: int = 42
 
     def __post_init__(self):
@@ -207,54 +207,35 @@ def _varied(drawn: DataFrame, options: AugmentOptions, synonyms, text_col, id_co
     return result.filter(changed).drop("technique_no", "before_")
 
 
-def draw_rows(df: DataFrame, n: Column, seed: int, id_col: str = "doc_id", upto: int = 5000) -> DataFrame:
-    """``n`` draws with replacement: the drawn rows with their ``draw_no``.
+def draw_rows(df: DataFrame, factor: int, most: int | None, seed: int, id_col: str = "doc_id") -> DataFrame:
+    """``factor`` draws with replacement for each row, at most ``most``: the drawn rows with their ``draw_no``.
 
-    Rows are numbered in two levels, by hash bucket and inside it; only ids are ranked. At
-    most ``upto`` draws exist, so the draws are the small side of every join.
+    Rows are ranked over the whole table, every draw is a rank, and both meet on it; a rank is drawn
+    ``factor`` times on average, so no task gets more than its share, however many rows and draws there are.
     """
     spark = df.sparkSession
-    bucket = F.pmod(draw(seed, "bucket", F.col(id_col)), F.lit(SAMPLE_BUCKETS)).cast("int")
-    ids = df.select(id_col, bucket.alias("bucket"))
-    sizes = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    order = Window.orderBy("bucket")  # one row per bucket
-    ends = sizes.select("bucket", F.sum("rows").over(order).alias("end"), "rows")
-    # One array of bucket ends, at most SAMPLE_BUCKETS long.
-    table = ends.agg(F.array_sort(F.collect_list(F.struct("end", "rows", "bucket"))).alias("ends")).scalar()
-    total = sizes.agg(F.sum("rows").alias("n")).scalar()
-    draws = (
-        spark.range(upto)
-        .select(F.col("id").alias("draw_no"))
-        .withColumn("wanted", n)
-        .filter(F.col("draw_no") < F.col("wanted"))
-        .withColumn("ends", table)
-        .withColumn("place", F.pmod(draw(seed, "draw", F.col("draw_no")), total))
-    )
-    spot = draws.withColumn("hit", F.filter("ends", lambda e: e["end"] > F.col("place"))[0]).select(
-        "draw_no",
-        F.col("hit.bucket").alias("bucket"),
-        (F.col("place") - F.col("hit.end") + F.col("hit.rows") + 1).alias("rank"),
-    )
-    ranked = ids.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("bucket").orderBy(id_col))
-    )
-    drawn = ranked.join(F.broadcast(spot), ["bucket", "rank"]).select(id_col, "draw_no")
-    return df.join(F.broadcast(drawn), id_col)
+    rows = ranked(df, [id_col], "place")
+    total = rows.count()
+    wanted = total * factor if most is None else min(total * factor, most)
+    number = F.col("id").alias("draw_no")
+    draws = spark.range(wanted).select(number, F.pmod(wide_draw(seed, "draw", F.col("id")), F.lit(max(1, total))).alias("place"))
+    return rows.join(draws, "place").drop("place")
 
 
 def augment_minority(
     df: DataFrame, synonyms: DataFrame | None = None, options: AugmentOptions = AugmentOptions(),
     text_col: str = "text", label_col: str = "label_encoded", id_col: str = "doc_id",
 ) -> DataFrame:
-    """The corpus plus synthetic rows of the rare class (``synthetic`` tells them apart)."""
+    """The corpus plus synthetic rows of the rare class (``synthetic`` tells them apart).
+
+    ``factor`` draws for each rare row, all of them unless ``max_samples`` says otherwise; a draw that its
+    technique leaves as it was adds nothing.
+    """
     marked = df.withColumn("synthetic", F.lit(False))
     if not options.augment_minority:
         return marked
     rare = df.filter(F.col(label_col) == options.minority_label)
-    wanted = rare.agg(
-        F.least(F.count(F.lit(1)) * options.factor, F.lit(options.max_samples)).alias("n")
-    ).scalar()
-    drawn = draw_rows(rare, wanted, options.seed, id_col, options.max_samples)
+    drawn = stored(draw_rows(rare, options.factor, options.max_samples, options.seed, id_col), "drawn")
     varied = _varied(drawn, options, synonyms, text_col, id_col)
     return marked.unionByName(varied.drop("draw_no").withColumn("synthetic", F.lit(True)))
 

@@ -353,10 +353,10 @@ def varied(source: str, keys: str = "doc_id, draw_no") -> str:
 
 
 DRAWN = (
-    "rare AS (SELECT *, row_number() OVER (ORDER BY bucket, doc_id) - 1 AS place FROM (SELECT *, "
-    f"{draw(q('bucket'), 'doc_id')} % 1024 AS bucket FROM deduped WHERE label_encoded = 1)), "
+    "rare AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM deduped WHERE label_encoded = 1), "
     "sizes AS (SELECT count(*) AS n FROM rare), "
-    f"draws AS (SELECT draw_no, {draw(q('draw'), 'draw_no')} % n AS place FROM range(5000) AS r(draw_no), sizes WHERE draw_no < least(3 * n, 5000)), "
+    f"draws AS (SELECT draw_no, {draw(q('draw'), 'draw_no').replace('1, 8', '1, 15')} % n AS place "
+    "FROM (SELECT unnest(range(3 * n)) AS draw_no FROM sizes), sizes), "
     "drawn AS (SELECT rare.doc_id, rare.text, draws.draw_no FROM draws JOIN rare USING (place))"
 )
 
