@@ -41,7 +41,7 @@ class NormalizeOptions:
     """Switches of token normalization.
 
     ``lemmas`` and ``stem`` act through a word table (see ``operators.lexicon``), the rest
-    are expressions. A lemma table wins over stemming.
+    are expressions. A lemma table wins over stemming. ``lemmatize`` is None for "where a table is given".
     """
 
     remove_stopwords: bool = True
@@ -52,7 +52,7 @@ class NormalizeOptions:
     hinglish: bool = True
     min_length: int = 2
     max_length: int = 50
-    lemmatize: bool = True
+    lemmatize: bool | None = None
     stem: bool = False
 
     def dictionary(self) -> dict[str, str]:

@@ -84,3 +84,47 @@ def stopwords(language="english", extra=(), keep=NEGATIONS):
 
         base = StopWordsRemover.loadDefaultStopWords(language)
     return sorted((set(base) | set(extra)) - set(keep))
+
+# Irregular verb forms and their lemma, as "lemma: forms".
+IRREGULAR_VERBS = """
+be: am is are was were been being; have: has had having; do: does did done; go: goes went gone; say: said; make: made; get: got gotten;
+know: knew known; think: thought; take: took taken; see: saw seen; come: came; give: gave given; find: found; tell: told; become: became;
+leave: left; feel: felt; bring: brought; begin: began begun; keep: kept; hold: held; write: wrote written; stand: stood; hear: heard;
+mean: meant; meet: met; run: ran running; pay: paid; sit: sat sitting; speak: spoke spoken; lead: led; grow: grew grown; lose: lost;
+fall: fell fallen; send: sent; build: built; understand: understood; draw: drew drawn; break: broke broken; spend: spent; win: won winning;
+buy: bought; choose: chose chosen; eat: ate eaten; teach: taught; sell: sold; catch: caught; fight: fought; drive: drove driven;
+sleep: slept; wear: wore worn; steal: stole stolen; forget: forgot forgotten; ride: rode ridden; fly: flew flown flies; sing: sang sung;
+swim: swam swum swimming; ring: rang rung; drink: drank drunk; sink: sank sunk; throw: threw thrown; rise: rose risen; wake: woke woken;
+lie: lay lain lying; die: dying; tie: tying; stop: stopped stopping; plan: planned planning; get: getting; put: putting; cut: cutting; let: letting;
+qualify: qualified; reply: replied; copy: copied; carry: carried; apply: applied; try: tried; worry: worried; verify: verified
+"""
+# Irregular plurals, likewise.
+IRREGULAR_NOUNS = """
+man: men; woman: women; child: children; person: people; foot: feet; tooth: teeth; goose: geese; mouse: mice; ox: oxen; life: lives;
+wife: wives; knife: knives; leaf: leaves; half: halves; self: selves; shelf: shelves; thief: thieves; loaf: loaves; datum: data;
+medium: media; criterion: criteria; phenomenon: phenomena; analysis: analyses; crisis: crises; index: indices; axis: axes; basis: bases
+"""
+# Regular words of message traffic that the rules may lead to, by class.
+REGULAR_VERBS = """
+accept account act add agree allow answer appear apply approve arrive ask award believe block call cancel carry change charge check claim
+click close collect confirm connect contact continue copy cost cover create credit decide delete deliver dial download earn email enter
+expect expire explain fail follow forward happen help hope include inform invite join keep last learn like link listen live load log look
+love match miss move need notice offer open order pass pick place play post press print process protect provide publish push qualify raise
+reach read receive register remember remove renew reply report request reserve return reward save scan select serve share show sign start
+stay submit subscribe support switch talk test text thank touch transfer travel try turn unlock update upgrade use verify visit wait walk want watch wish work worry
+"""
+REGULAR_NOUNS = """
+account address agent amount answer app area award bank bill bonus box box brand business buy call card cash change charge chance city class code
+company contact cost country coupon customer date day deal delivery detail discount dollar draw email entry event fee file form friend game
+gift group guarantee guest holiday home hour house idea issue item job key letter line link list loan lunch mail match meeting member message
+minute mobile money month name network news night note number offer office order owner page parent party password payment phone picture place
+plan point police price prize problem product promotion question rate reason record request result reward sale school score service shop site
+song store story student subscription surprise survey system team test text thing ticket time tone tour train transaction trip update user
+video voucher way week winner word work world year
+"""
+
+
+def irregular(text: str) -> list[tuple[str, str]]:
+    """(form, lemma) of a list of irregular words."""
+    pairs = (part.split(":") for part in text.replace("\n", " ").split(";"))
+    return sorted({(form, lemma.strip()) for lemma, forms in pairs for form in forms.split()})

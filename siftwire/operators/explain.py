@@ -131,7 +131,10 @@ def explain_lime(
             F.max(F.when(whole, F.col("ham_probability"))).alias("ham_probability"),
             F.first("words").alias("words"),
             F.collect_list(F.struct("sample", "gone_at", F.col("spam_probability").alias("p"))).alias("rows"),
+            F.count_if(F.col("spam_probability").isNull()).alias("failed"),
         )
+        .filter("failed = 0")  # no fit, and so an error row, where the scorer failed on a sample
+        .drop("failed")
         .mapInPandas(_linear_fit(num_features), FIT_SCHEMA)
         .select(
             "key",
@@ -280,14 +283,17 @@ def explain_shap(
     shares = (
         scored.withColumn("gain", gain)
         .groupBy("key", "player")
-        .agg(F.avg("gain").alias("share"), last.alias("last"))
+        .agg(F.avg("gain").alias("share"), last.alias("last"), F.count_if(F.col("spam_probability").isNull()).alias("failed"))
         .groupBy("key")
         .agg(
+            F.sum("failed").alias("failed"),
             F.map_from_entries(
                 F.collect_list(F.when(F.col("player") >= 0, F.struct("player", "share")))
             ).alias("shares"),
             F.max("last").alias("last"),
         )
+        .filter("failed = 0")
+        .drop("failed")
     )
     words = docs.select(
         "key",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwire.functions import wordlists as W
+
 # Published detachment rules, suffix and ending per word class.
 DETACHMENT = {
     "n": [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"),
@@ -67,6 +69,25 @@ def lemma_table(forms: DataFrame, lexicon: DataFrame, exceptions: DataFrame | No
     )
 
 
+def lexicon_rows() -> tuple[list[tuple[str, str]], list[tuple[str, str, str]]]:
+    """(lemma, pos) and (form, pos, lemma) of the words that come with the library."""
+    irregular = {"v": W.irregular(W.IRREGULAR_VERBS), "n": W.irregular(W.IRREGULAR_NOUNS)}
+    regular = {"v": W.REGULAR_VERBS, "n": W.REGULAR_NOUNS}
+    lexicon = {(word, pos) for pos, text in regular.items() for word in text.split()}
+    lexicon |= {(lemma, pos) for pos, pairs in irregular.items() for _, lemma in pairs}
+    return sorted(lexicon), sorted((form, pos, lemma) for pos, pairs in irregular.items() for form, lemma in pairs)
+
+
+def default_lemmas(forms: DataFrame) -> DataFrame:
+    """``lemma_table`` of ``forms`` by the library's own words: irregular forms and common words of messages.
+
+    A larger dictionary is a matter of other tables for ``lemma_table``.
+    """
+    spark = forms.sparkSession
+    lexicon, exceptions = lexicon_rows()
+    return lemma_table(forms, spark.createDataFrame(lexicon, "lemma string, pos string"), spark.createDataFrame(exceptions, "form string, pos string, lemma string"))
+
+
 def verb_then_noun(lemmas: DataFrame) -> DataFrame:
     """One step per form: its verb lemma, and the noun lemma of that."""
     verbs = lemmas.filter(F.col("pos") == "v").select("form", F.col("lemma").alias("verb"))

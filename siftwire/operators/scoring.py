@@ -6,6 +6,7 @@ import logging
 import time
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,20 +48,34 @@ def batch_scorer(load: Callable[[], Callable], batch_size: int = 32) -> Scorer:
     """Scorer for any model that maps raw texts to ``[ham, spam]`` logits.
 
     ``load`` runs once per Python worker and returns a function from a list of texts to an
-    array of logits; batches are streamed through it.
+    array of logits; batches are streamed through it. Where the model fails on a batch, its texts are
+    tried one by one, and a text that it fails on has null probabilities: the job goes on.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql import types as T
 
     def make():
         model = load()
-        return lambda texts: model(list(texts))
+
+        def one(text: str):
+            try:
+                return list(map(float, model([text])[0]))
+            except Exception:  # noqa: BLE001 - one text, one missing score
+                return [float("nan"), float("nan")]
+
+        def run(texts):
+            try:
+                return np.asarray(model(list(texts)))
+            except Exception:  # noqa: BLE001 - the batch is tried again text by text
+                return np.array([one(t) for t in texts])
+
+        return run
 
     udf = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size)
 
     def score(texts, id_col, keep):
         logits = texts.withColumn("logits", udf("text"))
-        lead = F.col("logits")[1] - F.col("logits")[0]  # softmax of two logits
+        lead = F.nanvl(F.col("logits")[1] - F.col("logits")[0], F.lit(None).cast("double"))  # softmax of two logits
         return logits.select(
             id_col,
             *keep,
@@ -72,8 +87,9 @@ def batch_scorer(load: Callable[[], Callable], batch_size: int = 32) -> Scorer:
 
 
 def decide(spam: Column, threshold: float | Column = 0.5) -> Column:
+    """The label; ``error`` where there is no probability."""
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    return F.when(spam >= limit, "spam").otherwise("ham")
+    return F.when(spam.isNull(), "error").when(spam >= limit, "spam").otherwise("ham")
 
 
 def score_messages(

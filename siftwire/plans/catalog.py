@@ -128,6 +128,16 @@ def file_checksums(spark, d):
     )
 
 
+def file_checksums_written(spark, d):
+    """Checksums of files that the query writes, one for each language: a line for each document."""
+    path = scratch_path(spark, "files")
+    line = F.concat_ws(" ", "doc_id", F.octet_length("text")).alias("line")
+    rows = V.table(spark, d, "documents").select("lang", "doc_id", line)
+    rows.repartition("lang").sortWithinPartitions("lang", "doc_id").drop("doc_id").write.partitionBy("lang").text(path)
+    longer = {"whole_bytes": 2000, "piece_bytes": 777}  # so that both ways are taken
+    return SC.file_checksums(spark, path, "part-*", **longer).select(F.regexp_extract("path", "lang=([^/]+)", 1).alias("lang"), "length", "sha256")
+
+
 def append_predictions(spark, d):
     path = scratch_path(spark, "log")
     log = V.prediction_log(spark, d)
@@ -227,15 +237,25 @@ def spam_keyword_count(spark, d):
 
 
 def lemmatize(spark, d):
-    rows = _normalized(spark, d).select("doc_id", "tokens")
+    """Every token of the messages, by the library's lexicon and irregular forms."""
+    tokens = F.transform(K.tokenize_regex(F.col("text")), F.lower).alias("tokens")
+    rows = stored(V.messages(spark, d).select("doc_id", tokens), "tokens")
     forms = rows.select(F.explode_outer("tokens").alias("form")).filter("form is not null").distinct()
-    lexicon = forms.select(F.col("form").alias("lemma"), F.explode(F.array(F.lit("n"), F.lit("v"))).alias("pos"))
-    lemmas = L.lemma_table(forms, lexicon)
-    return L.lemmatize(rows, lemmas).select("doc_id", joined("tokens"))
+    return L.lemmatize(rows, L.default_lemmas(forms)).select("doc_id", joined("tokens"))
+
+
+def tokenize_by_name(spark, d):
+    rows = V.messages(spark, d)
+    parts = [rows.select("doc_id", F.lit(name).alias("name"), joined_tokens(K.tokenize(F.col("text"), name.upper()))) for name in K.TOKENIZERS]
+    return parts[0].unionByName(parts[1])
+
+
+def joined_tokens(tokens):
+    return F.array_join(tokens, "|").alias("tokens")
 
 
 def stem_vocabulary(spark, d):
-    rows = _normalized(spark, d).select("doc_id", "tokens")
+    rows = stored(_normalized(spark, d).select("doc_id", "tokens"), "tokens")
     return L.stem(rows).select("doc_id", joined("tokens"))
 
 
@@ -367,6 +387,30 @@ def score_batch(spark, d):
     return rounded(scored.select("doc_id", "prediction", "confidence", "spam_probability", "source"))
 
 
+def scored_log_summary(spark, d):
+    """Messages scored with their time, logged and summed up: the log knows what scoring took."""
+    path, chats = scratch_path(spark, "log"), V.chat_messages(spark, d)
+    scored = S.measured(S.score_messages(chats, S.naive_bayes_scorer(_bayes(spark, d)), "naive_bayes"))
+    SC.append_predictions(S.to_log(scored, chats, F.lit(AS_OF).cast("timestamp"), "api"), path)
+    told = Q.summary(SC.read_predictions(spark, path), F.lit("2024-01-31 12:00:00").cast("timestamp"), G.MODEL_NAMES)
+    return told.select("total_predictions", "predictions_today", (F.col("avg_processing_time_ms") > 0).alias("timed"))
+
+
+def explain_errors(spark, d):
+    """Local explanations by a model that fails on some texts: those are error rows, the others are explained."""
+
+    def load():
+        def model(texts):
+            if any(t.startswith("A") for t in texts):
+                raise RuntimeError("this text is too much")
+            return [[float(len(t)), 0.0] for t in texts]
+
+        return model
+
+    done = E.explain(V.table(spark, d, "benchmark"), lambda rows, key, keep: S.batch_scorer(load)(rows, key, keep), "lime", id_col="item_id", num_samples=20)
+    return done.select("item_id", (F.col("prediction") == "error").alias("failed"), (F.size("word_importances") > 0).alias("explained"))
+
+
 def score_by_model(spark, d):
     scorers = S.Scorers({"naive_bayes": lambda: S.naive_bayes_scorer(_bayes(spark, d))}, "naive_bayes")
     scored = scorers.score(V.chat_messages(spark, d), "naive_bayes")
@@ -719,6 +763,10 @@ QUERIES = {
     "token_length_filter": _token_query(K.token_length_filter),
     "normalize_tokens": _token_query(K.normalize_tokens),
     "lemmatize": lemmatize,
+    "tokenize_by_name": tokenize_by_name,
+    "file_checksums_written": file_checksums_written,
+    "scored_log_summary": scored_log_summary,
+    "explain_errors": explain_errors,
     "stem_vocabulary": stem_vocabulary,
     "spam_keywords": spam_keywords,
     "spam_keyword_count": spam_keyword_count,

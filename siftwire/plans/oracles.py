@@ -9,6 +9,7 @@ from __future__ import annotations
 from siftwire.functions import wordlists as W
 from siftwire.functions.tokens import NormalizeOptions
 from siftwire.operators import event_metrics as M
+from siftwire.operators.lexicon import DETACHMENT, lexicon_rows
 from siftwire.plans.catalog import AS_OF, RATE_LIMIT, RATE_WINDOW, SYNONYMS, USER
 
 WS = r"\t\n\x0b\f\r\x1c-\x20\x{85}\p{Z}"
@@ -555,3 +556,37 @@ ORACLES: dict[str, str] = {
     "round(count(*) FILTER (WHERE label_encoded = 1) / greatest(count(*) FILTER (WHERE label_encoded <> 1), 1), 6) AS ratio FROM corpus",
 }
 ORACLES["rate_limit_stream"] = ORACLES["rate_limit"]
+
+_LEXICON, _EXCEPTIONS = lexicon_rows()
+_RULES = [(pos, i + 1, suffix, ending) for pos, pairs in DETACHMENT.items() for i, (suffix, ending) in enumerate(pairs)]
+
+
+def _values(rows: list[tuple]) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
+
+
+ORACLES |= {
+    "lemmatize": f"""
+        WITH lexicon AS (SELECT * FROM {_values(_LEXICON)} t(lemma, pos)), exceptions AS (SELECT * FROM {_values(_EXCEPTIONS)} t(form, pos, lemma)),
+        rules AS (SELECT * FROM {_values(_RULES)} t(pos, n, suffix, ending)),
+        lists AS (SELECT doc_id, list_transform({TOKENS.replace('cleaned', "coalesce(text, '')")}, lambda t: lower(t)) AS tokens FROM documents),
+        forms AS (SELECT DISTINCT unnest(tokens) AS form FROM lists),
+        ruled AS (SELECT form, pos, n, left(form, length(form) - length(rules.suffix)) || ending AS lemma FROM forms JOIN rules ON ends_with(form, rules.suffix)
+                  UNION ALL SELECT form, pos, 0, form FROM forms CROSS JOIN (VALUES ('n'), ('v')) t(pos)),
+        spread AS (SELECT * FROM ruled WHERE (form, pos) NOT IN (SELECT (form, pos) FROM exceptions)
+                   UNION ALL SELECT form, pos, 1, lemma FROM exceptions SEMI JOIN forms USING (form)
+                   UNION ALL SELECT form, pos, 0, form FROM exceptions SEMI JOIN forms USING (form)),
+        best AS (SELECT form, pos, arg_min(lemma, (length(lemma), n, lemma)) AS lemma FROM spread SEMI JOIN lexicon USING (lemma, pos) GROUP BY form, pos),
+        lemmas AS (SELECT * FROM best WHERE lemma <> form),
+        cells AS (SELECT doc_id, unnest(tokens) AS form, unnest(range(len(tokens))) AS i FROM lists),
+        verbs AS (SELECT doc_id, i, coalesce(lemma, cells.form) AS form FROM cells LEFT JOIN (FROM lemmas WHERE pos = 'v') v ON v.form = cells.form),
+        nouns AS (SELECT doc_id, i, coalesce(lemma, verbs.form) AS word FROM verbs LEFT JOIN (FROM lemmas WHERE pos = 'n') n ON n.form = verbs.form)
+        SELECT lists.doc_id, coalesce(string_agg(word, '|' ORDER BY i), '') AS tokens FROM lists LEFT JOIN nouns USING (doc_id) GROUP BY lists.doc_id
+    """,
+    "tokenize_by_name": f"SELECT doc_id, 'regex' AS name, array_to_string({TOKENS.replace('cleaned', "coalesce(text, '')")}, '|') AS tokens FROM documents "
+    f"UNION ALL SELECT doc_id, 'whitespace', array_to_string({SPLIT_WORDS}, '|') FROM documents",
+    "file_checksums_written": "SELECT lang, strlen(content) AS length, sha256(content) AS sha256 FROM (SELECT lang, "
+    "string_agg(doc_id || ' ' || strlen(text) || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY lang)",
+    "scored_log_summary": "SELECT count(*) AS total_predictions, count(*) AS predictions_today, true AS timed FROM conversations",
+    "explain_errors": "SELECT item_id, starts_with(text, 'A') AS failed, NOT starts_with(text, 'A') AS explained FROM benchmark",
+}

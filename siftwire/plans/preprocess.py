@@ -37,8 +37,8 @@ def preprocess(
 ) -> DataFrame:
     """Add cleaned text, token lists, final text, counts, flags and ratios to every row.
 
-    ``lemmas(form, pos, lemma)`` is the word table lemmatization needs (WordNet itself is not
-    part of this library); without it tokens stay as they are. With expressions only, the plan
+    ``lemmas(form, pos, lemma)`` is the word table that lemmatization needs, of which ``lexicon.default_lemmas``
+    makes a small one; without a table tokens stay as they are, unless ``lemmatize`` is asked for, which then fails. With expressions only, the plan
     has no shuffle.
     """
     o = options
@@ -52,9 +52,11 @@ def preprocess(
     n = o.normalize
     if o.enable_normalization:
         df = df.withColumn("normalized_tokens", K.normalize_tokens(F.col("tokens"), n))
-        if n.lemmatize and lemmas is not None:
+        if n.lemmatize and lemmas is None:
+            raise ValueError("lemmatize needs a table of lemmas; lexicon.default_lemmas makes one")
+        if lemmas is not None and n.lemmatize is not False:
             df = L.lemmatize(df, lemmas, "normalized_tokens", id_col)
-        elif n.stem and not n.lemmatize:
+        elif n.stem:
             df = L.stem(df, "normalized_tokens", id_col)
     else:
         df = df.withColumn("normalized_tokens", F.col("tokens"))

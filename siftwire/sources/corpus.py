@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +76,41 @@ def load_processed(spark: SparkSession, root: str, name: str) -> DataFrame:
         raise FileNotFoundError(f"no processed data under {path}") from error
 
 
-def file_checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path, length and SHA-256 of every file; contents stay on the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return files.load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+#: Files up to so many bytes are digested as one value; longer ones are read piece by piece.
+WHOLE_BYTES = 64 << 20
+PIECE_BYTES = 4 << 20
+
+
+def file_checksums(
+    spark: SparkSession, path: str, glob: str = "*", whole_bytes: int = WHOLE_BYTES, piece_bytes: int = PIECE_BYTES
+) -> DataFrame:
+    """Path, length and SHA-256 of every file of any length; contents stay on the executors.
+
+    A file above ``whole_bytes`` is a stream that one task reads in pieces, as its digest is one
+    chain; many such files are many tasks. The task opens it by its address, so its store has to be one that
+    Arrow knows (local, HDFS, S3, GCS and the like); shorter files can be wherever Spark reads.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    short = files.filter(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for address in batch.column(0).to_pylist():
+                store, name = pa_fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", address))
+                chain = hashlib.sha256()
+                with store.open_input_stream(name) as stream:
+                    while piece := stream.read(piece_bytes):
+                        chain.update(piece)
+                told.append(chain.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(told, pa.string())], ["path", "length", "sha256"])
+
+    long = files.filter(F.col("length") > whole_bytes).select("path", "length").repartition("path")
+    # Spark reads no empty files, but its index, which the driver holds in any case, lists them.
+    listed = spark.createDataFrame([(re.sub(r"^file:/+", "file:/", p),) for p in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti")
+    empty = empty.select("path", F.lit(0).cast("long").alias("length"), F.sha2(F.lit(b""), 256).alias("sha256"))
+    return short.unionByName(long.mapInArrow(digest, "path string, length long, sha256 string")).unionByName(empty)
 
 
 #: What tells the rows of the prediction log apart.
