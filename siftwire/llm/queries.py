@@ -109,15 +109,17 @@ ORACLES: dict[str, str] = {
                      regexp_replace(url, '^[a-z][a-z0-9+.-]*://', '') AS rest FROM p),
         k AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS host FROM s),
         u AS (SELECT *, regexp_replace(substr(rest, length(host) + 1), '#.*$', '') AS path,
-                     list_reverse(string_split(regexp_replace(host, '^www[0-9]*[.]', ''), '.')) AS labels FROM k)
+                     list_reverse(string_split(regexp_replace(host, '^www[0-9]*[.]', ''), '.')) AS labels FROM k),
+        w AS (SELECT *, array_to_string(labels, ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key,
+                     strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM u)
         SELECT page_id, payload_bytes,
                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    ((CAST('0x' || substr(hex, i // 4 * 5 + 1, 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
                CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN top <> page_id THEN top END AS refers_to,
-               array_to_string(labels, ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key,
-               strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured
-        FROM u
+               url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS position,
+               row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id) - 1 AS capture
+        FROM w
     """,
     "op13_conversation_trie": """
         WITH own AS (SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,

@@ -16,6 +16,8 @@ from siftwire.llm.common import stored
 
 #: Keys are non-negative 63-bit numbers, so differences of two keys never overflow.
 KEY_END = 1 << 63
+#: Low bits of the second key that tell rows apart which repeat id and text.
+TIE_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -48,8 +50,13 @@ class Span:
 
 
 def _key(text: Column, row_id: Column) -> tuple[Column, Column]:
-    """Equal texts are neighbours in key order; the id splits a group that is larger than a shard."""
-    return F.shiftrightunsigned(F.xxhash64(text), 1), F.shiftrightunsigned(F.xxhash64(row_id), 1)
+    """Equal texts are neighbours in key order; the id splits a group that is larger than a shard.
+
+    Rows that repeat both are split by where they stand, which holds once the keys are stored.
+    """
+    tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND((1 << TIE_BITS) - 1)
+    by_id = F.shiftleft(F.shiftrightunsigned(F.xxhash64(row_id), 1 + TIE_BITS), TIE_BITS)
+    return F.shiftrightunsigned(F.xxhash64(text), 1), by_id.bitwiseOR(tie)
 
 
 def _count(keys: DataFrame, spans: list[Span], probes: int, shift: int) -> dict[int, list]:
@@ -85,7 +92,7 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.001, probes: in
     """Boundaries (h, k) that cut ``keys`` (h, k, size) into ``shards`` stretches of near equal bytes.
 
     A boundary is final when the bytes below it are within ``tolerance`` of a shard's share from
-    their target, or when a single key is left to place it at. Ties of both keys stay together.
+    their target, or when a single key is left to place it at.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
     slack = tolerance * total / shards
@@ -128,12 +135,16 @@ def histogram_shards(
     Rows are ordered by (hash of text, hash of id) and cut into stretches of near equal bytes; a
     text's copies share a stretch unless a boundary has to fall inside the group. A row's size is
     the UTF-8 bytes of its text (null: none) plus ``overhead``. Shards are worked on in pieces of
-    about ``piece_bytes``, so no task holds a whole shard. Null ids and repeated rows are rows like
-    any other; an empty table gives an empty result. Input columns named like a result are replaced.
+    about ``piece_bytes``, so no task holds a whole shard. Null ids and rows that repeat id and text are
+    rows like any other, and may lie in several shards; an empty table gives an empty result. Input columns named like a
+    result are replaced.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + overhead
     h, k = _key(F.col(text), F.col(row_id))
-    keys = stored(rows.select(h.alias("h"), k.alias("k"), size.alias("size")), "shard-keys")
+    # Stored with its keys: a row keeps its place between counting and the exchange.
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("size", "shard", "slot")]
+    held = stored(rows.select(*kept, h.alias("__h"), k.alias("__k"), size.alias("size")), "shard-rows")
+    keys = held.select(F.col("__h").alias("h"), F.col("__k").alias("k"), "size")
     cuts = splitters(keys, shards, tolerance, probes)
     listed = ", ".join(f"named_struct('h', {a}L, 'k', {b}L)" for a, b in cuts)
     shard = "0" if not cuts else f"size(filter(array({listed}), b -> b <= named_struct('h', __h, 'k', __k)))"
@@ -142,16 +153,18 @@ def histogram_shards(
     def placed(df: DataFrame) -> DataFrame:
         return df.withColumn("shard", F.expr(shard)).withColumn("__piece", F.col("__k") % pieces)
 
-    counts = placed(keys.select(F.col("h").alias("__h"), F.col("k").alias("__k"))).groupBy("shard", "__piece").count()
+    counts = placed(held.select("__h", "__k")).groupBy("shard", "__piece").count()
     earlier = Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     # shards * pieces rows
     offsets = counts.select("shard", "__piece", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
     ordered = Window.partitionBy("shard", "__piece").orderBy("__h", "__k")
     return (
-        placed(rows.drop("size", "shard", "slot").withColumns({"__h": h, "__k": k, "size": size}))
+        placed(held)
+        .repartition(2 * shards * pieces, "shard", "__piece")
+        .withColumn("__place", F.row_number().over(ordered) - 1)
         .join(offsets, ["shard", "__piece"])
-        .withColumn("slot", (F.col("__before") + F.row_number().over(ordered) - 1).cast("bigint"))
-        .drop("__h", "__k", "__piece", "__before")
+        .withColumn("slot", (F.col("__before") + F.col("__place")).cast("bigint"))
+        .drop("__h", "__k", "__piece", "__before", "__place")
     )
 
 

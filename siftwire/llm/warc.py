@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwire.llm.common import stored
 from siftwire.session import scratch_path
@@ -24,6 +26,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 ARCHIVE_BYTES = 16 << 20
 #: Index entries of a merge range, about.
 RANGE_ROWS = 100_000
+#: Bytes of an archive that are unpacked at once.
+_PIECE = 1 << 14
 EPOCH = 1_704_067_200  # 2024-01-01, capture time of page 0 where the table has none
 
 
@@ -57,7 +61,7 @@ def with_revisits(pages: DataFrame, row_id: str, payload: str, min_bytes: int) -
         "warc-repeats",
     )
     joined = pages.join(again, "__sha1", "left")
-    return joined.withColumn("__first", F.when(F.col("__top") != F.col(row_id), F.col("__top"))).drop("__top")
+    return joined.withColumn("__first", F.when(~F.col("__top").eqNullSafe(F.col(row_id)), F.col("__top"))).drop("__top")
 
 
 def write_archives(
@@ -68,10 +72,10 @@ def write_archives(
 
     Of rows with equal payloads of at least ``min_bytes`` that with the largest id is a response, the
     others are revisits that refer to it and carry its length and digest but no payload. A null
-    payload is empty, a null url an empty one, and a null id no id: such a row is a revisit only of
-    an id that is known. Records end with the two line ends that Spark's text writer puts after each
-    row, so the files are written, committed and retried as any output of Spark. A file is one gzip
-    stream; offsets in the index are those of its content.
+    payload is empty, a null url an empty one, and a null id no id: such a row revisits the largest id
+    that is known, and where none is, all are responses. Every record is a gzip member of its own, so the
+    index's offset and length find it in the file. Spark's text writer puts the members down, which makes the files
+    written, committed and retried as any output of Spark: its line end is the zero byte that a member ends with.
     """
     captured = captured if captured is not None else F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.col(row_id), F.lit(0)))
     rows = with_revisits(
@@ -111,7 +115,24 @@ def write_archives(
     size = pages.agg(F.sum(F.octet_length(payload).cast("bigint"))).first()[0] or 0
     files = max(1, -(-size // archive_bytes))
     # Dealt by place, not by key: a common address or payload is spread like any other row.
-    rows.select(record.alias("value")).repartition(files).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    members = rows.select(record.alias("record")).repartition(files).mapInArrow(_members, "value binary")
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").text(path)
+
+
+_EMPTY = gzip.compress(b"", mtime=0)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A gzip member for each record, without its last byte, the highest of the record's length, which is zero below 16 MiB.
+
+    A longer record is followed by a member with nothing in it, which ends so, too.
+    """
+    for batch in batches:
+        out = []
+        for record in batch.column(0):
+            member = gzip.compress(record.as_buffer().to_pybytes() + b"\r\n\r\n", compresslevel=6, mtime=0)
+            out.append((member if member.endswith(b"\0") else member + _EMPTY)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
 def _base32_of_hex(column: str) -> Column:
@@ -121,21 +142,35 @@ def _base32_of_hex(column: str) -> Column:
     return F.expr(f"array_join(transform(sequence(0, 31), i -> substring({letters}, ({five_bits}) + 1, 1)), '')")
 
 
-def parse_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, header fields, block) of every record of an archive file."""
-    at = 0
+def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
+    """(header fields, block) of a record."""
+    if not record.startswith(VERSION):
+        raise ValueError("no WARC record")
+    end = record.index(b"\r\n\r\n")
+    lines = record[len(VERSION) : end].decode("utf-8").split("\r\n")
+    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+    first = end + 4
+    last = first + int(fields["content-length"])
+    if record[last:] != b"\r\n\r\n":
+        raise ValueError("a record does not end where it says")
+    return fields, record[first:last]
+
+
+def parse_archive(data: memoryview | bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, header fields, block) of every record of an archive file; offset and length are those of its member."""
+    at, data = 0, memoryview(data)
     while at < len(data):
-        if data[at : at + len(VERSION)] != VERSION:
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at + len(VERSION) : end].decode("utf-8").split("\r\n")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        first = end + 4
-        last = first + int(fields["content-length"])
-        if data[last : last + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where it says")
-        yield at, last - at, fields, data[first:last]
-        at = last + 4
+        member, place, parts = zlib.decompressobj(31), at, []
+        while not member.eof:
+            if place >= len(data):
+                raise ValueError(f"the member at byte {at} does not end")
+            piece = data[place : place + _PIECE]
+            parts.append(member.decompress(piece))
+            place += len(piece)
+        end = place - len(member.unused_data)
+        if record := b"".join(parts):
+            yield at, end - at, *parse_record(record)
+        at = end
 
 
 def _number(name: str | None) -> int | None:
@@ -159,7 +194,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for offset, length, fields, block in parse_archive(gzip.decompress(content.as_buffer())):
+                for offset, length, fields, block in parse_archive(content.as_buffer()):
                     payload = block.partition(b"\r\n\r\n")[2]
                     kind = fields["warc-type"]
                     own, url = kind == "response", fields.get("warc-target-uri", "")
@@ -176,7 +211,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(c, f.type) for c, f in zip(columns, ARROW_ENTRY, strict=True)], schema=ARROW_ENTRY
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     return files.select("path", "content").mapInArrow(read, ENTRY)
 
 
@@ -258,14 +293,35 @@ def merge_runs(entries: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     )
 
 
-def capture_index(pages: DataFrame, min_bytes: int = 0, **names) -> DataFrame:
+def histories(merged: DataFrame) -> DataFrame:
+    """``merged`` with its ``position`` from 0 over all ranges, and ``capture`` numbered over all of an address.
+
+    What the ranges before hold is one number a range. An address goes on from range to range only if it
+    starts one, so only such addresses, no more than ranges, are counted by range.
+    """
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = merged.groupBy("range").agg(F.count("*").alias("n"))
+    offsets = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    starts = merged.filter("place = 0").select("url_key").distinct()
+    parts = merged.join(starts, "url_key", "left_semi").groupBy("url_key", "range").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("url_key", "range", F.sum("n").over(earlier).alias("__carried"))
+    joined = merged.join(offsets, "range").join(carried, ["url_key", "range"], "left")
+    return joined.withColumns({
+        "position": F.col("__offset") + F.col("place"),
+        "capture": F.col("capture") + F.coalesce("__carried", F.lit(0)),
+    }).drop("__offset", "__carried", "range", "place")
+
+
+def capture_index(pages: DataFrame, min_bytes: int = 0, range_rows: int = RANGE_ROWS, **names) -> DataFrame:
     """Archives of ``pages`` written, read back, and their index runs merged into capture histories."""
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_bytes=min_bytes, **names)
-    return merge_runs(stored(read_archives(pages.sparkSession, path), "warc-runs"))
+    entries = stored(read_archives(pages.sparkSession, path), "warc-runs")
+    return histories(stored(merge_runs(entries, range_rows), "warc-merged"))
 
 
 def archive_digest(pages: DataFrame) -> DataFrame:
     return capture_index(pages).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "position", "capture"
     )

@@ -43,6 +43,15 @@ def test_hot_group_is_split_and_others_stay_together(spark):
     assert sum(len(x) > 1 for x in pairs.values()) <= 5
 
 
+def test_rows_without_id_that_repeat_one_text(spark):
+    rows = spark.createDataFrame([(None, "all the same", "x", 1)] * 1000 + [(i, f"other {i}", "x", 1) for i in range(200)], SCHEMA)
+    out = sharding.histogram_shards(rows.repartition(3), shards=40, piece_bytes=500).collect()
+    out = [r.asDict() for r in out]
+    check_slots(out)
+    sums = [sum(r["size"] for r in out if r["shard"] == s) for s in range(40)]
+    assert len(out) == 1200 and max(sums) - min(sums) <= 2 * max(r["size"] for r in out)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(None, None, None, None), (1, "", "s", 3), (1, "", "s", 3), (2, "long " * 5000, None, 1)]
     out = shards_of(spark.createDataFrame(rows, SCHEMA), 3)

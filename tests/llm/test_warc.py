@@ -32,7 +32,7 @@ def plain(rows, min_bytes=0):
     for r in rows:
         data = (r[2] or "").encode()
         top = groups.get(data)
-        again = len(data) >= min_bytes and r[0] is not None and top != r[0]
+        again = len(data) >= min_bytes and top is not None and top != r[0]
         digest = warc.base32(hashlib.sha1(data).digest())
         out.append((r[0], len(data), digest, "revisit" if again else "response", top if again else None))
     return sorted(out, key=str)
@@ -54,20 +54,44 @@ def test_round_trip(spark, tmp_path, min_bytes):
     fields = lambda rows: sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows), key=str)
     assert fields(got) == plain(ROWS, min_bytes) and len({r.run for r in got}) > 1
     for r in got:
-        with gzip.open(r.run.removeprefix("file:"), "rb") as file:
+        with open(r.run.removeprefix("file:"), "rb") as file:
             file.seek(r.offset)
-            assert file.read(r.length).startswith(b"WARC/1.1\r\n") and file.read(4) == b"\r\n\r\n"
+            record = gzip.decompress(file.read(r.length))
+            assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n")
+            file.seek(0)
+            assert gzip.decompress(file.read()).count(b"WARC-Record-ID: ") == sum(x.run == r.run for x in got)
     merged = warc.merge_runs(entries, range_rows=4).collect()
     assert fields(merged) == fields(got)
     order = [(r.url_key, r.captured, -1 if r.page_id is None else r.page_id) for r in sorted(merged, key=lambda r: (r.range, r.place))]
     assert order == sorted(order) and len({r.range for r in merged}) > 1
 
 
+def test_histories_go_on_over_ranges(spark):
+    rng = random.Random(4)
+    rows = [(i, f"http://{rng.choice(['hot.com/', 'hot.com/', 'b.org/x', f'c{i % 7}.net'])}", f"page {i % 5}", "") for i in range(120)] + [(None, "http://hot.com/", "x", "")] * 2
+    pages = spark.createDataFrame(rows, SCHEMA)
+    seen, want = {}, []
+    for position, (key, at, i) in enumerate(sorted((warc.url_key(u), i or 0, -1 if i is None else i) for i, u, _, _ in rows)):
+        want.append((position, key, None if i < 0 else i, seen.get(key, 0)))
+        seen[key] = seen.get(key, 0) + 1
+    for size in (7, 1000):
+        got = warc.capture_index(pages, range_rows=size, archive_bytes=2000).collect()
+        assert sorted((r.position, r.url_key, r.page_id, r.capture) for r in got) == want
+
+
+def test_records_of_sixteen_mebibytes(spark, tmp_path):
+    rows = [(1, "a", "x" * (17 << 20), ""), (2, "b", "y", "")]
+    warc.write_archives(spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/w", archive_bytes=1 << 30)
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.read_archives(spark, f"{tmp_path}/w").collect()) == [(1, 17 << 20), (2, 1)]
+
+
 def test_damage_is_seen():
     with pytest.raises(ValueError, match="no WARC record"):
-        list(warc.parse_archive(b"nonsense"))
+        list(warc.parse_archive(gzip.compress(b"nonsense")))
+    with pytest.raises(ValueError, match="does not end"):
+        list(warc.parse_archive(gzip.compress(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nabc")))
     with pytest.raises(ValueError, match="does not end"):
-        list(warc.parse_archive(b"WARC/1.1\r\nContent-Length: 1\r\n\r\nabc"))
+        list(warc.parse_archive(gzip.compress(b"x" * 99)[:-9]))
 
 
 def test_whole_table(spark, small):
