@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftwire.llm.common import stored
 
-#: Labelled addresses that are mined at most, picked by a hash of the id, and mined rules kept at most.
-FIT_ROWS, MAX_RULES = 200_000, 10_000
+#: Labelled addresses that are mined at most, picked by a hash of the id.
+FIT_ROWS = 200_000
 #: Rules of the query: (verdict, host and path). Fixed values.
 RULES = (
     ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
@@ -72,61 +74,94 @@ def url_tokens(url: Column) -> Column:
 
 @dataclass
 class MinedRules:
-    """Rules (tokens, key, confidence, support) that block; ``key`` is the token of each that the fewest addresses have."""
+    """Rules (items, key, confidence, support) that block, and ``classes`` (item, token): tokens of one item always occur together.
+
+    An address fits a rule if it has a token of each of its items; ``key`` is the item that the fewest addresses have.
+    """
 
     table: DataFrame
+    classes: DataFrame
 
     def judge(self, pages: DataFrame, tokens: str, name: str) -> DataFrame:
-        """``pages`` with ``name``: the tokens and confidence of the best rule whose tokens all occur, else null.
+        """``pages`` with ``name``: confidence, support and tokens of the best rule whose items all occur, else null.
 
-        The rules' inverted index lists every rule under one token, so an address meets a rule at
-        most once. It has at most ``MAX_RULES`` rows and goes to every task: pages do not shuffle.
+        Distinct token lists meet the rules' inverted index, one row for each key, at the tokens of the key;
+        an address meets a rule once. Repeated addresses are judged once and joined back.
         """
-        index = self.table.groupBy("key").agg(F.collect_list(F.struct("confidence", "support", "tokens")).alias("rules"))
-        whole = F.broadcast(index.agg(F.map_from_entries(F.collect_list(F.struct("key", "rules"))).alias("__index")))
-        own = F.col(tokens)
-        met = F.flatten(F.filter(F.transform(own, lambda t: F.col("__index")[t]), lambda r: r.isNotNull()))
-        fits = F.filter(met, lambda r: F.size(F.array_except(r["tokens"], own)) == 0)
-        return pages.join(whole, how="left").withColumn(name, F.array_max(fits)).drop("__index")
+        index = self.table.groupBy("key").agg(F.collect_list(F.struct("confidence", "support", "items")).alias("rules"))
+        lists = pages.select(F.col(tokens).alias("__list")).distinct()
+        items = lists.select("__list", F.explode("__list").alias("token")).join(self.classes, "token")
+        items = items.groupBy("__list").agg(F.collect_set("item").alias("own"))
+        met = items.select("__list", "own", F.explode("own").alias("key")).join(index, "key")
+        fits = F.array_max(F.filter("rules", lambda r: F.size(F.array_except(r["items"], F.col("own"))) == 0))
+        best = met.select("__list", fits.alias("fit")).groupBy("__list").agg(F.max("fit").alias("fit"))
+        told = best.filter("fit is not null").select("__list", F.struct("fit.confidence", "fit.support", F.col("fit.items").alias("tokens")).alias(name))
+        return pages.join(told, F.col(tokens) == F.col("__list"), "left").drop("__list")
+
+
+def _needed(sets: DataFrame) -> DataFrame:
+    """Rules of ``sets`` (items, confidence, support, rule) that no part of their items makes with the same confidence or more.
+
+    What the parts of a set reach at most follows level by level from its parts of one item less, all of
+    which are frequent with it. So a set of n items looks at n rows, and no rule is compared with all others.
+    """
+    deepest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    reached = F.greatest(F.when(F.col("rule"), F.col("confidence")).otherwise(0.0), F.col("below"))
+    level = stored(sets.filter("size(items) = 1").withColumn("below", F.lit(0.0)), "url-level")
+    kept = [level]
+    for n in range(2, deepest + 1):
+        parts = sets.filter(F.size("items") == n).withColumn("part", F.explode(F.transform("items", lambda x: F.array_remove("items", x))))
+        less = level.select(F.col("items").alias("part"), reached.alias("reached"))
+        below = parts.join(less, "part").groupBy("items", "confidence", "support", "rule").agg(F.max("reached").alias("below"))
+        level = stored(below, "url-level")
+        kept.append(level)
+    return reduce(DataFrame.unionByName, kept).filter(F.col("rule") & (F.col("confidence") > F.col("below")))
 
 
 def mine_rules(
     labelled: DataFrame, tokens: str = "tokens", label: str = "label", min_support: float = 0.002, min_rows: int = 10,
-    min_confidence: float = 0.6, min_lift: float = 1.5, max_rules: int = MAX_RULES,
+    min_confidence: float = 0.6, min_lift: float = 1.5,
 ) -> MinedRules:
     """Association rules tokens -> block of the labelled rows (``label``: 1 block, 0 allow), by FP-growth.
 
     A rule needs ``min_support`` of the rows and ``min_rows`` of them, its confidence and lift; one
-    that a part of its tokens makes with the same confidence or more is pruned. Without rows, or
-    without any to block, there are none.
+    that a part of its tokens makes with the same confidence or more is pruned, and every other is kept. Tokens that occur
+    in the same rows are one item, so a family of tokens that a template puts together counts as one. Without rows, or
+    without any to block, there are no rules.
     """
     spark = labelled.sparkSession
-    shape = "tokens array<string>, key string, confidence double, support double"
-    rows = stored(labelled.filter(F.col(label).isin(0, 1)).select(F.col(tokens).alias("tokens"), F.col(label).alias("label")), "url-labels")
+    shape, class_shape = "items array<string>, key string, confidence double, support double", "item string, token string"
+    rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(tokens).alias("tokens"), F.col(label).alias("label"))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "url-labels")
     total = rows.count()
-    if not total or not rows.filter("label = 1").limit(1).count():
-        return MinedRules(spark.createDataFrame([], shape))
-    items = rows.select(F.when(F.col("label") == 1, F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / total), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter(F.array_contains("consequent", BLOCK) & (F.col("lift") >= min_lift))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = stored(rules.orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(max_rules), "url-rules")
-    # A rule meets only rules that share a token; both sides have at most max_rules rows.
-    less = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("as_sure"), F.explode("tokens").alias("token"))
-    wider = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
-    needless = (
-        wider.join(F.broadcast(less), "token")
-        .filter((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("as_sure") >= F.col("confidence")))
-        .select("tokens").distinct()
+    blocked = rows.filter("label = 1").count()
+    if not blocked:
+        return MinedRules(spark.createDataFrame([], shape), spark.createDataFrame([], class_shape))
+    least = max(min_support * total, min_rows)
+    uses = rows.select("row", F.explode(F.array_distinct("tokens")).alias("token"))
+    marks = [F.sum(F.xxhash64(F.lit(seed), "row").cast("decimal(38,0)")).alias(f"mark{seed}") for seed in (1, 2)]
+    often = uses.groupBy("token").agg(F.count("*").alias("uses"), *marks).filter(F.col("uses") >= least)
+    same = Window.partitionBy("uses", "mark1", "mark2")  # one row for each frequent token
+    classes = stored(often.select(F.min("token").over(same).alias("item"), "token", "uses"), "url-classes")
+    of_items = uses.join(classes.filter("item = token").select("token"), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    items = rows.join(of_items, "row", "left").select(
+        F.concat(F.coalesce("items", F.array().cast("array<string>")), F.when(F.col("label") == 1, F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")
+    )
+    found = FPGrowth(itemsCol="items", minSupport=least / total).fit(items).freqItemsets
+    found = stored(found.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
+    with_block = found.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1))
+    with_block = with_block.select(F.array_remove("items", BLOCK).alias("items"), F.col("freq").alias("hits"))
+    sets = with_block.join(found, "items").select(
+        "items", (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / F.lit(total)).alias("support")
     )
-    rules = rules.join(needless, "tokens", "left_anti")
-    uses = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+    is_rule = (F.col("confidence") >= min_confidence) & (F.col("confidence") / (blocked / total) >= min_lift)
+    rules = stored(_needed(stored(sets.withColumn("rule", is_rule), "url-sets")), "url-rules")
     rarest = (
-        rules.select("tokens", F.explode("tokens").alias("token")).join(uses, "token")
-        .groupBy("tokens").agg(F.min(F.struct("uses", "token")).alias("least"))
+        rules.select("items", F.explode("items").alias("token")).join(classes.select("token", "uses"), "token")
+        .groupBy("items").agg(F.min(F.struct("uses", "token")).alias("least"))
     )
-    keyed = rules.join(rarest, "tokens").select("tokens", F.col("least.token").alias("key"), "confidence", "support")
-    return MinedRules(stored(keyed, "url-index"))
+    keyed = rules.join(rarest, "items").select("items", F.col("least.token").alias("key"), "confidence", "support")
+    return MinedRules(stored(keyed, "url-index"), classes.select("item", "token"))
 
 
 def judge_urls(

@@ -1,4 +1,5 @@
 import random
+from itertools import chain, combinations
 
 from siftwire.llm import url_filter as U
 
@@ -59,6 +60,56 @@ def test_mined_rules_block(spark):
     assert best == {("query:pills",)}
     rows = spark.createDataFrame([(["a", "b"], 1)] * 30 + [(["a"], 0)] * 30 + [(["b"], 0)] * 30, "tokens array<string>, label int")
     mined = U.mine_rules(rows)
-    assert [(r.tokens, r.confidence) for r in mined.table.collect()] == [(["a", "b"], 1.0)]
+    assert [(r["items"], r.confidence) for r in mined.table.collect()] == [(["a", "b"], 1.0)]
     judged = mined.judge(spark.createDataFrame([(["b", "a", "c"],), (["b"],), ([],)], "t array<string>"), "t", "m").collect()
-    assert [r.m is not None for r in judged] == [True, False, False]
+    assert {tuple(r.t): r.m is not None for r in judged} == {("b", "a", "c"): True, ("b",): False, (): False}
+
+
+def plain_rules(rows, min_rows, min_confidence, min_lift):
+    """tokens -> confidence of every rule that no part of its tokens makes as surely, by counting all sets of tokens."""
+    share = sum(y for _, y in rows) / len(rows)
+    sets = set(chain.from_iterable(combinations(sorted(set(t)), n) for t, _ in rows for n in range(1, len(set(t)) + 1)))
+    found = {}
+    for s in sets:
+        labels = [y for t, y in rows if set(s) <= set(t)]
+        sure = sum(labels) / len(labels)
+        if sum(labels) >= min_rows and sure >= min_confidence and sure / share >= min_lift:
+            found[s] = sure
+    return {s: sure for s, sure in found.items() if not any(set(p) < set(s) and found[p] >= sure for p in found)}
+
+
+def test_rules_equal_brute_force_miner(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        tokens = [t for t in "abcdef" if rng.random() < 0.45]
+        if "a" in tokens:
+            tokens += ["twin-a"]  # occurs with a, always
+        odds = 0.9 if {"a", "b"} <= set(tokens) else 0.7 if "c" in tokens and "d" not in tokens else 0.15
+        rows.append((tokens, int(rng.random() < odds)))
+    mined = U.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label int"), min_support=0.0, min_rows=5, min_confidence=0.5, min_lift=1.2)
+    got = {tuple(r["items"]): r.confidence for r in mined.table.collect()}
+    want = plain_rules([([t for t in tokens if t != "twin-a"], y) for tokens, y in rows], 5, 0.5, 1.2)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-12 for s in got) and len(got) > 3
+    whole = plain_rules(rows, 5, 0.5, 1.2)
+    lists = [list(t) for n in range(4) for t in combinations([*"abcdef", "twin-a"], n)]
+    judged = mined.judge(spark.createDataFrame([(t,) for t in lists + lists[:3]], "t array<string>"), "t", "m").collect()
+    assert len(judged) == len(lists) + 3
+    for r in judged:
+        best = max((sure for s, sure in whole.items() if set(s) <= set(r.t)), default=None)
+        assert (r.m.confidence if r.m else None) == best or abs(r.m.confidence - best) < 1e-12
+
+
+def test_a_family_of_tokens_hides_no_other_rule(spark):
+    family = [f"path:part{i}" for i in range(14)]
+    rows = [(family + [f"path:own{i}"], 1) for i in range(300)] + [(["host:other", f"path:p{i}"], int(i % 10 < 7)) for i in range(100)]
+    rows += [(["host:good"], 0)] * 600
+    almost = [(family[:i] + family[i + 1 :], 1) for i in range(14)]  # so that the family's tokens differ a little
+    for extra in ([], almost):
+        mined = U.mine_rules(spark.createDataFrame(rows + extra, "tokens array<string>, label int"))
+        rules = {tuple(r["items"]): r.confidence for r in mined.table.collect()}
+        assert rules[("host:other",)] == 0.7
+        singles = {s for s in rules if s[0].startswith("path:part")}
+        assert singles and all(len(s) == 1 and rules[s] == 1.0 for s in singles)
+        pages = spark.createDataFrame([([t],) for t in family], "t array<string>")
+        assert mined.judge(pages, "t", "m").filter("m.confidence = 1.0").count() == 14
