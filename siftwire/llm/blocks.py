@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from siftwire.llm.common import bytes_of, stored
 
 BLOCK_BYTES = 12 << 20
-#: Text for each bucket of words, about; a bucket's words are held by one task.
-BUCKET_BYTES = 16 << 20
+#: Text for each bucket of words, about, up to the most buckets. A task streams a bucket and holds its distinct
+#: words, a 4,096th of the vocabulary at most, which grows far slower than the text; more buckets would make packs of single words.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 4096
 CHUNK_WORDS = 1 << 18
 #: Words of a block that are numbered by frequency; the others follow by bucket and spelling, which needs no table.
 FREQUENT = 1 << 13
@@ -184,7 +185,7 @@ def write_blocks(docs: DataFrame, split: Callable[[str], list[bytes]], name: str
     ``uses`` of a word count documents that are ``counted`` only. A block ends once its words reach
     ``block_bytes``; a single longer text is a block of its own.
     """
-    buckets = max(16, min(4096, bytes_of(docs, "text") // BUCKET_BYTES))
+    buckets = max(16, min(MOST_BUCKETS, bytes_of(docs, "text") // BUCKET_BYTES))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0

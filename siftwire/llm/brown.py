@@ -1,8 +1,9 @@
 """Language-model scores by Brown classes: exchange clustering, class transitions, word emission.
 
 The exchange is the distributed kind: all workers weigh moves against the same counts of a pass.
-It runs over units: every word of at least ``least`` training uses is a unit, and all rarer words
-that share their last two bytes are one, so that rare and unknown words have a class, too.
+It runs over units: words of at least ``least`` training uses are units by a hash, and all rarer words
+that share their last two bytes are one, so that rare and unknown words have a class, too. A unit is a
+number that follows from the word alone, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -12,19 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwire.llm.blocks import by_bucket, pack_lists, read_texts, reassemble, unpack_lists, unpack_words, write_blocks
 from siftwire.llm.common import crc32_of_id, stored
 
 CLASSES = 120  # twice as many must fit a byte
-#: Words that are units of their own at most; with at most 65,793 endings it bounds what is broadcast.
-UNIT_WORDS = 1 << 18
+#: Numbers of units: 0 is the end, then endings of one and of two bytes, then hashes of words. It bounds what is
+#: broadcast and held by the driver, at every size of corpus: a byte a unit.
+ENDINGS, HASHES = 1 + 256 + 65_536, 1 << 22
+UNITS = ENDINGS + HASHES
 LEAST_USES = 5
-#: Which units may move in each pass: all, or those of even or odd number.
-PASSES = ("all", "even", "odd", "all")
+#: Passes go on while two of them, over even and odd units, raise the likelihood by this part of it.
+LEAST_GAIN = 1e-3
 END = b""  # no word is empty
 _FLUSH = 2_000_000
 _PACK = np.dtype([("c", "u1"), ("n", "<u4")])
@@ -83,27 +85,25 @@ def _vocabulary(words: DataFrame) -> DataFrame:
     return by_bucket(words).mapInArrow(add_up, "bucket int, word binary, n long")
 
 
-def _number(rows: DataFrame, columns: str) -> DataFrame:
-    """``rows`` with ``unit``, numbers from 0 without gaps; counts of partitions are all the driver sees."""
-    names = [c.split()[0] for c in columns.split(", ")]
+def ending_unit(word: bytes) -> int:
+    """The unit of a rare or unknown word: that of its last two bytes."""
+    last = word[-2:]
+    return 1 + last[0] if len(last) == 1 else 257 + (last[0] << 8) + last[1] if last else 0
+
+
+def _unit(word: str, frequent: Column) -> Column:
+    """The unit of a word of the vocabulary; the same numbers as ``ending_unit`` where it is not frequent."""
+    last = F.conv(F.hex(F.substring(word, -2, 2)), 16, 10).cast("int")
+    ending = F.when(F.octet_length(word) == 0, 0).when(F.octet_length(word) == 1, 1 + last).otherwise(257 + last)
+    hashed = ENDINGS + F.pmod(F.crc32(word), F.lit(HASHES)).cast("int")
+    return F.when(frequent & (F.octet_length(word) > 0), hashed).otherwise(ending)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            place = pa.array(np.arange(seen, seen + batch.num_rows), pa.int32())
-            seen += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), place], [*names, "part", "place"]
-            )
 
-    marked = stored(rows.select(*names).mapInArrow(mark, columns + ", part int, place int"), "lm-units")
-    sizes = {r.part: r["count"] for r in marked.groupBy("part").count().collect()}
-    offsets, total = [], 0
-    for part in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(part, 0)
-    start = F.element_at(F.array(*[F.lit(o) for o in offsets or [0]]), F.col("part") + 1)
-    return marked.select(*names, (start + F.col("place")).cast("int").alias("unit"))
+def likelihood(pairs: np.ndarray) -> float:
+    """What class transitions and class sizes add to the log likelihood of the training texts."""
+    parts = [x[x > 0] for x in (pairs.ravel(), pairs.sum(axis=0), pairs.sum(axis=1))]
+    whole, uses, before = (float((x * np.log(x)).sum()) for x in parts)
+    return whole - uses - before
 
 
 def _sequences(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
@@ -167,7 +167,7 @@ def exchange(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray, moves: np
     """Classes after one pass: each unit that ``moves`` goes where its neighbours make it likeliest.
 
     Contexts are added up in the tasks that read them, then per unit; what comes back is one class
-    for each unit, which the bound on units bounds.
+    for each unit, of which there are ``UNITS``.
     """
     n = len(pairs)
     context = coded.sparkSession.sparkContext.broadcast((classes, moves))
@@ -221,13 +221,13 @@ def exchange(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray, moves: np
     )
     found = decided.toPandas()
     out = classes.copy()
-    out[found["unit"].to_numpy()] = found["class"].to_numpy()
+    out[found["unit"].to_numpy()] = found["class"].to_numpy().astype(np.uint8)
     return out
 
 
 def score_texts(
-    docs: DataFrame, learn: F.Column, text: str = "text", row_id: str = "doc_id", classes: int = CLASSES,
-    unit_words: int = UNIT_WORDS, least: int = LEAST_USES, passes: tuple[str, ...] = PASSES,
+    docs: DataFrame, learn: Column, text: str = "text", row_id: str = "doc_id", classes: int = CLASSES,
+    least: int = LEAST_USES, least_gain: float = LEAST_GAIN, exchanges: bool = True,
 ) -> DataFrame:
     """(row_id, learned, n_tokens, n_known, train_tokens, base_score, score) of every text.
 
@@ -235,55 +235,40 @@ def score_texts(
     A-Z lower-cased bytes between white space; each text has an end, which is a token. A null or
     empty text is its end alone. Repeated rows count and are scored each; without any row to learn
     from, every class and word is as likely as the rest allows and the scores are those of an empty
-    count table.
+    count table. Frequent words whose hashes are equal share a class, not their uses.
     """
     rows = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"), learn.alias("counted"))
     blocks = write_blocks(rows, tokens, "lm-blocks")
     vocabulary = stored(_vocabulary(blocks.words), "lm-words")
-    limits = [least * 2**i for i in range(40)]
     stats = vocabulary.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count("*").alias("V"), F.count_if(F.col("n") == 1).alias("n1"),
-        F.count_if(F.col("n") == 2).alias("n2"), *[F.count_if(F.col("n") >= x).alias(f"at{i}") for i, x in enumerate(limits)],
+        F.count_if(F.col("n") == 2).alias("n2"),
     ).first()
     n_all, n_words = stats.N, stats.V
     discount = stats.n1 / (stats.n1 + 2 * stats.n2) if stats.n1 and stats.n2 else 0.5
-    limit = next(x for i, x in enumerate(limits) if stats[f"at{i}"] <= unit_words)
+    vocabulary = vocabulary.withColumn("unit", _unit("word", F.col("n") >= least))
 
-    own = (F.col("n") >= limit) | (F.col("word") == F.lit(END))
-    ending = F.expr("substring(word, -2, 2)")
-    frequent = vocabulary.filter(own).select("word", F.lit(False).alias("rare"), "n", F.lit(1).cast("long").alias("words"))
-    rare = vocabulary.filter(~own).groupBy(ending.alias("word")).agg(
-        F.lit(True).alias("rare"), F.sum("n").alias("n"), F.count("*").alias("words")
-    )
-    fixed = rows.sparkSession.sql(  # the end, should no text be learned from, and rare words of unseen endings
-        "SELECT CAST('' AS BINARY) AS word, false AS rare, 0L AS n, 0L AS words UNION ALL "
-        "SELECT CAST('' AS BINARY) AS word, true AS rare, 0L AS n, 0L AS words"
-    )
-    merged = frequent.unionByName(rare).unionByName(fixed).groupBy("word", "rare").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
-    units = _number(merged, "word binary, rare boolean, n long, words long")
-    units = stored(units, "lm-numbered")
-
-    # At most 65,793 endings.
-    endings = {bytes(r.word): r.unit for r in units.filter("rare").select("word", "unit").collect()}
-    end, other = units.filter("NOT rare").filter(F.octet_length("word") == 0).first().unit, endings[b""]
-    own_units = units.filter("NOT rare").select("word", "unit")
-    table = stored(vocabulary.join(own_units, "word", "left").select(F.col("bucket").alias("of"), "word", "n", "unit"), "lm-table")
-    sent = rows.sparkSession.sparkContext.broadcast(endings)
-
-    def look_up(packed: pa.Table, known: pa.Table) -> pa.Table:
-        by_ending = sent.value
-        units = [u if u is not None else -1 for u in known["unit"].to_pylist()]
-        facts = dict(zip(known["word"].to_pylist(), zip(known["n"].to_pylist(), units, strict=True), strict=True))
-        facts.setdefault(END, (0, end))
-        out = []
-        for words in packed["words"].to_pylist():
-            names, _ = unpack_words(words)
-            found = [facts.get(w, (0, -1)) for w in names]
-            unit = [u if u >= 0 else by_ending.get(w[-2:], other) for w, (_, u) in zip(names, found, strict=True)]
-            out.append(pack_lists([np.array([n for n, _ in found]), np.array(unit)]))
-        return pa.table([packed["block"], packed["bucket"], pa.array(out, pa.binary())], names=["block", "bucket", "facts"])
-
-    values = blocks.words.groupBy("bucket").cogroup(table.groupBy("of")).applyInArrow(look_up, "block string, bucket int, facts binary")
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's vocabulary comes first, then its words block by block: only the vocabulary is held."""
+        bucket, facts = None, {}
+        for batch in batches:
+            out = []
+            for number, word, n, unit, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != bucket:
+                    bucket, facts = number, {}
+                if block is None:
+                    facts[word] = (n, unit)
+                    continue
+                names, _ = unpack_words(packed)
+                found = [facts.get(w) or (0, ending_unit(w)) for w in names]
+                out.append((block, number, pack_lists([np.array([n for n, _ in found]), np.array([u for _, u in found])])))
+            if out:
+                kinds = (pa.string(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "bucket", "facts"])
+
+    told = vocabulary.select("bucket", "word", "n", "unit", F.lit(None).cast("string").alias("block"), F.lit(None).cast("binary").alias("words"))
+    both = told.unionByName(blocks.words, allowMissingColumns=True).repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("block"))
+    values = both.mapInArrow(look_up, "block string, bucket int, facts binary")
 
     def code(values: pa.Table, texts: pa.Table) -> pa.Table:
         parts = [np.split(unpack_lists(x)[1], 2) for x in values["facts"].to_pylist()]
@@ -303,25 +288,45 @@ def score_texts(
     coded = stored(reassemble(values, blocks.texts, code, CODED), "lm-coded")
 
     # Every frequent unit starts a class of its own, all others share one; the end keeps class 0.
-    size = units.count()
-    heads = [r.unit for r in units.filter(F.col("unit") != end).orderBy(F.desc("n"), "unit").limit(classes - 2).collect()]
-    of = np.full(size, classes - 1, dtype=np.int64)
+    end = 0
+    by_uses = vocabulary.filter(F.col("unit") != end).groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit")
+    heads = [r.unit for r in by_uses.limit(classes - 2).collect()]
+    of = np.full(UNITS, classes - 1, dtype=np.uint8)
     of[end] = 0
     of[heads] = np.arange(1, len(heads) + 1)
     pairs = class_pairs(coded, of, classes, end)
-    for step, which in enumerate(passes):
-        moves = np.ones(size, dtype=bool) if which == "all" else np.arange(size) % 2 == (which == "odd")
-        moves[end] = False
-        if step == 0:
-            moves[heads] = False
-        of = exchange(coded, of, pairs, moves, end)
-        pairs = class_pairs(coded, of, classes, end)
-    kinds = units.select("unit", "words").toPandas()
-    model = ClassModel.of(pairs, np.bincount(of[kinds["unit"]], weights=kinds["words"], minlength=classes), discount)
-    sent = rows.sparkSession.sparkContext.broadcast((of, model))
+    even = np.arange(UNITS) % 2 == 0
+    others = np.ones(UNITS, dtype=bool)
+    others[heads] = False
+    steps, best = [others], likelihood(pairs)
+    while exchanges and best < 0:
+        before, kept = best, (of, pairs)
+        for moves in steps:
+            moves = moves & (np.arange(UNITS) != end)
+            of = exchange(coded, of, pairs, moves, end)
+            pairs = class_pairs(coded, of, classes, end)
+        best = likelihood(pairs)
+        if best < before:
+            best, (of, pairs) = before, kept
+        if len(steps) > 1 and best - before < least_gain * abs(before):
+            break
+        steps = [even, ~even]
+    sent = rows.sparkSession.sparkContext.broadcast(of)
+
+    def count_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(sent.value[batch.column(0).to_numpy()], minlength=classes)
+        yield pa.RecordBatch.from_arrays([pa.array(range(classes), pa.int32()), pa.array(total)], ["class", "words"])
+
+    kinds = np.zeros(classes)
+    for r in vocabulary.select("unit").mapInArrow(count_kinds, "class int, words long").groupBy("class").agg(F.sum("words").alias("words")).collect():
+        kinds[r["class"]] = r.words
+    model = ClassModel.of(pairs, kinds, discount)
+    modelled = rows.sparkSession.sparkContext.broadcast((of, model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, model = sent.value
+        of, model = modelled.value
         for batch in batches:
             out = []
             for known, seq in zip(batch.column("known").to_pylist(), _sequences(batch, "units"), strict=True):

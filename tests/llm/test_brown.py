@@ -69,8 +69,70 @@ def test_probabilities_add_up():
 
 def test_exchange_raises_the_likelihood(spark):
     docs = spark.createDataFrame(texts(), "doc_id long, text string")
-    total = lambda passes: brown.score_texts(docs, F.lit(True), classes=12, passes=passes).agg(F.sum("score")).first()[0]
-    assert total(("all", "even", "odd")) > total(()) + 100
+    total = lambda on: brown.score_texts(docs, F.lit(True), classes=12, exchanges=on).agg(F.sum("score")).first()[0]
+    assert total(True) > total(False) + 100
+
+
+def plain_class_score(rows, learned, of, classes, least):
+    """Score of every text, class by class, for given classes of the units."""
+    cut = lambda t: [*(t or "").encode().lower().split(), b""]
+    counts = Counter(w for i, t in rows if learned(i) for w in cut(t))
+    once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+    unit = lambda w: brown.ENDINGS + zlib.crc32(w) % brown.HASHES if w and counts[w] >= least else brown.ending_unit(w)
+    cls = lambda w: int(of[unit(w)])
+    pairs, kinds = Counter(), Counter(cls(w) for w in counts)
+    for i, t in rows:
+        if learned(i):
+            path = [0, *map(cls, cut(t))]
+            pairs.update(zip(path, path[1:]))
+    uses, before, after = Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        uses[b] += n
+        before[a] += n
+        after[a] += 1
+    total = sum(uses.values())
+    share = lambda b: (uses[b] + 0.1) / (total + 0.1 * classes)
+    out = {}
+    for i, t in rows:
+        score, last = 0.0, 0
+        for w in cut(t):
+            c = cls(w)
+            step = (max(pairs[last, c] - 0.5, 0) + 0.5 * after[last] * share(c)) / before[last] if before[last] else share(c)
+            if counts[w]:
+                emit = (counts[w] - d) / uses[c]
+            else:
+                emit = d * kinds[c] / uses[c] if uses[c] * kinds[c] else 1.0
+            score += math.log10(step) + math.log10(emit)
+            last = c
+        out[i] = score
+    return out
+
+
+def test_class_score_equals_brute_force(spark, monkeypatch):
+    rows = texts(150) + [(900, "zz new words a1"), (901, "é x"), (902, "")]
+    learned = lambda i: i % 7 != 0 and i < 900
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    own = brown.ClassModel.of
+    real = brown.class_pairs
+    monkeypatch.setattr(brown, "class_pairs", lambda coded, of, *rest: seen.append((of, real(coded, of, *rest))) or seen[-1][1])
+    monkeypatch.setattr(brown.ClassModel, "of", classmethod(lambda cls, pairs, *rest: seen.append(pairs) or own(pairs, *rest)))
+    out = brown.score_texts(docs, (F.col("doc_id") % 7 != 0) & (F.col("doc_id") < 900), classes=9, least=3)
+    got = {r.doc_id: r.score for r in out.collect()}
+    used = seen.pop()
+    of = next(of for of, pairs in reversed(seen) if pairs is used)
+    want = plain_class_score(rows, learned, of, 9, 3)
+    assert got == pytest.approx(want)
+
+
+def test_units(spark):
+    words = [b"", b"a", b"ab", b"xyz", "\u00fc".encode(), b"\xff\x00q", b"long word"]
+    frame = spark.createDataFrame([(bytearray(w), f) for w in words for f in (True, False)], "word binary, f boolean")
+    for r in frame.select("word", "f", brown._unit("word", F.col("f")).alias("unit")).collect():
+        w = bytes(r.word)
+        assert r.unit == (brown.ENDINGS + zlib.crc32(w) % brown.HASHES if r.f and w else brown.ending_unit(w))
+    assert max(brown.ending_unit(bytes([a, b])) for a in (0, 255) for b in (0, 255)) == brown.ENDINGS - 1
 
 
 def test_nothing_to_learn_from(spark):
