@@ -16,6 +16,7 @@ from siftwire.operators import features as X
 from siftwire.operators.boosting import BoostedTrees, Growth
 from siftwire.operators.boosting import fit as fit_trees
 from siftwire.operators.machines import Machines, fit_machines
+from siftwire.session import stored
 
 
 @dataclass
@@ -115,7 +116,8 @@ def fit_naive_bayes(
     options: X.TfidfOptions = X.CLEANED,
     alpha: float = 1.0,
 ) -> NaiveBayes:
-    """Vocabulary, TF-IDF and naive Bayes from labelled texts in one lazy plan."""
+    """Vocabulary, TF-IDF and naive Bayes from labelled texts, which are stored first: preparing them is the dear part."""
+    train = stored(train.select(id_col, label_col, text_col), "labelled-texts")
     counts = X.term_counts(train, text_col, id_col, options, keep=(label_col,))
     vocabulary = X.select_vocabulary(X.document_frequency(counts), X.document_total(train), options)
     weights = X.tfidf(counts, vocabulary, id_col, options)

@@ -76,6 +76,22 @@ def _top(cells: Column, spam: bool) -> Column:
     return F.slice(F.transform(side, lambda c: c["word"]), 1, TOP_WORDS)
 
 
+def _removed(seed: int) -> Column:
+    """The words of ``words`` that sample ``sample`` of text ``key`` goes without, as structs (rank, at, word); none in sample 0."""
+    drop = F.when(F.col("sample") == 0, 0).otherwise(
+        F.pmod(draw(seed, "size", F.col("key"), F.col("sample")), F.size("words")) + 1
+    )
+    order = F.array_sort(
+        F.transform(
+            "words",
+            lambda w, i: F.struct(
+                draw(seed, "word", F.col("key"), F.col("sample"), i).alias("rank"), i.alias("at"), w.alias("word")
+            ),
+        )
+    )
+    return F.slice(order, F.lit(1), drop.cast("int"))
+
+
 def explain_lime(
     df: DataFrame,
     predict: Predict,
@@ -92,40 +108,23 @@ def explain_lime(
         .filter(F.size("words") > 0)
     )
     samples = docs.withColumn("sample", F.explode_outer(F.sequence(F.lit(0), F.lit(num_samples - 1))))
-    size = F.size("words")
-    drop = F.when(F.col("sample") == 0, 0).otherwise(
-        F.pmod(draw(seed, "size", F.col("key"), F.col("sample")), size) + 1
-    )
-    samples = samples.withColumn("drop", drop.cast("int")).withColumn(
-        "order",
-        F.array_sort(
-            F.transform(
-                "words",
-                lambda w, i: F.struct(
-                    draw(seed, "word", F.col("key"), F.col("sample"), i).alias("rank"), i.alias("at"), w.alias("word")
-                ),
-            )
-        ),
-    )
     # The generator keeps the drawn list from being worked out again for every piece.
-    drawn = F.explode_outer(F.array(F.slice("order", F.lit(1), F.col("drop")))).alias("gone")
-    samples = samples.select("key", "sample", "pieces", drawn).select(
+    samples = samples.select("key", "sample", "pieces", F.explode_outer(F.array(_removed(seed))).alias("gone"))
+    samples = samples.select(
         "key",
         "sample",
         F.concat_ws("#", "key", "sample").alias("row_key"),
-        F.col("gone.at").alias("gone_at"),
         F.array_join(
             F.transform("pieces", lambda p: F.when(F.array_contains("gone.word", p), "").otherwise(p)), ""
         ).alias("text"),
     )
-    scored = predict(samples.select("row_key", "key", "sample", "text"), "row_key", ("key", "sample"))
-    cells = scored.select("row_key", "key", "sample", "spam_probability", "ham_probability").join(
-        samples.select("row_key", "gone_at"), "row_key"
-    )
+    scored = predict(samples, "row_key", ("key", "sample"))
+    # What was removed follows from key and sample again: no perturbed text is joined, or built twice.
+    cells = scored.select("key", "sample", "spam_probability", "ham_probability").join(docs.select("key", "words"), "key")
+    cells = cells.withColumn("gone_at", _removed(seed)["at"])
     whole = F.col("sample") == 0
     done = (
-        cells.join(docs.select("key", "words"), "key")
-        .groupBy("key")
+        cells.groupBy("key")
         .agg(
             F.max(F.when(whole, F.col("spam_probability"))).alias("spam_probability"),
             F.max(F.when(whole, F.col("ham_probability"))).alias("ham_probability"),
