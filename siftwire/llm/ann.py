@@ -23,7 +23,8 @@ CURVES, DIMS, BITS = 8, 4, 8
 SAMPLE_QUERIES, SAMPLE_VECTORS = 256, 10_000
 #: Share of the sample's true neighbours that the window must hold.
 RECALL = 0.96
-_ROWS = 4096
+#: Places of a curve that one task searches at once, and queries that it searches for, about: at every size of table.
+BLOCK, ASKERS = 2048, 8192
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -173,20 +174,26 @@ def nearest(
         .sortWithinPartitions("curve", "key", "rep").mapInArrow(number, "part int, place long, " + shape)
     )
     ordered = stored(ordered, "ann-ordered")
-    counts = {r.part: r["count"] for r in ordered.groupBy("part").count().collect()}
-    ends = np.cumsum([counts.get(p, 0) for p in range(max(counts) + 1)])
-    before = F.element_at(F.array(*[F.lit(int(e)) for e in np.concatenate(([0], ends[:-1]))]), F.col("part") + 1)
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     # Every curve holds all distinct vectors, so a place on the whole order is curve * total + place on the curve.
-    ordered = ordered.withColumn("rank", (before + F.col("place") - F.col("curve").cast("long") * total)).drop("part", "place", "key")
+    ordered = ordered.join(offsets, "part").withColumn("rank", F.col("before") + F.col("place") - F.col("curve").cast("long") * total)
+    ordered = ordered.drop("part", "place", "key", "before")
 
     window = _window(base, ordered, total, k, recall)
-    size = max(512, -(-window // 2))
-    reach = -(-window // size)
-    block = F.floor(F.col("rank") / size).cast("int")
-    searched = ordered.select("curve", block.alias("block"), "rep", "vector", F.lit(False).alias("asks"))
-    last = (total - 1) // size
+    # A query goes to every block that its window meets. Where very many queries meet a block, they are dealt into
+    # groups, each with a copy of the block, so what a task holds does not grow with the table or the window.
+    reach = -(-window // BLOCK)
+    block = F.floor(F.col("rank") / BLOCK).cast("int")
+    groups = max(1, round(asked.count() / total * (2 * reach + 1) * BLOCK / ASKERS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    searched = ordered.select("curve", block.alias("block"), every, "rep", "vector", F.lit(False).alias("asks"))
+    last = (total - 1) // BLOCK
     around = F.sequence(F.greatest(F.lit(0), block - reach), F.least(F.lit(last), block + reach))
-    asking = ordered.filter("asks").select("curve", F.explode(around).alias("block"), "rep", "vector", "asks")
+    asking = ordered.filter("asks").select(
+        "curve", F.explode(around).alias("block"), F.pmod(F.xxhash64("rep"), F.lit(groups)).cast("int").alias("group"), "rep", "vector", "asks"
+    )
 
     def search(rows: pa.Table) -> pa.Table:
         asks, vectors, ids = rows["asks"].to_numpy(), _matrix(rows["vector"]), rows["rep"].to_numpy()
@@ -194,7 +201,7 @@ def nearest(
         return pa.table({"query": ids[asks][q], "rep": found, "score": score})
 
     found = (
-        searched.unionByName(asking).groupBy("curve", "block").applyInArrow(search, "query long, rep long, score double")
+        searched.unionByName(asking).groupBy("curve", "block", "group").applyInArrow(search, "query long, rep long, score double")
         .distinct()
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")

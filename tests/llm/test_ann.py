@@ -50,6 +50,20 @@ def test_recall_order_and_ties(spark):
     assert [v for _, v, _ in got[5000]][:3] == [40, 5001, 5002]
 
 
+def test_small_blocks_and_groups_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(rng.normal(size=(900, 8)))]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    monkeypatch.setattr(ann, "ASKERS", 4)
+    got = {}
+    for r in ann.nearest(frame, F.col("query_id") % 20 == 0, recall=1.0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = plain([(i, v) for i, v, _ in rows], 20)
+    found = sum(len(got[q] & {v for v, _ in want[q]}) for q in want) / (20 * len(want))
+    assert found >= 0.99 and all(len(g) == 20 for g in got.values())
+
+
 def test_few_rows_and_none(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0], ""), (1, [2.0, 1.0], ""), (20, [1.0, 2.0], "")], SCHEMA)
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.ann_digest(frame).orderBy("query_id", "rank").collect()]
