@@ -25,8 +25,9 @@ from siftwire.llm.components import components
 SEED = 42
 #: First bit and width of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: Distinct fingerprints up to which the code with 4,096 words a block serves; beyond it, 2^18 words.
-GOLAY_ROWS = 1 << 22
+#: Distinct fingerprints up to which each code serves: 2^12, 2^18 and 2^22 words a block. The more words, the fewer
+#: fingerprints meet at one, and the more anchors each is copied to; all codes give the same links.
+CODE_ROWS = (("golay", 1 << 22), ("hamming", 1 << 26), ("whole", 1 << 62))
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
 GOLAY_POLYNOMIAL = 0b101011100011
 _CHUNK = 1 << 15
@@ -84,7 +85,13 @@ def _hamming() -> np.ndarray:
     return (number + (value >> 15) * len(words)).astype(np.int32)
 
 
-CODES = {"golay": (_golay, 1 << 12), "hamming": (_hamming, 1 << 18)}
+@cache
+def _whole() -> np.ndarray:
+    """The code of all words (radius 0): a value is its own anchor, and is copied to those within the threshold."""
+    return np.arange(1 << 22, dtype=np.int32)
+
+
+CODES = {"golay": (_golay, 1 << 12), "hamming": (_hamming, 1 << 18), "whole": (_whole, 1 << 22)}
 
 
 def anchors(prints: np.ndarray, code: str, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,7 +161,9 @@ def links(prints: DataFrame, threshold: int = 4, code: str | None = None, cell:
     on its own, so no task holds a whole anchor. Chained links replace the pairs of a crowd; the
     components are those of all pairs.
     """
-    code = code or ("golay" if prints.count() <= GOLAY_ROWS else "hamming")
+    if code is None:
+        rows = prints.count()
+        code = next(name for name, most in CODE_ROWS if rows <= most)
     copies = _replicas(prints, code, threshold)
     crowded = stored(
         copies.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > cell)

@@ -79,7 +79,7 @@ def test_links_equal_brute_force(spark):
     want = plain_components(list(enumerate(prints)), 4)
     signed = [(i, int(np.uint64(p).astype(np.int64))) for i, p in enumerate(prints)]
     frame = spark.createDataFrame(signed, "id long, fp long")
-    for code, cell in (("golay", 4096), ("golay", 16), ("hamming", 4096)):
+    for code, cell in (("golay", 4096), ("golay", 16), ("hamming", 4096), ("whole", 4096)):
         roots = components(simhash.links(frame.select("fp"), 4, code, cell))
         got = {r.id: r.root for r in frame.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("id", F.coalesce("root", "fp").alias("root")).collect()}
         groups = lambda of: sorted(sorted(i for i in of if of[i] == g) for g in set(of.values()))
