@@ -22,7 +22,7 @@ from siftwire.llm.common import crc32_of_id, stored
 CLASSES = 120  # twice as many must fit a byte
 #: Numbers of units: 0 is the end, then endings of one and of two bytes, then hashes of words. It bounds what is
 #: broadcast and held by the driver, at every size of corpus: a byte a unit.
-ENDINGS, HASHES = 1 + 256 + 65_536, 1 << 22
+ENDINGS, HASHES = 1 + 256 + 65_536, 1 << 20
 UNITS = ENDINGS + HASHES
 LEAST_USES = 5
 #: Passes go on while two of them, over even and odd units, raise the likelihood by this part of it.
@@ -148,6 +148,7 @@ def class_pairs(coded: DataFrame, classes: np.ndarray, n: int, end: int) -> np.n
     out = np.zeros(n * n)
     for r in rows.collect():  # at most n * n
         out[r.pair] = r.n
+    sent.destroy()
     return out.reshape(n, n)
 
 
@@ -220,6 +221,7 @@ def exchange(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray, moves: np
         .repartition("unit").sortWithinPartitions("unit").mapInArrow(decide, "unit int, class int")
     )
     found = decided.toPandas()
+    context.destroy()
     out = classes.copy()
     out[found["unit"].to_numpy()] = found["class"].to_numpy().astype(np.uint8)
     return out

@@ -248,6 +248,7 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``; each row is judged on its own text."""
-    scored = fit(docs, labels, _learns(), text).score(docs, text, "__toxic")
-    return scored.filter(F.col("__toxic") < threshold).select(docs.columns)
+    """Rows of ``docs`` that score below ``threshold``; each row is judged on its own text, and keeps its columns whatever their names."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
+    scored = fit(docs, labels, _learns(), text).score(whole, "text", "score")
+    return scored.filter(F.col("score") < threshold).select("row.*")
