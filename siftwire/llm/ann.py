@@ -23,8 +23,9 @@ CURVES, DIMS, BITS = 8, 4, 8
 SAMPLE_QUERIES, SAMPLE_VECTORS = 256, 10_000
 #: Share of the sample's true neighbours that the window must hold.
 RECALL = 0.96
-#: Places of a curve that one task searches at once, and queries that it searches for, about: at every size of table.
-BLOCK, ASKERS = 2048, 8192
+#: Places of a curve that one task searches at once, and queries that it searches for, about: at every size of table. Each
+#: block gives a query a list of its own, so larger blocks mean fewer rows to merge.
+BLOCK, ASKERS = 8192, 8192
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
