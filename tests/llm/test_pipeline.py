@@ -1,3 +1,5 @@
+import os
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -59,7 +61,11 @@ def test_token_stage(spark, small, stages):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(C.RANKS), special_tokens={})
     want = {i: own.encode_ordinary(t) for i, t in rows(stages["personal_data"])}
     assert {r.doc_id: list(r.ids) for r in stages["tokens"].collect()} == want
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
     assert C.run(spark, small).count() == len(want)
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("pipeline-tokens")  # nothing but the result stays
 
 
 def test_brute_force_helpers_agree():
