@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwire.llm import bpe, decontaminate, pii, simhash, toxicity
-from siftwire.llm.common import stored, table
+from siftwire.llm.common import freed, last_stored, stored, table
+from siftwire.session import drop_folder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -72,8 +73,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table, each written to the shared folder and read by the next.
+
+    What a stage leaves in the shared folder beside its result goes with it, and so does a result that the next stage has read.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with freed(spark) as kept:
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(last_stored())
+        if before:
+            drop_folder(spark, before)
+        before = kept[0]
     return docs
