@@ -23,7 +23,7 @@ def has_phone(col: Column) -> Column:
 
 
 def has_currency(col: Column) -> Column:
-    return F.coalesce(col.rlike(P.CURRENCY), F.lit(False))
+    return F.coalesce(col.rlike(P.DIGIT) & col.rlike(P.CURRENCY), F.lit(False))
 
 
 def _count(col: Column, char_class: str) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ from siftwire.operators import log_analytics as Q
 from siftwire.operators import scoring as S
 from siftwire.plans import training as T
 from siftwire.plans.preprocess import preprocess, preprocess_to_text
-from siftwire.session import scratch_path, stored
+from siftwire.session import is_file, scratch_path, stored
 from siftwire.sources import corpus as SC
 from siftwire.sources import views as V
 from siftwire.streaming import jobs as ST
@@ -648,7 +646,7 @@ def rate_limit(spark, d):
 def _table_stream(spark, d, name):
     """A table as a stream, whether it is one file or a folder of parts."""
     schema = V.table(spark, d, name).schema
-    if os.path.isfile(f"{d}/{name}.parquet"):
+    if is_file(spark, f"{d}/{name}.parquet"):
         return ST.read_stream(spark, d, schema, glob=f"{name}.parquet")
     return ST.read_stream(spark, f"{d}/{name}.parquet", schema)
 

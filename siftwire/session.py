@@ -68,6 +68,12 @@ def finished_parts(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return [n for n in names if n.startswith(prefix) and store.exists(mark(f"{path}/{n}/_SUCCESS"))]
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` names a file, in whatever store it is."""
+    store, target = _folder(spark, path)
+    return store.exists(target) and store.getFileStatus(target).isFile()
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that this library wrote and nothing reads any more."""
     store, target = _folder(spark, path)
