@@ -9,7 +9,7 @@ from __future__ import annotations
 from siftwire.functions import wordlists as W
 from siftwire.functions.tokens import NormalizeOptions
 from siftwire.operators import event_metrics as M
-from siftwire.operators.lexicon import DETACHMENT, lexicon_rows
+from siftwire.operators.lexicon import DETACHMENT, IRREGULAR, STEP_2, STEP_3, STEP_4, lexicon_rows
 from siftwire.plans.catalog import AS_OF, RATE_LIMIT, RATE_WINDOW, SYNONYMS, USER
 
 WS = r"\t\n\x0b\f\r\x1c-\x20\x{85}\p{Z}"
@@ -590,3 +590,83 @@ ORACLES |= {
     "scored_log_summary": "SELECT count(*) AS total_predictions, count(*) AS predictions_today, true AS timed FROM conversations",
     "explain_errors": "SELECT item_id, starts_with(text, 'A') AS failed, NOT starts_with(text, 'A') AS explained FROM benchmark",
 }
+
+
+def _shape(w: str) -> str:
+    return f"regexp_replace({w}, '(^|[aeiou])y', '\\1Y', 'g')"
+
+
+_CONSONANTS = "bcdfghjklmnpqrstvwxzY"
+
+
+def _measured(w: str, least: int) -> str:
+    return f"regexp_matches({_shape(w)}, '^[^aeiouy]*([aeiouy]+[{_CONSONANTS}]+){{{least + 1},}}')"
+
+
+def _vowel(w: str) -> str:
+    return f"regexp_matches({_shape(w)}, '[aeiouy]')"
+
+
+def _short(w: str) -> str:
+    return f"regexp_matches({_shape(w)}, '[{_CONSONANTS}][aeiouy][bcdfghjklmnpqrstvz]$|^[aeiouy][{_CONSONANTS}]$')"
+
+
+def _cut(w: str, suffix: str) -> str:
+    return f"left({w}, length({w}) - {len(suffix)})"
+
+
+def _by_longest(w: str, rules: list[tuple]) -> str:
+    parts = [
+        f"WHEN ends_with({w}, '{suffix}') THEN CASE WHEN {holds(_cut(w, suffix))} THEN {_cut(w, suffix)} || '{end}' ELSE {w} END"
+        for suffix, end, holds in sorted(rules, key=lambda r: -len(r[0]))
+    ]
+    return f"CASE {' '.join(parts)} ELSE {w} END"
+
+
+def _stem_steps() -> list[str]:
+    """Each step of the stemmer as an expression over ``w``; the second also reads ``bare``, which the first of its pair makes."""
+    doubled = "|".join(c * 2 for c in _CONSONANTS)
+    plain = f"regexp_matches({_shape('bare')}, '({doubled})$')"
+    tidy = (
+        "CASE WHEN ends_with(bare, 'at') OR ends_with(bare, 'bl') OR ends_with(bare, 'iz') THEN bare || 'e' "
+        f"WHEN {plain} AND NOT regexp_matches(bare, '[lsz]$') THEN left(bare, length(bare) - 1) "
+        f"WHEN NOT {_measured('bare', 1)} AND {_measured('bare', 0)} AND {_short('bare')} THEN bare || 'e' ELSE bare END"
+    )
+    above = lambda n: lambda stem: _measured(stem, n)
+    longer = lambda stem: _measured(f"({stem} || 'l')", 0)
+    ion = lambda stem: f"{_measured(stem, 1)} AND regexp_matches({stem}, '[st]$')"
+    no_y, no_e, no_l = _cut("w", "y"), _cut("w", "e"), _cut("w", "l")
+    return [
+        f"CASE WHEN ends_with(w, 'ies') AND length(w) = 4 THEN {_cut('w', 'ies')} || 'ie' WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {_cut('w', 'es')} "
+        f"WHEN ends_with(w, 'ss') THEN w WHEN ends_with(w, 's') THEN {_cut('w', 's')} ELSE w END",
+        f"CASE WHEN ends_with(w, 'ied') THEN {_cut('w', 'ied')} || CASE WHEN length(w) = 4 THEN 'ie' ELSE 'i' END "
+        f"WHEN ends_with(w, 'eed') THEN CASE WHEN {_measured(_cut('w', 'eed'), 0)} THEN {_cut('w', 'd')} ELSE w END WHEN bare IS NOT NULL THEN {tidy} ELSE w END",
+        f"CASE WHEN ends_with(w, 'y') AND length({no_y}) > 1 AND regexp_matches({_shape(no_y)}, '[{_CONSONANTS}]$') THEN {no_y} || 'i' ELSE w END",
+        f"CASE WHEN ends_with(w, 'alli') AND {_measured(_cut('w', 'alli'), 0)} THEN {_cut('w', 'li')} ELSE w END",
+        _by_longest("w", [(a, b, longer if a == "logi" else above(0)) for a, b in STEP_2]),
+        _by_longest("w", [(a, b, above(0)) for a, b in STEP_3]),
+        _by_longest("w", [(a, "", ion if a == "ion" else above(1)) for a in STEP_4]),
+        f"CASE WHEN ends_with(w, 'e') AND ({_measured(no_e, 1)} OR ({_measured(no_e, 0)} AND NOT {_short(no_e)})) THEN {no_e} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {_measured(no_l, 1)} THEN {no_l} ELSE w END",
+    ]
+
+
+def _stemmed() -> str:
+    bare = " ".join(f"WHEN ends_with(w, '{x}') AND {_vowel(_cut('w', x))} THEN {_cut('w', x)}" for x in ("ed", "ing"))
+    parts, last = [f"tokens AS ({ORACLES['normalize_tokens']})"], "s0"
+    parts.append("cells AS (SELECT doc_id, unnest(string_split(tokens, '|')) AS form, unnest(range(length(tokens) - length(replace(tokens, '|', '')) + 1)) AS i FROM tokens WHERE tokens <> '')")
+    parts.append("s0 AS (SELECT form, lower(form) AS w, CAST(NULL AS VARCHAR) AS bare FROM (SELECT DISTINCT form FROM cells))")
+    for n, step in enumerate(_stem_steps(), 1):
+        parts.append(f"s{n} AS (SELECT form, {step} AS w, bare FROM {last})")
+        last = f"s{n}"
+        if n == 1:
+            parts.append(f"s1b AS (SELECT form, w, CASE {bare} END AS bare FROM s1)")
+            last = "s1b"
+    own = _values(sorted(IRREGULAR.items()))
+    parts.append(f"own AS (SELECT * FROM {own} t(form, stem))")
+    parts.append(f"stems AS (SELECT s.form, CASE WHEN own.stem IS NOT NULL THEN own.stem WHEN length(s.form) <= 2 THEN lower(s.form) ELSE w END AS stem FROM {last} s LEFT JOIN own ON own.form = lower(s.form))")
+    parts.append("listed AS (SELECT doc_id, string_agg(stem, '|' ORDER BY i) AS tokens FROM cells JOIN stems USING (form) GROUP BY doc_id)")
+    return f"WITH {', '.join(parts)} SELECT doc_id, coalesce(listed.tokens, '') AS tokens FROM tokens LEFT JOIN listed USING (doc_id)"
+
+
+ORACLES["stem_vocabulary"] = _stemmed()
