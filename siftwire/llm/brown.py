@@ -157,11 +157,11 @@ def _packed(keys: np.ndarray, n: int) -> pa.RecordBatch:
     keys, uses = np.unique(keys, return_counts=True)
     pack = np.empty(len(keys), dtype=_PACK)
     pack["c"], pack["n"] = keys % (2 * n), uses
-    unit = keys // (2 * n)
+    unit = (keys // (2 * n)).astype(np.int32)
     first = np.concatenate(([0], np.nonzero(unit[1:] != unit[:-1])[0] + 1)) if len(unit) else np.zeros(0, dtype=np.int64)
     offsets = np.concatenate((first, [len(keys)])).astype(np.int32) * _PACK.itemsize
     column = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(pack.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(unit[first], pa.int32()), column], ["unit", "pack"])
+    return pa.RecordBatch.from_arrays([pa.array(unit[first]), column], ["unit", "pack"])
 
 
 def exchange(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray, moves: np.ndarray, end: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def exchange(coded: DataFrame, classes: np.ndarray, pairs: np.ndarray, moves: np
             before, unit = _pairs(sequences, end)
             left, right = may[unit], may[before]
             keys = (unit[left] * (2 * n) + of[before[left]], before[right] * (2 * n) + n + of[unit[right]])
-            yield _packed(np.concatenate(keys), n)
+            yield _packed(np.concatenate(keys).astype(np.uint32), n)  # UNITS * 2n is below 2^32
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_unit, open_sum = None, np.zeros(2 * n)
