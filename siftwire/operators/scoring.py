@@ -37,7 +37,7 @@ def classifier_scorer(
     classifier: C.Classifier, vocabulary: DataFrame, options: X.TfidfOptions = X.CLEANED
 ) -> Scorer:
     def score(texts, id_col, keep):
-        counts = X.term_counts(texts, "final_text", id_col, options, keep, outer=True)
+        counts = X.term_counts(texts, "final_text", id_col, options, keep, outer=True, packed=True)
         vectors = X.tfidf_vectors(counts, vocabulary, id_col, keep, options)
         return classifier.score(vectors).select(id_col, *keep, "ham_probability", "spam_probability")
 
