@@ -4,8 +4,8 @@ An element of the tree is a place: the host, and on the way down each style (the
 elements, runs of equal ones with their length) and the place in it. Names of places are hashes, so
 every page finds its own without the tree, and merging is an aggregate. An element that shows many
 styles, and a leaf whose contents differ from page to page, is important; the entropies over the
-host's pages say how much. Roles that pages give to elements (menus, forms, the article) come first:
-a page that names its article asks the tree nothing.
+host's pages say how much. Every page asks the tree. Roles that pages give to elements (menus, forms,
+the article) say what a branch is: where elements are named as the article, each stays or goes as a whole.
 """
 
 from __future__ import annotations
@@ -161,13 +161,26 @@ def _text(page: Page, keep: list[bool]) -> str:
     return "\n\n".join(text for i, text in page.blocks if keep[i])
 
 
+def _whole_articles(page: Page, keep: list[bool], low: list[bool]) -> list[bool]:
+    """``low`` for a page that names its articles: all of one is what the element named is, which goes only with everything below it."""
+    out: list[bool] = []
+    for i, node in enumerate(page.nodes):
+        inside = i > 0 and keep[node.parent]
+        out.append(keep[i] and (out[node.parent] if inside else low[i]))
+    return out
+
+
 def judged_text(page: Page, site: str, known: dict[int, tuple[float, int]], threshold: float = THRESHOLD) -> tuple[str, int]:
-    """(text, branches that went): what roles and the tree leave of a page that names no article.
+    """(text, branches that went): what roles and the tree leave of a page.
 
-    A page of which nothing would stay repeats another page rather than a template, and keeps what roles leave.
+    An element named as the article stays whole, as what repeats in it may be quoted; but one that is dull
+    all through, as a teaser on every page, goes. A page of which nothing would stay repeats another page
+    rather than a template, and keeps what roles leave.
     """
-    keep, _ = page.kept()
+    keep, is_open = page.kept()
     low = low_branches(page, branch_importance(page, site, known), threshold)
+    if not is_open:
+        low = _whole_articles(page, keep, low)
     gone = [keep[i] and low[i] and (i == 0 or not low[page.nodes[i].parent]) for i in range(len(keep))]
     left = [k and not x for k, x in zip(keep, low, strict=True)]
     if any(left[i] for i, _ in page.blocks):
@@ -181,51 +194,43 @@ def main_text(
     """``pages`` with ``main_text``, ``by_tree`` (the tree judged the page) and ``low_branches`` (how many it took out).
 
     Menus, headers, footers, sidebars, notices, adverts, forms, comments and scripts go by element, role,
-    class or id. Where an element is named as the article, its text is the rest; else branches of low
-    importance in the site style tree go, too. Blocks are joined in page order by two line ends, white
-    space inside one is one space. Null and empty pages have an empty text, and pages without a host
+    class or id. Of the rest, branches of low importance in the site style tree go; where elements are
+    named as the article, their text is the rest, and such a branch is one of them. Blocks are joined in
+    page order by two line ends, white space inside one is one space. Null and empty pages have an empty text, and pages without a host
     make up a site of their own; repeated rows stay. Columns keep their names, whatever they are.
+
+    Pages of one site with the same elements ask for the same places, so places are looked up once for each such shape.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row")
     named = pages.select(row, F.col(html).alias("html"), site_of(url).alias("site"))
 
-    @F.pandas_udf("struct<text:string,open:boolean>")
-    def by_roles(column: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<key:long,places:array<long>>")
+    def shape(sites: pd.Series, column: pd.Series) -> pd.DataFrame:
         out = []
-        for text in column:
-            page = parse(text)
-            keep, is_open = page.kept()
-            out.append((None, True) if is_open and page.blocks else (_text(page, keep), False))
-        return pd.DataFrame(out, columns=["text", "open"])
-
-    @F.pandas_udf("array<long>")
-    def asked(sites: pd.Series, column: pd.Series) -> pd.Series:
-        return pd.Series([sorted({x for part in places(parse(t), s) for x in part}) for s, t in zip(sites, column, strict=True)], dtype=object)
+        for site, text in zip(sites, column, strict=True):
+            element, style = places(parse(text), site)
+            out.append((_hash(*element, *style), sorted({*element, *style})))
+        return pd.DataFrame(out, columns=["key", "places"])
 
-    @F.pandas_udf("struct<text:string,n:int>")
+    @F.pandas_udf("struct<text:string,n:int,asked:boolean>")
     def by_tree(sites: pd.Series, column: pd.Series, known: pd.Series) -> pd.DataFrame:
         out = []
         for site, text, found in zip(sites, column, known, strict=True):
             own = {} if found is None else {x["place"]: (x["importance"], x["n_styles"]) for x in found}
-            out.append(judged_text(parse(text), site, own, threshold))
-        return pd.DataFrame(out, columns=["text", "n"])
-
-    # Told to be of one use: else the filter on a field of it is pushed down with a parse of its own.
-    read = named.withColumn("by_roles", by_roles.asNondeterministic()("html"))
-    done = read.filter("not by_roles.open").select(
-        "row.*", F.col("by_roles.text").alias("main_text"), F.lit(False).alias("by_tree"), F.lit(0).alias("low_branches")
-    )
-    open_pages = stored(read.filter("by_roles.open").select("row", "html", "site"), "open-pages")
-    page_key = [F.xxhash64("site", "html").alias("key"), F.octet_length("html").alias("size")]
-    keyed = open_pages.select("*", *page_key)
-    wanted = keyed.select("key", "size", F.explode(asked("site", "html")).alias("place")).distinct()
-    found = wanted.join(tree(pages, html, url, min_pages), "place").groupBy("key", "size")
+            page = parse(text)
+            out.append((*judged_text(page, site, own, threshold), bool(page.blocks)))
+        return pd.DataFrame(out, columns=["text", "n", "asked"])
+
+    # Told to be of one use: else each field taken from it has a parse of its own.
+    shaped = named.withColumn("shape", shape.asNondeterministic()("site", "html"))
+    shaped = stored(shaped.select("row", "html", "site", "shape.key", "shape.places"), "shaped-pages")
+    wanted = shaped.groupBy("key").agg(F.first("places").alias("places")).select("key", F.explode("places").alias("place"))
+    found = wanted.join(tree(pages, html, url, min_pages), "place").groupBy("key")
     found = found.agg(F.collect_list(F.struct("place", "importance", "n_styles")).alias("known"))
-    judged = keyed.join(found, ["key", "size"], "left").withColumn("judged", by_tree("site", "html", "known"))
-    judged = judged.select(
-        "row.*", F.col("judged.text").alias("main_text"), F.lit(True).alias("by_tree"), F.col("judged.n").alias("low_branches")
+    judged = shaped.drop("places").join(found, "key", "left").withColumn("judged", by_tree.asNondeterministic()("site", "html", "known"))
+    return judged.select(
+        "row.*", F.col("judged.text").alias("main_text"), F.col("judged.asked").alias("by_tree"), F.col("judged.n").alias("low_branches")
     )
-    return done.union(judged)
 
 
 def main_text_digest(pages: DataFrame) -> DataFrame:

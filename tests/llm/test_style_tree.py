@@ -146,3 +146,14 @@ def test_template_branches_go(spark):
     assert got[50][0][0].startswith("Welcome") and got[51] == [("no host", 0)] and got[52] == [("", 0)] and got[53] == [("", 0)]
     assert got[None] == [("one text", 0)] * 5
     assert style_tree.main_text_digest(pages.limit(0)).count() == 0
+
+
+def test_pages_that_name_their_article_ask_the_tree(spark):
+    teaser = "<article class=offer><p>Join our club</p></article>"
+    rows = [(i, "http://a.example/x", f"<article><h1>News</h1><p>story {i}</p><p>as ever</p></article>{teaser}") for i in range(6)]
+    rows += [(10 + i, "http://b.example/x", "<article><p>one copy</p></article>") for i in range(4)]
+    out = {r.page_id: r for r in style_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert (out[i].main_text, out[i].by_tree, out[i].low_branches) == (f"News\n\nstory {i}\n\nas ever", True, 1)
+    for i in range(10, 14):
+        assert (out[i].main_text, out[i].by_tree, out[i].low_branches) == ("one copy", True, 0)
