@@ -78,3 +78,10 @@ def test_packed_weights(spark, monkeypatch, together):
 
     known = vectors(packed)
     assert known == vectors(X.term_counts(df, options=options, outer=True)) and len(known) == 6 and known[5][1] == {}
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(X, "TASK_TEXTS", 10)
+    df = spark.range(200).selectExpr("id as doc_id", "concat('word', id % 7, ' fish') as text")
+    counts = X.term_counts(df, options=WORDS)
+    assert counts.rdd.getNumPartitions() == 21 and counts.count() == 600
