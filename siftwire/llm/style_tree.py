@@ -133,27 +133,28 @@ def branch_importance(page: Page, site: str, known: dict[int, tuple[float, int]]
 
     ``known`` holds (importance, styles) of the places in the tree; others count as important.
     """
-    element, style = places(page, site)
-    out = [1.0] * len(page.nodes)
-    for i in reversed(range(len(page.nodes))):
-        if element[i] not in known:
-            continue
-        own, styles = known[element[i]]
-        children = page.nodes[i].children
-        if children:
-            below = sum(out[c] for c in children) / len(children)
-        else:
-            below = known.get(style[i], (1.0, 0))[0]
-        weight = GAMMA**styles
-        out[i] = (1 - weight) * own + weight * below
+    return _importance(*places(page, site), [node.parent for node in page.nodes], known)
+
+
+def _importance(element: list[int], style: list[int], parent: list[int], known: dict[int, tuple[float, int]]) -> list[float]:
+    out, below, children = [1.0] * len(element), [0.0] * len(element), [0] * len(element)
+    for i in reversed(range(len(element))):
+        if element[i] in known:
+            own, styles = known[element[i]]
+            under = below[i] / children[i] if children[i] else known.get(style[i], (1.0, 0))[0]
+            weight = GAMMA**styles
+            out[i] = (1 - weight) * own + weight * under
+        if i:
+            below[parent[i]] += out[i]
+            children[parent[i]] += 1
     return out
 
 
-def low_branches(page: Page, importance: list[float], threshold: float) -> list[bool]:
+def low_branches(parent: list[int], importance: list[float], threshold: float) -> list[bool]:
     """Of every node, whether it and all below it are of low importance."""
     low = [x < threshold for x in importance]
-    for i in reversed(range(1, len(page.nodes))):
-        low[page.nodes[i].parent] &= low[i]
+    for i in reversed(range(1, len(low))):
+        low[parent[i]] &= low[i]
     return low
 
 
@@ -170,15 +171,14 @@ def _whole_articles(page: Page, keep: list[bool], low: list[bool]) -> list[bool]
     return out
 
 
-def judged_text(page: Page, site: str, known: dict[int, tuple[float, int]], threshold: float = THRESHOLD) -> tuple[str, int]:
-    """(text, branches that went): what roles and the tree leave of a page.
+def judged_text(page: Page, low: list[bool]) -> tuple[str, int]:
+    """(text, branches that went): what roles and the tree, which finds the ``low`` nodes, leave of a page.
 
     An element named as the article stays whole, as what repeats in it may be quoted; but one that is dull
     all through, as a teaser on every page, goes. A page of which nothing would stay repeats another page
     rather than a template, and keeps what roles leave.
     """
     keep, is_open = page.kept()
-    low = low_branches(page, branch_importance(page, site, known), threshold)
     if not is_open:
         low = _whole_articles(page, keep, low)
     gone = [keep[i] and low[i] and (i == 0 or not low[page.nodes[i].parent]) for i in range(len(keep))]
@@ -199,37 +199,51 @@ def main_text(
     page order by two line ends, white space inside one is one space. Null and empty pages have an empty text, and pages without a host
     make up a site of their own; repeated rows stay. Columns keep their names, whatever they are.
 
-    Pages of one site with the same elements ask for the same places, so places are looked up once for each such shape.
+    Pages of one site with the same elements are judged alike, so places are looked up and judged once for each
+    such shape; only the shapes with something dull meet the pages again.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row")
     named = pages.select(row, F.col(html).alias("html"), site_of(url).alias("site"))
 
-    @F.pandas_udf("struct<key:long,places:array<long>>")
+    @F.pandas_udf("struct<key:long,element:array<long>,style:array<long>,parent:array<int>>")
     def shape(sites: pd.Series, column: pd.Series) -> pd.DataFrame:
         out = []
         for site, text in zip(sites, column, strict=True):
-            element, style = places(parse(text), site)
-            out.append((_hash(*element, *style), sorted({*element, *style})))
-        return pd.DataFrame(out, columns=["key", "places"])
+            page = parse(text)
+            element, style = places(page, site)
+            out.append((_hash(*element, *style), element, style, [node.parent for node in page.nodes]))
+        return pd.DataFrame(out, columns=["key", "element", "style", "parent"])
 
-    @F.pandas_udf("struct<text:string,n:int,asked:boolean>")
-    def by_tree(sites: pd.Series, column: pd.Series, known: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<int>")
+    def judged(elements: pd.Series, styles: pd.Series, parents: pd.Series, known: pd.Series) -> pd.Series:
         out = []
-        for site, text, found in zip(sites, column, known, strict=True):
+        for element, style, parent, found in zip(elements, styles, parents, known, strict=True):
             own = {} if found is None else {x["place"]: (x["importance"], x["n_styles"]) for x in found}
-            page = parse(text)
-            out.append((*judged_text(page, site, own, threshold), bool(page.blocks)))
+            low = low_branches(parent, _importance(element, style, parent, own), threshold)
+            out.append([i for i, x in enumerate(low) if x])
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("struct<text:string,n:int,asked:boolean>")
+    def by_tree(column: pd.Series, dull: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, found in zip(column, dull, strict=True):
+            page, gone = parse(text), set() if found is None else {int(i) for i in found}
+            out.append((*judged_text(page, [i in gone for i in range(len(page.nodes))]), bool(page.blocks)))
         return pd.DataFrame(out, columns=["text", "n", "asked"])
 
     # Told to be of one use: else each field taken from it has a parse of its own.
     shaped = named.withColumn("shape", shape.asNondeterministic()("site", "html"))
-    shaped = stored(shaped.select("row", "html", "site", "shape.key", "shape.places"), "shaped-pages")
-    wanted = shaped.groupBy("key").agg(F.first("places").alias("places")).select("key", F.explode("places").alias("place"))
+    shaped = stored(shaped.select("row", "shape.*"), "shaped-pages")
+    shapes = shaped.groupBy("key").agg(F.first(F.struct("element", "style", "parent")).alias("nodes")).select("key", "nodes.*")
+    wanted = shapes.select("key", F.explode(F.array_distinct(F.concat("element", "style"))).alias("place"))
     found = wanted.join(tree(pages, html, url, min_pages), "place").groupBy("key")
     found = found.agg(F.collect_list(F.struct("place", "importance", "n_styles")).alias("known"))
-    judged = shaped.drop("places").join(found, "key", "left").withColumn("judged", by_tree.asNondeterministic()("site", "html", "known"))
-    return judged.select(
-        "row.*", F.col("judged.text").alias("main_text"), F.col("judged.asked").alias("by_tree"), F.col("judged.n").alias("low_branches")
+    dull = judged.asNondeterministic()("element", "style", "parent", "known")
+    dull = shapes.join(found, "key", "left").select("key", dull.alias("dull")).filter(F.size("dull") > 0)
+    told = shaped.select("row", "key").join(stored(dull, "dull-shapes"), "key", "left")
+    told = told.withColumn("told", by_tree.asNondeterministic()(F.col("row").getField(html), "dull"))
+    return told.select(
+        "row.*", F.col("told.text").alias("main_text"), F.col("told.asked").alias("by_tree"), F.col("told.n").alias("low_branches")
     )
 
 
