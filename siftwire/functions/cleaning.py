@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,6 @@ def _decoder(unescape: bool, fold: str | None):
     @F.pandas_udf("string")
     def decode(texts):
         import html
-        import unicodedata
 
         def marks(text):
             if fold == "combining":
@@ -77,19 +78,39 @@ def _decoder(unescape: bool, fold: str | None):
     return decode
 
 
+@cache
+def _single_folds(fold: str) -> tuple[str, str, str]:
+    """(characters, what each becomes, class of characters): those that folding turns into one character or none.
+
+    None of them is a mark, so a text of these and ASCII folds character by character. The class also has the
+    characters that stay as they are; those that go are last, without a counterpart.
+    """
+    single: dict[str, str] = {}
+    for first, last in P.FOLD_BLOCKS:
+        for c in map(chr, range(first, last + 1)):
+            parts = unicodedata.normalize("NFKD", c)
+            left = [x for x in parts if not (unicodedata.combining(x) if fold == "combining" else unicodedata.category(x) == "Mn")]
+            if len(left) < 2 and not unicodedata.combining(c) and not any(map(unicodedata.combining, left)):
+                single[c] = "".join(left)
+    changed = sorted((c for c in single if single[c] != c), key=lambda c: (not single[c], c))
+    return "".join(changed), "".join(single[c] for c in changed), P.ranges(map(ord, single))
+
+
 def decode_text(col: Column, unescape: bool = True, fold: str | None = "nonspacing") -> Column:
     """Resolve HTML entities and / or fold accents.
 
-    Only texts that hold an ampersand or a non-ASCII character travel to Python;
+    Only texts that hold an ampersand or a character that does not fold to a single one travel to Python;
     all others stay in the JVM. ``fold`` names what is dropped after NFKD: category Mn
     (``nonspacing``) or characters with a combining class (``combining``).
     """
-    needed = F.lit(False)
+    needed, here = F.lit(False), col
     if unescape:
         needed = needed | F.contains(col, F.lit("&"))
     if fold:
-        needed = needed | col.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(_decoder(unescape, fold)(F.when(needed, col)), col)
+        old, new, known = _single_folds(fold)
+        needed = needed | col.rlike(rf"{P.NON_ASCII}(?<![{known}])")
+        here = F.when(col.rlike(P.NON_ASCII), F.translate(col, old, new)).otherwise(col)
+    return F.coalesce(_decoder(unescape, fold)(F.when(needed, col)), here)
 
 
 def html_unescape(col: Column) -> Column:
@@ -100,6 +121,11 @@ def fold_unicode(col: Column) -> Column:
     return decode_text(col, unescape=False, fold="nonspacing")
 
 
+def may_hold_url(col: Column) -> Column:
+    """Cheap test that every text with a link passes."""
+    return F.contains(col, F.lit(P.URL_MARK)) | col.rlike(P.URL_DOT)
+
+
 def mask_urls(col: Column, token: str = " __URL__ ") -> Column:
     return _replace(col, P.URL, token)
 
@@ -169,12 +195,12 @@ def clean_text(
         col = decode_text(
             F.col(out_col), unescape=o.strip_html, fold="nonspacing" if o.fold_unicode else None
         )
-    if o.mask_urls:
-        col = mask_urls(col, o.url_token)
     df = df.withColumn(out_col, col)
     here = F.col(out_col)
+    # Cheap tests spare most rows the link, address, emoji, phone, money and number patterns.
+    if o.mask_urls:
+        df = df.withColumn(out_col, F.when(may_hold_url(here), mask_urls(here, o.url_token)).otherwise(here))
     if o.mask_emails:
-        # Cheap tests spare most rows the address, phone, money and number patterns.
         df = df.withColumn(
             out_col,
             F.when(F.contains(here, F.lit("@")), mask_emails(here, o.email_token)).otherwise(here),
@@ -188,7 +214,7 @@ def clean_text(
         col = mask_currency(col, o.currency_token)
     if o.mask_numbers:
         col = mask_numbers(col, o.number_token)
-    df = df.withColumn(out_col, F.when(here.rlike(P.ANY_DIGIT), col).otherwise(emoji(here)))
+    df = df.withColumn(out_col, F.when(here.rlike(P.ANY_DIGIT), col).when(here.rlike(P.NON_ASCII), emoji(here)).otherwise(here))
     col = F.col(out_col)
     if o.lowercase:
         col = lowercase(col)

@@ -8,8 +8,21 @@ cannot stall or crash a task. ASCII members of a class are listed one by one, be
 Java engine then tests them with one table look-up instead of a chain of range checks.
 """
 
+from collections.abc import Iterable
 from string import ascii_letters, digits
 
+
+def ranges(codes: Iterable[int]) -> str:
+    """Rising code points as the ranges of a character class."""
+    found: list[list[int]] = []
+    for c in codes:
+        if found and c == found[-1][1] + 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in found)
+
+
 # Building blocks.
 SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\p{Z}"
 ASCII_WORD = ascii_letters + digits + "_"
@@ -32,6 +45,9 @@ KEPT_SIGNS = r".,!?;:'\"\-"
 KEPT_INK = ascii_letters + digits + KEPT_SIGNS
 
 ANY_DIGIT = DIGIT
+NON_ASCII = r"[^\x00-\x7F]"
+# Blocks whose characters are looked at one by one for what folding makes of them: Latin, punctuation, currency.
+FOLD_BLOCKS = ((0x80, 0x24F), (0x2010, 0x205E), (0x20A0, 0x20C0))
 HTML_TAG = r"<[^>]++>"
 
 _link_body = rf"[^{SPACE}<>\"')\]]*+"
@@ -39,6 +55,9 @@ URL = (
     rf"(?iu:https?://|ftp://|www\.){_link_body}"
     rf"|(?<![{WORD}.\-])[{WORD}.\-]+\.(?iu:{BARE_DOMAIN_ENDINGS}){_link_body}"
 )
+# Every link has one of these, few other texts do.
+URL_MARK = "://"
+URL_DOT = rf"\.(?:(?<=[wW]\.)|(?iu:{BARE_DOMAIN_ENDINGS}))"
 
 # Letters that equal an ASCII letter when case is ignored belong to an address, too.
 _letter = ascii_letters + r"\x{130}\x{131}\x{17F}\x{212A}"

@@ -8,10 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwire.functions import patterns as P
+from siftwire.functions.cleaning import may_hold_url
 
 
 def has_url(col: Column) -> Column:
-    return F.coalesce(col.rlike(P.URL), F.lit(False))
+    return F.coalesce(may_hold_url(col) & col.rlike(P.URL), F.lit(False))
 
 
 def has_email(col: Column) -> Column:
@@ -41,13 +42,7 @@ def _other_digits() -> str:
         for c in range(0x80, sys.maxunicode + 1)
         if chr(c).isdigit() and not chr(c).isdecimal()
     ]
-    ranges = []
-    for c in found:
-        if ranges and c == ranges[-1][1] + 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+    return P.ranges(found)
 
 
 def uppercase_ratio(col: Column) -> Column:

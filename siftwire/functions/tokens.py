@@ -91,12 +91,16 @@ def token_length_filter(tokens: Column, least: int = 2, most: int = 50) -> Colum
     return F.filter(tokens, lambda t: F.length(t).between(least, most))
 
 
-def normalize_tokens(tokens: Column, options: NormalizeOptions = NormalizeOptions()) -> Column:
-    """Fold, expand, drop stop words, filter by length: one transform and one filter."""
+def normalize_tokens(tokens: Column, options: NormalizeOptions = NormalizeOptions(), bare: bool = False) -> Column:
+    """Fold, expand, drop stop words, filter by length: one transform and one filter.
+
+    ``bare`` tokens have no white space at their ends, as those of ``tokenize``; there is nothing to strip then,
+    and stripping costs more than all the rest.
+    """
     dictionary, stop = options.dictionary(), options.stop_list()
 
     def rewrite(token):
-        folded = F.btrim(F.lower(token), F.lit(P.SPACE_CHARS))
+        folded = F.lower(token) if bare else F.btrim(F.lower(token), F.lit(P.SPACE_CHARS))
         return _expand(folded, dictionary) if dictionary else folded
 
     def wanted(token):

@@ -51,7 +51,7 @@ def preprocess(
     df = df.withColumn("tokens", K.tokenize(F.col("cleaned_text"), backend))
     n = o.normalize
     if o.enable_normalization:
-        df = df.withColumn("normalized_tokens", K.normalize_tokens(F.col("tokens"), n))
+        df = df.withColumn("normalized_tokens", K.normalize_tokens(F.col("tokens"), n, bare=True))
         if n.lemmatize and lemmas is None:
             raise ValueError("lemmatize needs a table of lemmas; lexicon.default_lemmas makes one")
         if lemmas is not None and n.lemmatize is not False:

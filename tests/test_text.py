@@ -1,9 +1,14 @@
 """Hand-computed cleaning, token and feature cases."""
 
+import io
+import unicodedata
+from contextlib import redirect_stdout
+
 import pytest
 from pyspark.sql import functions as F
 
 from siftwire.functions import cleaning as C
+from siftwire.functions import patterns as P
 from siftwire.functions import profile as R
 from siftwire.functions import tokens as K
 from siftwire.functions import vectors as V
@@ -136,3 +141,35 @@ def test_preprocess_stages(spark):
         ),
     ).first()
     assert plain["tokens"] == ["Claim", "ur", "FREE", "prize", "at", "http://x.com"] and not plain["has_url"]
+
+
+@pytest.mark.parametrize("fold", ["nonspacing", "combining"])
+def test_folds_of_single_characters_stay_in_the_jvm(spark, monkeypatch, fold):
+    def by_hand(text):
+        left = (c for c in unicodedata.normalize("NFKD", text) if not (unicodedata.combining(c) if fold == "combining" else unicodedata.category(c) == "Mn"))
+        return "".join(left)
+
+    texts = [f"a{chr(c)}́b" for c in range(1, 0x3100)] + [f"a{chr(c)}{chr(c + 1)}b" for c in range(1, 0x3100)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = df.select("text", C.decode_text(F.col("text"), unescape=False, fold=fold).alias("folded")).collect()
+    assert len(found) == len(texts) and all(r.folded == by_hand(r.text) for r in found)
+    monkeypatch.setattr(C, "_decoder", lambda unescape, fold: lambda col: F.when(col.isNotNull(), "sent"))
+    df = spark.createDataFrame([("déjà vu, Größe ñ",), ("½",), ("á",), ("plain",)], "text string")
+    assert [r[0] for r in df.select(C.decode_text(F.col("text"), unescape=False, fold=fold)).collect()] == ["deja vu, Große n", "sent", "sent", "plain"]
+
+
+def test_cheap_test_finds_every_link(spark):
+    links = ["http://x", "HTTPS://x", "ftp://y", "httpſ://x", "WWW.x", "wWw.", "a.com", "b.IO", "c.İn d.ın", "x.uK", "é.de.xyz"]
+    df = spark.createDataFrame([(t,) for t in [*links, "no link. here", "w.x"]], "text string")
+    rows = df.select("text", F.col("text").rlike(P.URL).alias("url"), C.may_hold_url(F.col("text")).alias("may"), R.has_url(F.col("text")).alias("has")).collect()
+    assert all(r.has == r.url and r.may >= r.url for r in rows) and sum(r.url for r in rows) >= 9
+    assert not rows[-2].may
+
+
+def test_preprocessing_strips_no_token(spark):
+    df = spark.createDataFrame([(1, "One  fish two")], "doc_id long, text string")
+    for backend in K.TOKENIZERS:
+        done = preprocess(df, options=PreprocessOptions(tokenizer=backend)).select("normalized_tokens")
+        with redirect_stdout(io.StringIO()) as out:
+            done.explain(True)
+        assert "trim(lower" not in out.getvalue() and done.first()[0] == ["one", "fish", "two"]
