@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 # Elements of HTML by what they do to the text around them.
@@ -60,6 +61,9 @@ _ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+)
 _COMMENT_END = re.compile(r"--!?>")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in RAW}
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+#: Longer values of a class or an id are not kept for the next element that has them.
+_HELD_NAME = 256
+_DENIED = re.compile(r"(?i)(no|has|with|without)[-_]")
 
 NOISE, OPEN, CONTENT = 0, 1, 2
 
@@ -99,18 +103,24 @@ def _attributes(part: str) -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=4096)
+def _named(value: str) -> frozenset[str]:
+    """Words of a class or an id, in lower case, each also without an s at its end."""
+    words = {word.lower() for name in value.split() if not _DENIED.match(name) for word in _NAMES.findall(name)}
+    return frozenset(words | {word.removesuffix("s") for word in words})
+
+
 def _role(tag: str, own: dict[str, str], in_article: bool) -> int:
     if tag in NOISE_TAGS:
         return NOISE
-    role = own.get("role", "").strip().lower()
-    named = {word.lower() for key in ("class", "id") for name in own.get(key, "").split() if not re.match(r"(?i)(no|has|with|without)[-_]", name)
-             for word in _NAMES.findall(name)}
-    named |= {word.removesuffix("s") for word in named}
-    if tag not in _TEXT_ROOTS and (role in NOISE_ROLES or named & NOISE_NAMES):
-        return NOISE
-    if not in_article and (tag == "header" or (tag not in _TEXT_ROOTS and "header" in named)):
-        return NOISE
-    if tag in ("article", "main") or role in CONTENT_ROLES or own.get("itemprop", "").lower() == "articlebody":
+    role = own.get("role", "").strip().lower() if own else ""
+    if tag not in _TEXT_ROOTS:
+        named = [(_named if len(own[key]) <= _HELD_NAME else _named.__wrapped__)(own[key]) for key in ("class", "id") if own.get(key)]
+        if role in NOISE_ROLES or any(not names.isdisjoint(NOISE_NAMES) for names in named):
+            return NOISE
+        if not in_article and (tag == "header" or any("header" in names for names in named)):
+            return NOISE
+    if tag in ("article", "main") or role in CONTENT_ROLES or (own and own.get("itemprop", "").lower() == "articlebody"):
         return CONTENT
     return OPEN
 
@@ -133,11 +143,16 @@ class _Builder:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.page.blocks.append((self.here()[0], text))
+                self.page.blocks.append((self.stack[-1][1] if self.stack else 0, text))
             self.parts.clear()
 
     def place(self, tags: tuple[str, ...]) -> int:
-        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+        """Of the open elements with these tags the last one's place in the stack, or -1."""
+        last, places = -1, self.open
+        for tag in tags:
+            if (own := places.get(tag)) and own[-1] > last:
+                last = own[-1]
+        return last
 
     def close_to(self, place: int) -> None:
         while len(self.stack) > place:
@@ -152,13 +167,13 @@ class _Builder:
             return
         if self.open.get("head") and tag not in HEAD:
             self.close_to(self.open["head"][-1])
-        if tag in CLOSES_P and (at := self.place(("p",))) > self.place(P_BARRIERS):
+        if tag in CLOSES_P and self.open.get("p") and (at := self.open["p"][-1]) > self.place(P_BARRIERS):
             self.close_to(at)
         if tag in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
             self.close_to(len(self.stack) - 1)
         if tag in IMPLIED:
             closed, barriers = IMPLIED[tag]
-            if (at := self.place(closed)) > self.place(barriers):
+            if (at := self.place(closed)) >= 0 and at > self.place(barriers):
                 self.close_to(at)
         if tag == "br":
             self.text(" ")
@@ -166,16 +181,17 @@ class _Builder:
         node, mute = self.here()
         if not mute:
             own = _attributes(attributes) if attributes.strip(" /") else {}
-            role = _role(tag, own, self.place(("article", "main")) >= 0)
+            role = _role(tag, own, bool(self.open.get("article") or self.open.get("main")))
             if tag in BLOCKS:
                 self.flush()
                 nodes = self.page.nodes
-                nodes.append(Node(node, ".".join([tag, *sorted(set(own.get("class", "").split()))]), role))
+                name = ".".join([tag, *sorted(set(own["class"].split()))]) if own.get("class") else tag
+                nodes.append(Node(node, name, role))
                 nodes[node].children.append(len(nodes) - 1)
                 node = len(nodes) - 1
             else:
                 mute = role == NOISE
-            if not mute:
+            if own and not mute:
                 self.page.nodes[node].marks += [own[key] for key in ("href", "src") if own.get(key)]
         if tag not in VOID:
             self.open.setdefault(tag, []).append(len(self.stack))

@@ -35,7 +35,8 @@ _HELD = 1 << 17
 
 
 def _hash(*parts) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "replace")) - (1 << 63)
+    joined = "\x1f".join(map(str, parts)) if len(parts) > 1 else str(parts[0])
+    return xxhash.xxh64_intdigest(joined.encode("utf-8", "replace")) - (1 << 63)
 
 
 def site_of(url: str | Column) -> Column:
@@ -50,6 +51,9 @@ def places(page: Page, site: str) -> tuple[list[int], list[int]]:
     element, style = [0] * len(page.nodes), [0] * len(page.nodes)
     element[0] = _hash(site)
     for i, node in enumerate(page.nodes):
+        if not node.children:
+            style[i] = _hash(element[i])
+            continue
         runs: list[list] = []
         for child in node.children:
             name = page.nodes[child].name

@@ -2,7 +2,7 @@ import html as entities
 import math
 import re
 
-from siftwire.llm import queries, style_tree
+from siftwire.llm import dom, queries, style_tree
 from siftwire.llm.dom import parse
 
 
@@ -157,3 +157,12 @@ def test_pages_that_name_their_article_ask_the_tree(spark):
         assert (out[i].main_text, out[i].by_tree, out[i].low_branches) == (f"News\n\nstory {i}\n\nas ever", True, 1)
     for i in range(10, 14):
         assert (out[i].main_text, out[i].by_tree, out[i].low_branches) == ("one copy", True, 0)
+
+
+def test_names_are_split_once_for_all_elements_that_have_them():
+    dom._named.cache_clear()
+    long = "side-bar " * 100
+    page = dom.parse(f'<div class="site-header">x</div>{"<p class=lead>y</p>" * 50}<p class="no-header" id="lead">z</p><p class="{long}">w</p>' * 2)
+    assert dom._named.cache_info()[:2] == (2 * 53 - 3, 3)
+    assert [n.role for n in page.nodes[1:54]] == [dom.NOISE, *[dom.OPEN] * 51, dom.OPEN]
+    assert dom.parse('<p class="{}">w</p>'.format("sidebar " * 100)).nodes[1].role == dom.NOISE
