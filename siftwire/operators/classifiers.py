@@ -134,16 +134,12 @@ def score_naive_bayes(
 ) -> DataFrame:
     """``id, *keep, ham_probability, spam_probability`` for every text.
 
-    Two running sums per document give the dot product with the unit-length vector; no vector
-    is built and nothing is sorted. ``keep`` should name small columns only.
+    The dot product with the unit-length vector is summed up where a document's terms are counted; no vector is
+    built and nothing is sorted. ``keep`` should name small columns only.
     """
-    counts = X.term_counts(texts, text_col, id_col, model.options, keep, outer=True)
-    weighed = X.weigh(counts, model.terms, model.options, outer=True)
-    gain = F.col("weight") * (F.col("spam_logp") - F.col("ham_logp"))
+    counts = X.term_counts(texts, text_col, id_col, model.options, keep, outer=True, packed=True)
     prior = model.priors.select((F.col("spam_prior") - F.col("ham_prior")).alias("gain")).scalar()
-    scored = weighed.groupBy(id_col, *keep).agg(
-        F.coalesce(F.sum(gain) / F.sqrt(F.sum(F.col("weight") * F.col("weight"))), F.lit(0.0)).alias("dot")
-    )
+    scored = X.tfidf_dots(counts, model.terms, F.col("spam_logp") - F.col("ham_logp"), id_col, keep, model.options)
     odds = F.col("dot") + prior
     return scored.select(
         id_col,

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ MAX_BROADCAST_TERMS = 200_000
 TOGETHER = 64
 #: Texts that one task counts, on average: more texts are more tasks, and no task needs more memory.
 TASK_TEXTS = 4096
+#: Words of documents that are counted together in a task; a longer document is counted by itself.
+PIECE_WORDS = 1 << 20
 COUNTED = "array<struct<term:string,tf:bigint>>"
 
 
@@ -60,11 +63,19 @@ def split_terms(df: DataFrame, prepared_col: str, options: TfidfOptions = TfidfO
 def _splitting(options: TfidfOptions) -> list:
     """The steps from a prepared text to its terms; each is a projection of its own, as the next one uses its result often."""
     low, high = options.ngrams
-    if options.analyzer == "word":
-        return [lambda text: F.regexp_extract_all(text, F.lit(P.FEATURE_TOKEN), F.lit(0)), lambda words: K.word_ngrams(words, low, high)]
-    if options.analyzer == "char":
-        return [lambda text: F.array_remove(F.split(_squeezed(text), ""), ""), lambda chars: K.char_ngrams(chars, low, high)]
-    raise ValueError(f"unknown analyzer '{options.analyzer}', supported: word, char")
+    if _analyzer(options) == "word":
+        return [_words, lambda words: K.word_ngrams(words, low, high)]
+    return [lambda text: F.array_remove(F.split(_squeezed(text), ""), ""), lambda chars: K.char_ngrams(chars, low, high)]
+
+
+def _analyzer(options: TfidfOptions) -> str:
+    if options.analyzer not in ("word", "char"):
+        raise ValueError(f"unknown analyzer '{options.analyzer}', supported: word, char")
+    return options.analyzer
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(P.FEATURE_TOKEN), F.lit(0))
 
 
 def _squeezed(text: Column) -> Column:
@@ -129,25 +140,62 @@ def term_counts(
 def _counted(rows: DataFrame, options: TfidfOptions) -> DataFrame:
     """``rows`` with ``terms``, the distinct terms and their counts, in place of ``prepared_text``, a text or an array of texts."""
     here, several = F.col("prepared_text"), rows.schema["prepared_text"].dataType.typeName() == "array"
-    if options.analyzer == "char":
-        squeezed = F.transform(here, _squeezed) if several else F.array(_squeezed(here))
-        return rows.withColumn("terms", _char_counts(*options.ngrams)(squeezed)).drop("prepared_text")
-    if several:
-        for step in _splitting(options):
-            rows = rows.withColumn("prepared_text", F.transform(here, step))
-        rows = rows.withColumn("prepared_text", F.flatten(here))
-    else:
-        rows = split_terms(rows, "prepared_text", options)
-    rows = rows.withColumn("prepared_text", F.sort_array(here))
-    n, none = F.size(here), F.array().cast("array<int>")
-    first = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(here, i - 1) != F.get(here, i - 2)))
-    rows = rows.withColumn("starts", F.when(n > 0, first).otherwise(none))
+    units, counts = (_words, _word_counts) if _analyzer(options) == "word" else (_squeezed, _char_counts)
+    cut = F.transform(here, units) if several else F.array(units(here))
+    return rows.withColumn("terms", counts(*options.ngrams)(cut)).drop("prepared_text")
+
+
+def _word_counts(low: int, high: int):
+    """Counts of the runs of ``low`` to ``high`` words in arrays of texts, which are arrays of words.
+
+    Words and runs of some documents at a time are numbered, so that equal ones are found as numbers and named once.
+    """
+
+    def counted_cells(texts: pa.Array, n_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        n_words = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+        text = np.repeat(np.arange(len(texts)), n_words)
+        owner = np.repeat(np.arange(len(n_texts)), n_texts)[text]
+        coded = texts.flatten().cast(pa.string()).dictionary_encode()
+        word, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        run, names = word, words
+        owners, terms, tfs, told = [], [], [], []
+        for n in range(1, high + 1):
+            starts = np.arange(len(word))
+            if n > 1:
+                starts = np.flatnonzero(text[n - 1 :] == text[: max(0, len(text) - n + 1)])
+                code, pairs = pd.factorize(run[starts] * len(words) + word[starts + n - 1])
+                first, last = np.divmod(pairs, max(1, len(words)))
+                names = pc.binary_join_element_wise(names.take(pa.array(first)), words.take(pa.array(last)), " ")
+                run = np.full(len(word), -1)
+                run[starts] = code
+            if n >= low:
+                cell, tf = np.unique(owner[starts] * max(1, len(names)) + run[starts], return_counts=True)
+                of, term = np.divmod(cell, max(1, len(names)))
+                owners.append(of)
+                terms.append(term + sum(map(len, told)))
+                tfs.append(tf)
+                told.append(names)
+        owners, terms, tfs = map(np.concatenate, (owners, terms, tfs))
+        order = np.argsort(owners, kind="stable")
+        return owners[order], terms[order], tfs[order], pa.concat_arrays(told)
 
-    def cell(i, k):
-        until = F.coalesce(F.get("starts", k + 1), n + 1)
-        return F.struct(F.get(here, i - 1).alias("term"), (until - i).cast("bigint").alias("tf"))
+    @F.arrow_udf(COUNTED)
+    def counted(column: pa.Array) -> pa.Array:
+        n_texts = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        texts = column.flatten()
+        ends = np.concatenate(([0], np.cumsum(n_texts)))
+        words = np.concatenate(([0], np.cumsum(pc.list_value_length(texts).to_numpy(zero_copy_only=False))))[ends]
+        sizes, parts, a = [np.zeros(1, np.int64)], [], 0
+        while a < len(column):
+            b = max(a + 1, int(np.searchsorted(words, words[a] + PIECE_WORDS, "right")) - 1)
+            owner, term, tf, names = counted_cells(texts.slice(ends[a], ends[b] - ends[a]), n_texts[a:b])
+            parts.append(pa.StructArray.from_arrays([names.take(pa.array(term)), pa.array(tf, pa.int64())], ["term", "tf"]))
+            sizes.append(np.bincount(owner, minlength=b - a))
+            a = b
+        none = pa.array([], pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.concat_arrays([none, *parts]))
 
-    return rows.withColumn("terms", F.transform("starts", cell)).drop("prepared_text", "starts")
+    return counted
 
 
 def _char_counts(low: int, high: int):
@@ -314,28 +362,28 @@ def _exploded(counts: DataFrame) -> DataFrame:
     return cell.select(*kept, F.col("cell.term").alias("term"), F.col("cell.tf").alias("tf"))
 
 
-def _known(vocabulary: DataFrame, options: TfidfOptions):
-    """Function of an array of counted terms: (documents, and of each known term its document, ``idx`` and weight)."""
-    table = vocabulary.select("term", F.col("idx").cast("int").alias("idx"), F.col("idf").cast("double").alias("idf")).toArrow()
+def _known(vocabulary: DataFrame, options: TfidfOptions, number: Column):
+    """Terms known, and a function of an array of counted terms: (documents, and of each known term its document, ``number`` and weight)."""
+    table = vocabulary.select("term", number.alias("number"), F.col("idf").cast("double").alias("idf")).toArrow()
     told = vocabulary.sparkSession.sparkContext.broadcast(
-        (table["term"].combine_chunks().cast(pa.string()), table["idx"].to_numpy(), table["idf"].to_numpy())
+        (table["term"].combine_chunks().cast(pa.string()), table["number"].to_numpy(), table["idf"].to_numpy())
     )
 
     def cells(column: pa.Array) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        terms, idx, idfs = told.value
+        terms, numbers, idfs = told.value
         lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
         flat = pc.list_flatten(column)
         at = pc.index_in(flat.field("term").cast(pa.string()), terms).fill_null(-1).to_numpy(zero_copy_only=False)
         known = at >= 0
         row, at = np.repeat(np.arange(len(column)), lengths)[known], at[known]
         tf = flat.field("tf").to_numpy(zero_copy_only=False)[known].astype(np.float64)
-        return len(column), row, idx[at], (1.0 + np.log(tf) if options.sublinear_tf else tf) * idfs[at]
+        return len(column), row, numbers[at], (1.0 + np.log(tf) if options.sublinear_tf else tf) * idfs[at]
 
-    return cells
+    return table.num_rows, cells
 
 
 def _norms(vocabulary: DataFrame, options: TfidfOptions):
-    cells = _known(vocabulary, options)
+    _, cells = _known(vocabulary, options, F.lit(0))
 
     @F.arrow_udf("double")
     def norms(column: pa.Array) -> pa.Array:
@@ -345,6 +393,34 @@ def _norms(vocabulary: DataFrame, options: TfidfOptions):
     return norms
 
 
+def tfidf_dots(
+    counts: DataFrame,
+    vocabulary: DataFrame,
+    number: Column,
+    id_col: str = "doc_id",
+    keep: tuple[str, ...] = (),
+    options: TfidfOptions = TfidfOptions(),
+) -> DataFrame:
+    """Unit-length vectors times the vocabulary's ``number``: ``id, *keep, dot``, which is 0 for documents without a known term.
+
+    Count with ``outer=True`` (or ``packed``) to keep these. Packed counts are looked up inside their rows; others are summed by document.
+    """
+    if _packed(counts, options):
+        _, cells = _known(vocabulary, options, number.cast("double"))
+
+        @F.arrow_udf("double")
+        def dots(column: pa.Array) -> pa.Array:
+            n, row, own, weight = cells(column)
+            norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
+            return pa.array(np.bincount(row, weights=weight * own, minlength=n) / np.where(norm > 0, norm, 1.0))
+
+        return counts.select(id_col, *keep, dots("terms").alias("dot"))
+    weight = F.col("weight")
+    return weigh(_exploded(counts), vocabulary, options, outer=True).groupBy(id_col, *keep).agg(
+        F.coalesce(F.sum(weight * number) / F.sqrt(F.sum(weight * weight)), F.lit(0.0)).alias("dot")
+    )
+
+
 def tfidf_vectors(
     counts: DataFrame,
     vocabulary: DataFrame,
@@ -356,21 +432,22 @@ def tfidf_vectors(
 
     Count with ``outer=True`` (or ``packed``) to get an empty vector for documents without a known term.
     """
-    size = vocabulary.agg(F.count(F.lit(1)).alias("n")).scalar()
     if _packed(counts, options):
-        cells = _known(vocabulary, options)
+        size, cells = _known(vocabulary, options, F.col("idx").cast("int"))
 
-        @F.arrow_udf("struct<idx:array<int>,weight:array<double>>")
+        @F.arrow_udf(VectorUDT())
         def unit(column: pa.Array) -> pa.Array:
             n, row, idx, weight = cells(column)
             order = np.lexsort((idx, row))
             norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=n))
             ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))), pa.int32())
-            own = pa.array(idx[order], pa.int32()), pa.array((weight / norm[row])[order])
-            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, x) for x in own], ["idx", "weight"])
+            own = pa.array(idx[order], pa.int32()), pa.array((weight / norm[row])[order], pa.float64())
+            head = pa.array(np.zeros(n), pa.int8()), pa.array(np.full(n, size), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in own]
+            return pa.StructArray.from_arrays([*head, *lists], ["type", "size", "indices", "values"])
 
-        packed = counts.withColumn("cells", unit("terms"))
-        return packed.select(id_col, *keep, V.sparse_vector(size, F.col("cells.idx"), F.col("cells.weight")).alias("features"))
+        return counts.select(id_col, *keep, unit("terms").alias("features"))
+    size = vocabulary.agg(F.count(F.lit(1)).alias("n")).scalar()
     packed = (
         weigh(_exploded(counts), vocabulary, options, outer=True)
         .groupBy(id_col, *keep)
