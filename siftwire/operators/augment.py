@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwire.functions import tokens as K
-from siftwire.functions.draws import draw, uniform, wide_draw
+from siftwire.functions.draws import DRAW_RANGE, draw, draws_along, stem_of_draws, uniform, wide_draw
 from siftwire.operators.ranks import ranked
 from siftwire.session import stored
 
+#: Bytes of texts whose noise is drawn together, about; a longer text is on its own.
+NOISE_BYTES = 1 << 20
+
 
 def _words(text: Column) -> Column:
     return K.tokenize_whitespace(text)
@@ -130,23 +137,68 @@ def char_noise(
     """Change case, double or skip single characters with chance ``p``; no shuffle.
 
     One hash per character decides both whether and how: values below ``p`` of the range
-    act, and their position inside that part picks the action.
+    act, and their position inside that part picks the action. Hashes are computed in Arrow batches, many at a time.
     """
     turn = F.col(draw_col) if draw_col else F.lit(0)
-    rows = df.withColumn("chars_", F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit("(?s)."), F.lit(0)))
-
-    def noisy(c, i):
-        u = uniform(seed, "char", F.col(id_col), turn, i) / F.lit(p)
-        letter = c.rlike(r"\p{L}")
-        swapped = F.when(F.upper(c) == c, F.lower(c)).otherwise(F.upper(c))
-        return (
-            F.when(u >= 1, c)
-            .when(u * 3 < 1, F.when(letter, swapped).otherwise(c))
-            .when(u * 3 < 2, F.concat(c, c))
-            .otherwise("")
-        )
 
-    return rows.withColumn(text_col, F.array_join(F.transform("chars_", noisy), "")).select(*df.columns)
+    @F.arrow_udf("string")
+    def noisy(texts: pa.Array, stems: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, NOISE_BYTES), "right"), len(texts)))
+        parts = [_noisy(texts.slice(a, b - a), stems.slice(a, b - a), p) for a, b in zip([0, *edges], edges, strict=False) if b > a]
+        return pa.concat_arrays([pa.array([], pa.string()), *parts])
+
+    stem = stem_of_draws(seed, "char", F.col(id_col), turn)
+    return df.withColumn(text_col, noisy(F.coalesce(F.col(text_col).cast("string"), F.lit("")), stem)).select(*df.columns)
+
+
+def _noisy(texts: pa.Array, stems: pa.Array, p: float) -> pa.Array:
+    rows = [t.encode() for t in texts.to_pylist()]
+    every = b"".join(rows).decode()
+    codes = np.frombuffer(every.encode("utf-32-le"), np.uint32).copy()
+    counts = np.array([len(r) for r in rows], dtype=np.int64)
+    if not every.isascii():
+        starts = np.concatenate(([0], np.cumsum((np.frombuffer(b"".join(rows), np.int8) >= -64).astype(np.int64))))
+        ends = np.cumsum(counts)
+        counts = starts[ends] - starts[ends - counts]
+    third = draws_along([s.encode() for s in stems.to_pylist()], counts) / float(DRAW_RANGE) / p * 3 if p else np.full(len(codes), 3.0)
+    acts = np.flatnonzero(third < 3)
+    acts = acts[third[acts] / 3 < 1]
+    many = np.ones(len(codes), dtype=np.int64)
+    many[acts[third[acts] >= 2]] = 0
+    many[acts[(third[acts] >= 1) & (third[acts] < 2)]] = 2
+    changed = acts[third[acts] < 1]
+    before, longer = codes[changed], []
+    for code in np.unique(before):
+        new = _swapped(chr(code))
+        own = changed[before == code]
+        if len(new) > 1:
+            longer += [(at, new) for at in own]
+        many[own] = len(new)
+        codes[own] = ord(new[0])
+    out = np.repeat(codes, many)
+    if longer:
+        first = np.cumsum(many) - many
+        for at, new in longer:
+            out[first[at] : first[at] + len(new)] = [ord(c) for c in new]
+    ends = np.concatenate(([0], np.cumsum(many)))[np.cumsum(counts)]
+    text = out.tobytes().decode("utf-32-le").encode()
+    if len(text) > len(out):
+        ends = np.concatenate(([0], np.cumsum(1 + (out >= 0x80) + (out >= 0x800) + (out >= 0x10000))))[ends]
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(rows), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text))
+
+
+#: Capitals that Spark knows and Python does not yet.
+_CAPITALS = {"\u019b": "\ua7dc", "\u0264": "\ua7cb"}
+
+
+def _swapped(letter: str) -> str:
+    """The other case of a letter, as Spark has it but for some scripts newer than its own; other characters as they are."""
+    if unicodedata.category(letter)[0] != "L":
+        return letter
+    upper = _CAPITALS.get(letter, letter.upper())
+    return letter.lower() if upper == letter else upper
 
 
 TECHNIQUES = ("synonym_replacement", "random_insertion", "random_swap", "random_deletion", "char_noise")
