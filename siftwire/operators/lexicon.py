@@ -1,11 +1,23 @@
-"""Word tables: lemmas, stems, and their application to token lists by broadcast join."""
+"""Word tables: lemmas, stems, and their application to token lists inside their rows."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwire.functions import wordlists as W
+from siftwire.session import stored
+
+#: Rows of a word table that go to every task; a larger one meets the tokens in a join.
+TABLE_WORDS = 1 << 18
+#: Stems that a task remembers.
+KNOWN_STEMS = 1 << 18
 
 # Published detachment rules, suffix and ending per word class.
 DETACHMENT = {
@@ -106,6 +118,59 @@ def verb_then_noun(lemmas: DataFrame) -> DataFrame:
 def apply_word_table(df: DataFrame, table: DataFrame, tokens_col: str, id_col: str) -> DataFrame:
     """Replace tokens by ``table(form, word)``, keeping order, repeats and empty lists.
 
+    A table of up to ``TABLE_WORDS`` rows goes to the tasks, and no token moves; a larger one, or one that
+    has two words for a form, is joined.
+    """
+    known = table.filter("form is not null and word is not null").select("form", "word").limit(TABLE_WORDS + 1).toArrow()
+    words = dict(zip(known["form"].to_pylist(), known["word"].to_pylist(), strict=True))
+    if known.num_rows > TABLE_WORDS or len(words) < known.num_rows:
+        return _joined(df, table, tokens_col, id_col)
+    sent = df.sparkSession.sparkContext.broadcast(words)
+    return _in_rows(df, lambda form: sent.value.get(form, form), lambda _: table, tokens_col, id_col)
+
+
+def _in_rows(df: DataFrame, word: Callable[[str], str], table: Callable[[DataFrame], DataFrame], tokens_col: str, id_col: str) -> DataFrame:
+    """Replace tokens by their ``word`` inside their rows, in Arrow batches that look up each distinct token once.
+
+    Rows that share an id have the words of all of them, so these, of which there are few, are joined
+    with the ``table`` of their tokens. Tokens of a row without an id stay as they are.
+    """
+
+    @F.arrow_udf("array<string>")
+    def rewritten(lists: pa.Array) -> pa.Array:
+        return _replaced(lists, word)
+
+    tokens = F.col(tokens_col)
+    done = F.when(F.col(id_col).isNotNull(), rewritten(tokens)).otherwise(tokens).alias(tokens_col)
+    columns = [done if c == tokens_col else F.col(f"`{c}`") for c in df.columns]
+    repeated = stored(df.groupBy(id_col).agg(F.count("*").alias("n")).filter((F.col("n") > 1) & F.col(id_col).isNotNull()).select(id_col), "repeated-ids")
+    if repeated.isEmpty():
+        return df.select(*columns)
+    together = df.join(repeated, id_col, "left_semi").select(*df.columns)
+    alone = df.join(repeated, id_col, "left_anti").select(*columns)
+    return alone.unionByName(_joined(together, table(together), tokens_col, id_col))
+
+
+def _replaced(lists: pa.Array, word: Callable[[str], str]) -> pa.Array:
+    """The lists with each token's ``word``; null tokens go, unless a list has nothing else."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    forms = lists.flatten().dictionary_encode()
+    words = pa.array([word(x) for x in forms.dictionary.to_pylist()], pa.string()).take(forms.indices)
+    if words.null_count:
+        there = words.is_valid().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(counts)), counts)
+        full = np.bincount(row[there], minlength=len(counts))
+        words = words.filter(pa.array(there | (full[row] == 0)))
+        counts = np.where(full > 0, full, counts)
+    ends = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+    return pa.ListArray.from_arrays(ends, words, mask=lists.is_null() if lists.null_count else None)
+
+
+def _joined(df: DataFrame, table: DataFrame, tokens_col: str, id_col: str) -> DataFrame:
+    """``apply_word_table`` by a join of the exploded tokens.
+
     Word and document sides are partitioned by document, so only the table moves; whether it
     is broadcast is left to Spark's own size check.
     """
@@ -280,7 +345,78 @@ def stem_vocabulary(words: DataFrame) -> DataFrame:
     return steps.select("form", final.alias("word"))
 
 
+_MEASURES = [re.compile(f"[^aeiouy]*(?:{_VOWEL}+{_CONSONANT}+)" + "{" + str(n + 1) + ",}") for n in range(2)]
+_DOUBLE = re.compile(r"([bcdfghjklmnpqrstvwxzY])\1\Z")
+_SHORT = re.compile(f"{_CONSONANT}{_VOWEL}[bcdfghjklmnpqrstvz]\\Z|\\A{_VOWEL}{_CONSONANT}\\Z")
+_STEP_2, _STEP_3 = (sorted(rules, key=lambda r: -len(r[0])) for rules in (STEP_2, STEP_3))
+_STEP_4 = sorted(STEP_4, key=lambda s: -len(s))
+
+
+@lru_cache(KNOWN_STEMS)
+def stem_word(form: str) -> str:
+    """Stem of one word: what ``stem_vocabulary`` gives, for use inside a task."""
+    low = form.lower()
+    if low in IRREGULAR:
+        return IRREGULAR[low]
+    if len(form) <= 2:
+        return low
+
+    def shape(stem):
+        return re.sub("(^|[aeiou])y", r"\1Y", stem)
+
+    def above(stem, least):
+        return _MEASURES[least].match(shape(stem)) is not None
+
+    def vowel(stem):
+        return re.search(_VOWEL, shape(stem)) is not None
+
+    def short(stem):
+        return _SHORT.search(shape(stem)) is not None
+
+    def by_rule(w, rules, holds):
+        for suffix, ending in rules:
+            if w.endswith(suffix):
+                stem = w[: len(w) - len(suffix)]
+                return stem + ending if holds(stem, suffix) else w
+        return w
+
+    w = low
+    if w.endswith("ies") and len(w) == 4:
+        w = w[:-3] + "ie"
+    elif w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    bare = next((w[: -len(s)] for s in ("ed", "ing") if w.endswith(s) and vowel(w[: -len(s)])), None)
+    if w.endswith("ied"):
+        w = w[:-3] + ("ie" if len(w) == 4 else "i")
+    elif w.endswith("eed"):
+        w = w[:-1] if above(w[:-3], 0) else w
+    elif bare is not None:
+        if bare.endswith(("at", "bl", "iz")):
+            w = bare + "e"
+        elif _DOUBLE.search(shape(bare)) and not bare.endswith(("l", "s", "z")):
+            w = bare[:-1]
+        elif not above(bare, 1) and above(bare, 0) and short(bare):
+            w = bare + "e"
+        else:
+            w = bare
+    if w.endswith("y") and len(w) > 2 and re.search(f"{_CONSONANT}\\Z", shape(w[:-1])):
+        w = w[:-1] + "i"
+    if w.endswith("alli") and above(w[:-4], 0):
+        w = w[:-2]
+    w = by_rule(w, _STEP_2, lambda stem, suffix: above(stem + "l" if suffix == "logi" else stem, 0))
+    w = by_rule(w, _STEP_3, lambda stem, _: above(stem, 0))
+    w = by_rule(w, [(s, "") for s in _STEP_4], lambda stem, suffix: above(stem, 1) and (suffix != "ion" or stem.endswith(("s", "t"))))
+    if w.endswith("e") and (above(w[:-1], 1) or (above(w[:-1], 0) and not short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and above(w[:-1], 1) else w
+
+
 def stem(df: DataFrame, tokens_col: str = "tokens", id_col: str = "doc_id") -> DataFrame:
-    """Stem token lists: distinct words are stemmed once and joined back."""
-    words = df.select(F.explode_outer(tokens_col).alias("form")).filter(F.col("form").isNotNull())
-    return apply_word_table(df, stem_vocabulary(words), tokens_col, id_col)
+    """Stem token lists inside their rows: a batch's distinct words are stemmed once."""
+
+    def stems(rows: DataFrame) -> DataFrame:
+        return stem_vocabulary(rows.select(F.explode_outer(tokens_col).alias("form")).filter(F.col("form").isNotNull()))
+
+    return _in_rows(df, stem_word, stems, tokens_col, id_col)
